@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,20 @@ def local_session(cores: int = 8, *, memory: str = "12g", partitions: int | None
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not share a folder with the driver.
+
+    Once a context; the archive holds the package's sources only (some hundred KB).
+    """
+    context = spark.sparkContext
+    if getattr(context, "_strandlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strandlake-code-")) / "strandlake_code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")) + sorted(root.rglob("*.json")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._strandlake_shipped = True
