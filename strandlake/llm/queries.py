@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, licenses, secrets, simhash, token_counts
+from . import bpe, language_id, licenses, secrets, simhash, spotsigs, token_counts, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,13 +51,26 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.edited_and_next(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("signs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_signs")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path, limit=512)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_license_scan, op6_simhash, op7_language_id, op8_byte_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_license_scan, op4_url_filter, op6_simhash, op7_language_id, op8_byte_bpe, op9_spotsigs, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
