@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, licenses, secrets, simhash, spotsigs, token_counts, url_filter
+from . import bpe, decontaminate, language_id, licenses, secrets, simhash, spotsigs, token_counts, url_filter
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
@@ -70,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_license_scan, op4_url_filter, op6_simhash, op7_language_id, op8_byte_bpe, op9_spotsigs, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_license_scan, op4_url_filter, op6_simhash, op7_language_id, op8_byte_bpe, op9_spotsigs, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
