@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, licenses, secrets, simhash, spotsigs, token_counts, url_filter
+from . import bpe, decontaminate, language_id, licenses, secrets, simhash, spotsigs, substrings, token_counts, url_filter
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,7 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_license_scan, op4_url_filter, op6_simhash, op7_language_id, op8_byte_bpe, op9_spotsigs, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_license_scan, op4_url_filter, op5_substring_dedup, op6_simhash, op7_language_id, op8_byte_bpe, op9_spotsigs, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
