@@ -26,6 +26,7 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ STRIDE, WIDTHS, PASSAGE = 8, (24, 32, 40), 32
 COSINE, LCS, VERBATIM, ANSWER = 0.45, 0.6, 0.9, 0.5
 #: Passages of one block of items, and words of one product.
 ITEMS, WORDS = 2_000, 60_000
+#: Characters of texts that are searched together.
+CHARACTERS = 400_000
 #: Rows of the latent table that are summed apart, and known words of a worker.
 ROWS, KNOWN = 256, 1_000_000
 
@@ -245,33 +248,48 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[Item]]:
         yield [Item(r["k"], r["t"]) for r in rows.distinct().orderBy("k", "t").collect()]
 
 
+def _searchers(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str):
+    """A broadcast of the latent table (of fixed size) and of each block of items (about ITEMS passages)."""
+    counts, total = document_frequencies(docs, text)
+    table = latent_table(docs, np.log((1 + total) / (1 + counts)), total, text=text)
+    for block in item_blocks(items, item_key, item_text):
+        yield docs.sparkSession.sparkContext.broadcast((table, block))
+
+
 def matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """Columns `key`, item_id, cosine, lcs, answer: one row for each item found in a row of docs."""
-    counts, total = document_frequencies(docs, text)
-    idf = np.log((1 + total) / (1 + counts))
-    table = latent_table(docs, idf, total, text=text)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, item_id bigint, cosine double, lcs double, answer double"
-    out = None
-    for block in item_blocks(items, item_key, item_text):
-        found = _search(docs.select(key, docs[text].alias("__text")), table, block, key, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
 
+    def search(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(*shared.value)
+            for batch in batches:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for a, b in blocks(texts, CHARACTERS):
+                    found = list(searcher.matches(texts[a:b]))
+                    if found:
+                        rows = pa.array([a + r[0] for r in found], pa.int64())
+                        columns = [pa.array([r[k] for r in found], pa.int64() if k == 1 else pa.float64()) for k in range(1, 5)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], [key, "item_id", "cosine", "lcs", "answer"])
 
-def _search(docs: DataFrame, table: np.ndarray, block: list[Item], key: str, schema: str) -> DataFrame:
-    # The table is of fixed size, a block of items holds about ITEMS passages.
-    shared = docs.sparkSession.sparkContext.broadcast((table, block))
+        return map_arrow(docs.select(key, docs[text].alias("__text")), run, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(*shared.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts, 400_000):
-                found = list(searcher.matches(texts[a:b]))
-                if found:
-                    rows = pa.array([a + r[0] for r in found], pa.int64())
-                    columns = [pa.array([r[k] for r in found], pa.int64() if k == 1 else pa.float64()) for k in range(1, 5)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], [key, "item_id", "cosine", "lcs", "answer"])
-
-    return map_arrow(docs, run, schema)
+    return reduce(DataFrame.unionByName, map(search, _searchers(docs, items, text, item_key, item_text)))
+
+
+def without_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in which no item is found; no shuffle."""
+    at = docs.columns.index(text)
+
+    def clean(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(*shared.value)
+            for batch in batches:
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                found = {a + r[0] for a, b in blocks(texts, CHARACTERS) for r in searcher.matches(texts[a:b])}
+                yield batch.take(pa.array([k for k in range(len(texts)) if k not in found], pa.int64())) if found else batch
+
+        return map_arrow(rows, run, docs.schema)
+
+    return reduce(clean, _searchers(docs, items, text, item_key, item_text), docs)

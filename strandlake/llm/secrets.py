@@ -128,3 +128,20 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", reach: int
     joined = rows.join(spans, same_text(rows, spans), "left")
     empty = F.expr("cast(array() as array<struct<start:bigint,order:bigint,kind:string,end:bigint,base:boolean>>)")
     return joined.select(rows["sp_id"].alias(key), F.coalesce(F.col("spans"), empty).alias("spans"))
+
+
+def redacted(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mark: str = "[secret]", reach: int = REACH) -> DataFrame:
+    """The rows of docs, all columns, with every finding in the text replaced by `mark`; overlapping findings get one mark."""
+    spans = listed(findings(docs, key=key, text=text, reach=reach)).select(F.col("sp_id").alias("__id"), F.col("sp_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    rows = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = rows.join(spans, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash")), "left")
+
+    def step(done: Column, span: Column) -> Column:
+        # What lies between the findings so far and this one, and its mark if it begins after them.
+        gap = F.when(span["start"] >= done["at"], F.concat(F.substring(F.col(text), done["at"].cast("int") + 1, (span["start"] - done["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.array_append(done["parts"], gap).alias("parts"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+    end = F.aggregate("__spans", start, step)
+    rest = F.substring(F.col(text), end["at"].cast("int") + 1, F.length(text))
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.concat(F.array_join(end["parts"], ""), rest))).select(*docs.columns)

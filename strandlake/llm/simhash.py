@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, cut, map_arrow
@@ -54,17 +54,18 @@ def simhash(text: str, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """Columns `key` and fp, the fingerprint as a signed 64-bit integer."""
+    """Columns `key`, text_hash and fp, the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = batch.column(2).to_pylist()
             for a, b in blocks(texts):
                 made = np.array([simhash(t, width) for t in texts[a:b]], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(made)], [key, "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(made)], [key, "text_hash", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(docs.select(key, docs[text].alias("__text")), run, f"`{key}` {kind}, fp bigint")
+    whole = F.coalesce(docs[text], F.lit(""))
+    return map_arrow(docs.select(key, F.xxhash64(whole).alias("text_hash"), whole.alias("__text")), run, f"`{key}` {kind}, text_hash bigint, fp bigint")
 
 
 def _near(values: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
@@ -125,10 +126,20 @@ def links(distinct: DataFrame, *, bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
-    """Columns `key`, fp and component_id (the least id of the component) of every row."""
+    """Columns `key`, text_hash (XXH64), fp and component_id (the least id of the component) of every row."""
     made = cut(fingerprints(docs, key=key, text=text, width=width))
     distinct = made.groupBy("fp").agg(F.min(key).alias("least"))
     rooted = distinct.join(components(links(distinct, bits=bits), "a", "b"), F.col("fp") == F.col("node"), "left")
     rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return made.join(named, "fp").select(key, "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return made.join(named, "fp").select(key, "text_hash", "fp", "root", "component_id")
+
+
+def without_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, bits: int = 3) -> DataFrame:
+    """The rows of docs, all columns, one of each component: that of the least id (ties: the least hash of the text)."""
+    found = near_duplicates(docs, key=key, text=text, width=width, bits=bits)
+    keepers = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("id"), F.col("text_hash").alias("hash"))).alias("k"))
+    keepers = keepers.select(F.xxhash64(F.coalesce(F.col("k.id").cast("string"), F.lit("")), "k.hash").alias("__row")).distinct()
+    rows = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    first = Window.partitionBy("__row").orderBy("__row")
+    return rows.join(keepers, "__row", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__row", "__nth")
