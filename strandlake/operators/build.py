@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import sequence_hash
 from ..functions.sequences import header_description, header_id, illegal_residues, illegal_message, normalized, stop_stripped, upper_cased
+from ..session import checkpointed
 from ..sources.tables import PROTEIN_INVENTORY, SEARCH_INVENTORY
 
 
@@ -55,11 +56,16 @@ def assembled(groups: list[tuple[str, DataFrame]], order: list[str]) -> DataFram
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "final_order") -> DataFrame:
-    """Add consecutive numbers from 0 in an order: RDD.zipWithIndex over range-sorted partitions."""
-    ordered = rows.orderBy(*order)
-    schema = ordered.schema.add(name, "bigint") if name not in rows.columns else ordered.schema
-    made = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return rows.sparkSession.createDataFrame(made, schema)
+    """Add consecutive numbers from 0 in an order.
+
+    The sorted rows are written once; a row's place in its range comes from its running id, and a sum over
+    ranges (one row each) gives the ranges' first numbers.
+    """
+    ordered = checkpointed(rows.orderBy(*order)).withColumn("__at", F.monotonically_increasing_id())
+    ordered = ordered.withColumn("__range", F.shiftright("__at", 33))
+    sizes = ordered.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__start"))
+    return ordered.join(starts, "__range").withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__range", "__start")
 
 
 def inventory(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, *, memory: str = "12g", partitions: int | None = None, app: str = "strandlake") -> SparkSession:
@@ -40,3 +40,11 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._strandlake_shipped = True
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write `df` to the folder that spark.checkpoint.dir names (one of its own only where none is) and go on from there."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-checkpoint-"))
+    return df.checkpoint(eager=True)
