@@ -19,6 +19,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -36,6 +37,8 @@ from .components import components
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SEED = 42
+#: Bytes of a sketch and sets of four of them that are posted.
+SKETCH, POSTINGS = 32, 96
 
 
 def simhash(text: str, width: int = 3) -> int:
@@ -135,9 +138,105 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return made.join(named, "fp").select(key, "text_hash", "fp", "root", "component_id")
 
 
-def without_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, bits: int = 3) -> DataFrame:
+def sketch(text: str, width: int = 5) -> bytes:
+    """A long fingerprint: SKETCH bytes over the set of word shingles, from XXH3-128 with several seeds."""
+    words = _WORDS.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+    if not words:
+        return bytes(SKETCH)
+    shingles = set(map(" ".join, zip(*(words[k:] for k in range(width)), strict=False))) if len(words) >= width else {" ".join(words)}
+    raw = [b"".join([xxhash.xxh3_128_digest(s, seed) for s in shingles]) for seed in range(SKETCH // 16)]
+    bits = [_sums(r, 16) * 2 > len(shingles) for r in raw]
+    return np.packbits(np.concatenate(bits)).tobytes()
+
+
+def _sums(raw: bytes, size: int) -> np.ndarray:
+    """How many of the digests of `size` bytes have each bit."""
+    out = np.zeros(8 * size, np.int64)
+    for start in range(0, len(raw), size << 15):
+        out += np.unpackbits(np.frombuffer(raw[start : start + (size << 15)], np.uint8).reshape(-1, size), axis=1).sum(0, dtype=np.int64)
+    return out
+
+
+def differing_bits(similarity: float) -> int:
+    """Bits in which sketches of sets of this Jaccard similarity differ on average, and half a deviation more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 8 * SKETCH
+    return int(n * p + 0.5 * math.sqrt(n * p * (1 - p)))
+
+
+def posting_places(postings: int = POSTINGS) -> np.ndarray:
+    """The byte positions of each posting: every position is in equally many."""
+    rng = np.random.default_rng(3)
+    rows = [rng.permutation(SKETCH).reshape(-1, 4) for _ in range(-(-postings * 4 // SKETCH))]
+    return np.sort(np.concatenate(rows)[:postings], axis=1)
+
+
+def leaders(sketches: list[bytes], most: int) -> list[tuple[int, int]]:
+    """Links of members of a posting to the first member (leader) that is near them; leaders are compared with all leaders.
+
+    The shared positional bytes are tallied first: fewer than chance and distance allow, and the pair is not verified.
+    """
+    values = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), SKETCH)
+    heads, found = [], []
+    for i, value in enumerate(values):
+        if heads:
+            apart = values[heads] ^ value
+            tallied = np.flatnonzero((apart == 0).sum(1) >= 4)
+            near = tallied[np.bitwise_count(apart[tallied]).sum(1) <= most]
+            if len(near):
+                found.append((heads[near[0]], i))
+                continue
+        heads.append(i)
+    return found
+
+
+def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Columns `key`, text_hash and root (one number for each component of texts of at least this similarity).
+
+    Texts that differ in some of their words differ in more bits of a fingerprint than a guaranteed minimum of
+    positional bytes allows, so the sketch is longer (SKETCH bytes) and POSTINGS sets of four positional bytes
+    are posted: a pair of similarity 0.9 meets in some posting with a chance of over 0.99. Pairs that meet are
+    tallied and verified on the whole sketch. A posting's members link to leaders, never to each other.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    most, places = differing_bits(similarity), posting_places()
+
+    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in blocks(texts):
+                made = pa.array([sketch(t, width) for t in texts[a:b]], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), made], [key, "text_hash", "sketch"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            parts = np.ascontiguousarray(values[:, places]).view("<u4")[:, :, 0].astype(np.int64) | np.arange(len(places)) << 32
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(places))), pa.array(parts.ravel())], ["node", "posting"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for members in batch.column(0).to_pylist():
+                links += [(members[i]["node"], members[j]["node"]) for i, j in leaders([m["sketch"] for m in members], most)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    whole = F.coalesce(docs[text], F.lit(""))
+    made = cut(map_arrow(docs.select(key, F.xxhash64(whole).alias("text_hash"), whole.alias("__text")), fingerprint, f"`{key}` {kind}, text_hash bigint, sketch binary"))
+    made = made.withColumn("node", F.xxhash64("sketch"))
+    distinct = made.select("node", "sketch").dropDuplicates(["node"])
+    posted = map_arrow(distinct, post, "node bigint, posting bigint")
+    # Most postings have one member and end here, before any sketch is sent.
+    met = posted.groupBy("posting").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1).select("posting", F.explode("nodes").alias("node"))
+    groups = met.join(distinct, "node").groupBy("posting").agg(F.array_sort(F.collect_list(F.struct("node", "sketch"))).alias("members"))
+    links = map_arrow(groups.select("members"), verify, "a bigint, b bigint").distinct()
+    found = components(links, "a", "b").withColumnRenamed("node", "linked")
+    return made.join(found, F.col("node") == F.col("linked"), "left").select(key, "text_hash", F.coalesce("root", "node").alias("root"))
+
+
+def without_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, one of each component: that of the least id (ties: the least hash of the text)."""
-    found = near_duplicates(docs, key=key, text=text, width=width, bits=bits)
+    found = near_copies(docs, key=key, text=text, width=width, similarity=similarity)
     keepers = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("id"), F.col("text_hash").alias("hash"))).alias("k"))
     keepers = keepers.select(F.xxhash64(F.coalesce(F.col("k.id").cast("string"), F.lit("")), "k.hash").alias("__row")).distinct()
     rows = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))

@@ -41,7 +41,7 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     marked = F.transform(F.filter(words, lambda w: ~w.isin(passed)), lambda w: F.when(w.isin(ANCHORS), F.concat(F.lit(_MARK), w)).otherwise(w))
     # Each piece after the first is an anchor and what follows it up to the next.
     pieces = F.split(F.concat(F.lit(" "), F.array_join(marked, " ")), f" {_MARK}", -1)
-    chains = F.filter(F.slice(pieces, 2, 2**31 - 1), lambda p: p.contains(" "))
+    chains = F.filter(F.slice(pieces, 2, F.size(pieces)), lambda p: p.contains(" "))
     hashed = F.array_sort(F.array_distinct(F.transform(chains, lambda p: F.xxhash64(F.substring_index(p, " ", chain + 1)))))
     return F.when(F.size(chains) > 0, hashed).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
 

@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import WHITE
+from .common import map_arrow
 
 #: Kept states of the word transducer, and kept pieces.
 STATES_HELD = 200_000
@@ -251,4 +252,4 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 512, keep: tuple[st
             columns += [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, docs[text].alias("__text")), run, schema)
