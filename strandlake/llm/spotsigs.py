@@ -36,14 +36,22 @@ _MARK = "\x01"
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The set of signatures of a text, as sorted 64-bit hashes."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    passed = sorted(set(COMMON) - set(ANCHORS))
-    marked = F.transform(F.filter(words, lambda w: ~w.isin(passed)), lambda w: F.when(w.isin(ANCHORS), F.concat(F.lit(_MARK), w)).otherwise(w))
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    passed = ["", *sorted(set(COMMON) - set(ANCHORS))]
+    marked = F.transform(words, lambda w: F.when(w.isin(passed), "").when(w.isin(ANCHORS), F.concat(F.lit(_MARK), w)).otherwise(w))
     # Each piece after the first is an anchor and what follows it up to the next.
-    pieces = F.split(F.concat(F.lit(" "), F.array_join(marked, " ")), f" {_MARK}", -1)
-    chains = F.filter(F.slice(pieces, 2, F.size(pieces)), lambda p: p.contains(" "))
-    hashed = F.array_sort(F.array_distinct(F.transform(chains, lambda p: F.xxhash64(F.substring_index(p, " ", chain + 1)))))
-    return F.when(F.size(chains) > 0, hashed).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
+    pieces = F.split(F.concat(F.lit(" "), F.array_join(F.array_remove(marked, ""), " ")), f" {_MARK}", -1)
+
+    def chains(pieces: Column) -> Column:
+        return F.filter(F.slice(pieces, 2, F.size(pieces)), lambda p: p.contains(" "))
+
+    def hashed(found: Column) -> Column:
+        alone = F.array(F.xxhash64(F.array_join(F.array_remove(words, ""), " ")))
+        return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(F.transform(found, lambda p: F.xxhash64(F.substring_index(p, " ", chain + 1)))))).otherwise(alone)
+
+    # A lambda's variable is evaluated once, however often it is used.
+    bound = F.transform(F.transform(F.array(pieces), chains), hashed)
+    return F.get(bound, F.lit(0))
 
 
 def fingerprint(signs: Column) -> Column:
