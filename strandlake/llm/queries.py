@@ -82,5 +82,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_license_scan, op4_url_filter, op5_substring_dedup, op6_simhash, op7_language_id, op8_byte_bpe, op9_spotsigs, op10_token_counts)}
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ windows AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+ repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+ covered AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM windows JOIN repeated USING (s)),
+ words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+ kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) FILTER (c.p IS NULL) AS kept, count(c.p) AS n FROM words LEFT JOIN covered c USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring_dedup": SUBSTRING_SQL}
