@@ -4,9 +4,10 @@
 2. A distributed randomised SVD of the TF-IDF matrix of passages (two products with A'A, each one pass
    over a bounded sample of documents, SAMPLE of them chosen by a hash) gives RANK latent directions,
    whitened by their singular values.
-3. Every document's words are summed in blocks of STRIDE words and windows of three widths at every
-   block; an item is cut into passages of at most PASSAGE words, and each is compared by cosine with the
-   windows just wider than itself. Windows of at least COSINE are candidates.
+3. Every document's words are summed in blocks of STRIDE words and windows of each width at every block;
+   an item is cut into passages of at most PASSAGE words, and each is compared by cosine with the windows
+   just wider than itself. Windows of at least COSINE are candidates, unless they and the blocks around
+   them hold too few of the passage's words for the subsequence that is asked for (an exact bound).
 4. A candidate holds if the longest common subsequence of the passage and the window's surroundings
    covers LCS of the passage, and, unless it covers VERBATIM of it, at least ANSWER of the words of the
    item's answer (its last sentence) stand near.
@@ -37,12 +38,14 @@ from pyspark.sql import functions as F
 from .common import blocks, cut, map_arrow
 
 FEATURES, RANK, EXTRA, SAMPLE = 16_384, 96, 16, 3_000
-STRIDE, WIDTHS, PASSAGE = 8, (24, 32, 40), 32
-COSINE, LCS, VERBATIM, ANSWER = 0.45, 0.6, 0.9, 0.5
+STRIDE, WIDTHS, PASSAGE = 16, (32, 48), 32
+COSINE, LCS, VERBATIM, ANSWER = 0.4, 0.6, 0.9, 0.5
 #: Passages of one block of items, and words of one product.
 ITEMS, WORDS = 2_000, 60_000
 #: Characters of texts that are searched together.
 CHARACTERS = 400_000
+#: Places of the presence bits that bound a subsequence; FILL is set for every window.
+BITS, FILL = 1_024, 0
 #: Rows of the latent table that are summed apart, and known words of a worker.
 ROWS, KNOWN = 256, 1_000_000
 
@@ -70,15 +73,22 @@ def features(text: str) -> list[int]:
     return list(map(_PLACES.__getitem__, text.lower().split()))
 
 
+def places_of(text: str) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(_PLACES.__getitem__, words), np.int32, len(words))
+
+
 def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """In how many texts each feature stands, and how many texts there are; FEATURES numbers come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(FEATURES + 1, np.int64)
+        counts, seen = np.zeros(FEATURES + 1, np.int64), np.zeros(FEATURES + 1, bool)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                counts[FEATURES] += 1
-                counts[list(set(features(t or "")))] += 1
+                seen[:] = False
+                seen[places_of(t or "")] = True
+                seen[FEATURES] = True
+                counts += seen
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(counts[held])], ["place", "n"])
 
@@ -172,8 +182,9 @@ class Searcher:
     """Windows of whole texts against the passages of a block of items."""
 
     def __init__(self, table: np.ndarray, items: list[Item]):
-        self.table, self.items = table, items
+        self.table, self.items = np.vstack([table, np.zeros((1, table.shape[1]), np.float32)]), items
         self.by_width: dict[int, tuple[np.ndarray, list[tuple[Item, list[str]]]]] = {}
+        self.bits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         owners: dict[int, list[tuple[Item, list[str]]]] = {w: [] for w in WIDTHS}
         for item in items:
             for passage in item.passages:
@@ -181,40 +192,67 @@ class Searcher:
         for width, held in owners.items():
             if held:
                 vectors = np.stack([table[features(" ".join(p))].sum(0) for _, p in held])
+                # Short passages are filled up with a place that every window is given, which is counted off again.
+                rows = [[p % BITS for p in features(" ".join(passage))] for _, passage in held]
+                longest = max(map(len, rows))
+                self.bits[width] = np.array([r + [FILL] * (longest - len(r)) for r in rows]), np.array([len(r) for r in rows])
                 self.by_width[width] = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T.copy(), held
 
     def candidates(self, places: list[np.ndarray]) -> Iterator[tuple[int, int, int, Item, list[str], float]]:
-        """(text, first word, width, item, passage, cosine) of windows that are near a passage."""
+        """(text, first word, width, item, passage, cosine) of windows that are near a passage and hold enough of its words."""
         sizes = np.array([-(-len(p) // STRIDE) for p in places])
-        words = np.concatenate(places)
-        firsts = np.concatenate([np.arange(0, len(p), STRIDE) + o for p, o in zip(places, np.cumsum([0, *map(len, places)]), strict=False)]).astype(np.int64)
-        sums = np.concatenate([np.add.reduceat(self.table[words[a:b]], firsts[i:j] - a) for a, b, i, j in self._chunks(firsts, len(words))])
+        # Texts are filled up to whole blocks with a word whose vector is zero.
+        words = np.full(sizes.sum() * STRIDE, FEATURES, np.int32)
+        for p, o in zip(places, (np.cumsum(sizes) - sizes) * STRIDE, strict=True):
+            words[o : o + len(p)] = p
+        words = words.reshape(-1, STRIDE)
+        sums = self._sums(words)
         owner = np.repeat(np.arange(len(places)), sizes)
         index = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        present = np.zeros((len(words), BITS), bool)
+        present[np.arange(len(words))[:, None], words % BITS] = True
+        present[:, FILL] = True
+        present = np.packbits(present, axis=1, bitorder="little")
         for width, (vectors, held) in self.by_width.items():
             n = width // STRIDE
-            window = sums.copy()
+            window, around = sums.copy(), present.copy()
             for k in range(1, n):
-                window[:-k] += sums[k:] * (owner[k:] == owner[:-k])[:, None]
+                same = owner[k:] == owner[:-k]
+                window[:-k] += sums[k:] * same[:, None]
+                around[:-k] |= present[k:] * same[:, None]
+            # What is verified reaches a block further on either side.
+            same = owner[1:] == owner[:-1]
+            around[1:] |= present[:-1] * same[:, None]
+            if len(owner) > n:
+                around[:-n] |= present[n:] * (owner[n:] == owner[:-n])[:, None]
             begins = np.flatnonzero((index == 0) | (index + n <= sizes[owner]))
             window = window[begins]
             window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-            for start in range(0, len(window), 8192):
-                near = window[start : start + 8192] @ vectors
-                for i, j in zip(*np.nonzero(near >= COSINE), strict=True):
+            bits, lengths = self.bits[width]
+            for start in range(0, len(window), 4096):
+                near = window[start : start + 4096] @ vectors
+                i, j = np.nonzero(near >= COSINE)
+                # A subsequence has no more words than the passage has in common with the surroundings.
+                hit = around[begins[start + i][:, None], bits[j] >> 3] >> (bits[j] & 7).astype(np.uint8) & 1
+                common = hit.sum(1, dtype=np.int32) - (bits.shape[1] - lengths[j])
+                for i, j in zip(i[kept := common >= LCS * lengths[j]], j[kept], strict=True):
                     at = begins[start + i]
                     yield int(owner[at]), int(index[at]) * STRIDE, width, *held[j], float(near[i, j])
 
-    @staticmethod
-    def _chunks(firsts: np.ndarray, n: int) -> Iterator[tuple[int, int, int, int]]:
-        step = WORDS // STRIDE
-        for i in range(0, len(firsts), step):
-            j = min(i + step, len(firsts))
-            yield int(firsts[i]), int(firsts[j]) if j < len(firsts) else n, i, j
+    def _sums(self, words: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of each block of words."""
+        out = np.empty((len(words), self.table.shape[1]), np.float32)
+        for start in range(0, len(words), 1024):
+            part = words[start : start + 1024]
+            total = self.table[part[:, 0]]
+            for k in range(1, STRIDE):
+                total += self.table[part[:, k]]
+            out[start : start + 1024] = total
+        return out
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item, cosine, covered, answer) of each item found in each text."""
-        held = [(k, np.array(features(t), np.int64)) for k, t in enumerate(texts)]
+        held = [(k, places_of(t)) for k, t in enumerate(texts)]
         held = [(k, p) for k, p in held if len(p)]
         if not held or not self.by_width:
             return
