@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut
 
 DAMPING, ROUNDS, TOLERANCE, BLOCK_SHARE = 0.85, 20, 1e-4, 0.5
+#: Tasks that the pages of one host are dealt to.
+SALT = 32
 
 #: Absolute and protocol-relative links; a relative link stays on its host.
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -120,7 +122,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, key: str = "page
     rows = pages.select(pages[key].alias("key"), host.alias("host"), path.alias("path"), pages[html].alias("html"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    hosts = judge_hosts(rows)
-    return rows.drop("html").join(hosts, "host", "left").select(
+    # A host's row is sent to SALT tasks, and its pages, however many, are dealt to all of them.
+    hosts = judge_hosts(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = rows.drop("html").withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALT)).cast("int"))
+    return rows.join(hosts, ["host", "salt"], "left").select(
         F.col("key").alias(key), "host", "path", "rule", F.coalesce("verdict", "host_verdict").alias("verdict"), "trust", "distrust"
     )
