@@ -108,7 +108,7 @@ CLASSIFIERS = (
 )
 
 #: The registry's namespaces, which go before the others, and its classifiers.
-REGISTRY_NAMESPACES = (Namespace("fgcz_sentinel", r"^aa\|"), Namespace("fgcz_contaminant", r"^(?:sp|tr)\|Cont_|^zh\|C[0-9]{4}_"))
+REGISTRY_NAMESPACES = (Namespace("registry_sentinel", r"^aa\|"), Namespace("registry_contaminant", r"^(?:sp|tr)\|Cont_|^zh\|C[0-9]{4}_"))
 REGISTRY_CLASSIFIERS = (
     Classifier("decoy", prefixes=("^REV_",)),
     Classifier("contaminant", matches=(r"^(?:sp|tr)\|Cont_", r"^zh\|C[0-9]{4}_")),

@@ -46,8 +46,8 @@ def test_content_before_the_first_header_raises(spark, tmp_path):
 
 
 def test_file_name(spark):
-    [row] = spark.range(1).select(file_name_parts(F.lit("R_fgcz_9606_d_20200101_20210203.fasta.gz")).alias("p")).select("p.*").collect()
-    assert (row["database"], str(row["date"]), row["is_decoy"], row["is_entrapment"]) == ("fgcz_9606_20200101", "2021-02-03", True, False)
+    [row] = spark.range(1).select(file_name_parts(F.lit("R_db_9606_d_20200101_20210203.fasta.gz")).alias("p")).select("p.*").collect()
+    assert (row["database"], str(row["date"]), row["is_decoy"], row["is_entrapment"]) == ("db_9606_20200101", "2021-02-03", True, False)
 
 
 def classified(spark, ids):
