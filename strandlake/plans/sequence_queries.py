@@ -479,7 +479,8 @@ def comparison_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.comparisons(_similar(spark, sf_dir), "src0").select("kind", "database_id", "relationship", "rank")
 
 
-@query("best_overlap")
+@query("best_overlap", f"""{_SIMILAR} SELECT CASE WHEN low = 'src0' THEN high ELSE low END AS database_id, shared_ids, round(coalesce(shared_ids / nullif(least(a, b), 0), 0.0), 9) AS id_containment FROM sim WHERE kind = 'target' AND 'src0' IN (low, high)
+ORDER BY coalesce(shared_ids / nullif(least(a, b), 0), 0.0) DESC, coalesce(shared_ids / nullif(a + b - shared_ids, 0), 0.0) DESC, shared_ids DESC, database_id LIMIT 1""")
 def best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.best_overlap(_similar(spark, sf_dir).where("kind = 'target'"), "src0", 0.0).select("database_id", "shared_ids", F.round("id_containment", 9).alias("id_containment"))
 
@@ -522,16 +523,18 @@ def cluster_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.average_linkage(_similar(spark, sf_dir))
 
 
-@query("jaccard_matrix")
+_DATABASES = sorted(f"src{k}" for k in range(20))
+
+
+@query("jaccard_matrix", f"""{_SIMILAR}, m AS (SELECT low AS r, high AS c, round(coalesce(shared_ids / nullif(a + b - shared_ids, 0), 0.0), 9) AS v FROM sim WHERE kind = 'target'),
+ f AS (SELECT r, c, v FROM m UNION ALL SELECT c, r, v FROM m UNION ALL SELECT database_id, database_id, 1.0 FROM dbs)
+SELECT r AS row, {", ".join(f"max(v) FILTER (c = '{d}') AS {d}" for d in _DATABASES)} FROM f GROUP BY r""")
 def jaccard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.jaccard_matrix(_similar(spark, sf_dir), "target", sorted(f"src{k}" for k in range(20)))
+    rows = registry.jaccard_matrix(_similar(spark, sf_dir), "target", _DATABASES)
+    return rows.select("row", *[F.round(d, 9).alias(d) for d in _DATABASES])
 
 
 @query("long_export")
 def long_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.long_export(_similar(spark, sf_dir))
 
-
-@query("normalized_sequences")
-def normalized_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", normalized(F.col("text")).alias("sequence"))
