@@ -46,6 +46,8 @@ ITEMS, WORDS = 2_000, 60_000
 CHARACTERS = 400_000
 #: Places of the presence bits that bound a subsequence; FILL is set for every window.
 BITS, FILL = 1_024, 0
+#: Tasks that the sample is dealt to.
+SAMPLE_TASKS = 6
 #: Rows of the latent table that are summed apart, and known words of a worker.
 ROWS, KNOWN = 256, 1_000_000
 
@@ -108,7 +110,7 @@ def _passages(texts: list[str], idf: np.ndarray) -> Iterator[tuple[np.ndarray, n
             starts = np.arange(0, len(part), PASSAGE)
             # Repeated words of a passage are few; their products are left out of the norm.
             norms = np.sqrt(np.add.reduceat(idf[part] ** 2, starts))
-            yield part, idf[part] / np.repeat(np.maximum(norms, 1e-9), np.diff(np.append(starts, len(part)))), starts
+            yield part, (idf[part] / np.repeat(np.maximum(norms, 1e-9), np.diff(np.append(starts, len(part))))).astype(np.float32), starts
 
 
 def _gram_product(sample: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -118,18 +120,22 @@ def _gram_product(sample: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.n
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis = shared.value
-        out = np.zeros((FEATURES, width))
+        out = np.zeros((FEATURES, width), np.float32)
         for batch in batches:
             for places, weights, starts in _passages([t or "" for t in batch.column(0).to_pylist()], idf):
                 rows = np.add.reduceat(basis[places] * weights[:, None], starts)
-                np.add.at(out, places, np.repeat(rows, np.diff(np.append(starts, len(places))), axis=0) * weights[:, None])
+                # Rows of one feature are brought together, so that each feature is added to once.
+                order = np.argsort(places, kind="stable")
+                owner = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(places))))[order]
+                held, first = np.unique(places[order], return_index=True)
+                out[held] += np.add.reduceat(rows[owner] * weights[order][:, None], first)
         yield pa.RecordBatch.from_arrays([pa.array(range(0, FEATURES, ROWS), pa.int64()), pa.array([out[k : k + ROWS].tobytes() for k in range(0, FEATURES, ROWS)], pa.binary())], ["row", "sums"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[row] = sums.get(row, 0) + np.frombuffer(raw)
+                sums[row] = sums.get(row, 0) + np.frombuffer(raw, np.float32).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["row", "sums"])
 
     rows = map_arrow(map_arrow(sample, part, "row bigint, sums binary").repartition("row"), total, "row bigint, sums binary").collect()
@@ -142,7 +148,8 @@ def _gram_product(sample: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.n
 def latent_table(docs: DataFrame, idf: np.ndarray, total: int, *, text: str = "text", sample: int = SAMPLE, rank: int = RANK) -> np.ndarray:
     """The whitened latent vector of each feature, times its IDF."""
     turn = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = cut(docs.select(text).where(turn < sample / max(total, 1)))
+    # Few tasks: each sends a partial table of fixed size.
+    chosen = cut(docs.select(text).where(turn < sample / max(total, 1)).repartition(SAMPLE_TASKS))
     basis = np.random.default_rng(11).standard_normal((FEATURES, rank + EXTRA))
     # One power iteration finds the range; the second product gives the small symmetric core on it.
     basis, _ = np.linalg.qr(_gram_product(chosen, idf, basis))
