@@ -25,12 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks
+from .common import blocks, map_arrow
 
 #: Unicode white space, as the tokenizer's pattern understands \s.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cached pre-tokens (and cached space-led pieces) of a worker; more are forgotten together.
-WORDS_HELD = 250_000
+WORDS_HELD = 500_000
 #: Pre-tokens of one recursive query, and ids of one decoding query.
 ENCODE_WORDS = 40_000
 DECODE_ROWS = 1_000_000
@@ -85,6 +85,8 @@ class DuckBpe:
                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                     first.append(a), second.append(b), merged.append(rank)
         self._table("merges", first=pa.array(first, pa.int32()), second=pa.array(second, pa.int32()), merged=pa.array(merged, pa.int64()))
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(t) for t in ranks]
         self._table("vocabulary", token=pa.array(ranks.values(), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
 
     def _table(self, name: str, **columns: pa.Array) -> None:
@@ -140,35 +142,19 @@ class DuckBpe:
         return [b"".join(map(self.runs.__getitem__, row)) for row in encoded]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """The bytes of each row of ids."""
-        out: list[list[bytes]] = [[] for _ in encoded]
-        for rows in self._decode_blocks(encoded):
-            ids = np.concatenate([part for _, part in rows])
-            owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(part) for _, part in rows])
-            self.db.register("ids", pa.table({"owner": owner, "pos": np.arange(len(ids), dtype=np.int32), "token": ids.astype(np.int32)}))
-            decoded = self.db.execute(
-                "SELECT owner, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (token) GROUP BY owner"
-            ).fetchall()
-            self.db.unregister("ids")
-            texts = dict(decoded)
-            for k, (row, _) in enumerate(rows):
-                out[row].append(bytes.fromhex(texts[k]))
-        return [b"".join(parts) for parts in out]
-
-    @staticmethod
-    def _decode_blocks(encoded: list[bytes]) -> Iterator[list[tuple[int, np.ndarray]]]:
-        held, size = [], 0
-        for row, raw in enumerate(encoded):
-            ids = np.frombuffer(raw, "<u4")
-            for start in range(0, len(ids), DECODE_ROWS):
-                part = ids[start : start + DECODE_ROWS]
-                if size and size + len(part) > DECODE_ROWS:
-                    yield held
-                    held, size = [], 0
-                held.append((row, part))
-                size += len(part)
-        if held:
-            yield held
+        """The bytes of each row of ids: all ids in order are decoded in blocks and cut by the tokens' lengths."""
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        text = b"".join([self._decoded(ids[k : k + DECODE_ROWS]) for k in range(0, len(ids), DECODE_ROWS)])
+        upto = np.concatenate(([0], np.cumsum(self.lengths[ids])))
+        ends = upto[np.cumsum([len(raw) // 4 for raw in encoded], dtype=np.int64)].tolist()
+        return [text[start:end] for start, end in zip([0, *ends], ends, strict=False)]
+
+    def _decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes of a block of ids, by one ordered aggregation."""
+        self.db.register("ids", pa.table({"pos": np.arange(len(ids), dtype=np.int32), "token": ids.astype(np.int32)}))
+        found = self.db.execute("SELECT string_agg(hex, '' ORDER BY pos) FROM ids JOIN vocabulary USING (token)").fetchall()
+        self.db.unregister("ids")
+        return bytes.fromhex(found[0][0])
 
 
 _ENCODERS: dict[str, DuckBpe] = {}
@@ -185,26 +171,34 @@ def worker_bpe(file: bytes, pattern: str) -> DuckBpe:
 
 
 def byte_bpe(docs: DataFrame, path: str, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Columns `keep`, then ids (array<long>) and decoded (binary) of every whole text.
+    """Columns `keep`, then ids (array<int>) and decoded (binary) of every whole text.
 
     The vocabulary file is read on the driver and broadcast; its size is that of the tokenizer (about
     1 MB) and does not depend on the documents.
     """
-    return _mapped(docs, path, pattern, keep, text, {"ids": "array<bigint>", "decoded": "binary"}, lambda raw, decoded: (np.frombuffer(raw, "<u4").tolist(), decoded))
+
+    def columns(ids: list[bytes], decoded: list[bytes]) -> list[pa.Array]:
+        ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))), pa.array(decoded, pa.binary())]
+
+    return _mapped(docs, path, pattern, keep, text, {"ids": "array<int>", "decoded": "binary"}, columns)
 
 
 def byte_bpe_digests(docs: DataFrame, path: str, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns `keep`, then n_tokens, ids_sha256 and decoded_sha256, digested where the ids are made."""
-    kinds = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
-    return _mapped(docs, path, pattern, keep, text, kinds, lambda raw, decoded: (len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+
+    def columns(ids: list[bytes], decoded: list[bytes]) -> list[pa.Array]:
+        return [pa.array([len(i) // 4 for i in ids], pa.int64()), *(pa.array([hashlib.sha256(r).hexdigest() for r in rows], pa.string()) for rows in (ids, decoded))]
+
+    return _mapped(docs, path, pattern, keep, text, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, columns)
 
 
-def _mapped(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], text: str, kinds: dict[str, str], row) -> DataFrame:
+def _mapped(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], text: str, kinds: dict[str, str], columns) -> DataFrame:
     with open(path, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
     kept = [docs.schema[c] for c in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {t}" for n, t in kinds.items()])
-    arrow = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    names = [f.name for f in kept] + list(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(file.value, pattern)
@@ -212,9 +206,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], tex
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in blocks(texts, 4_000_000):
                 runs = bpe.encode(texts[a:b])
-                made = [row(b"".join(ids), decoded) for ids, decoded in zip(runs, bpe.decode_runs(runs), strict=True)]
-                columns = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
-                columns += [pa.array([m[k] for m in made], arrow[t]) for k, t in enumerate(kinds.values())]
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + list(kinds))
+                made = columns([b"".join(r) for r in runs], bpe.decode_runs(runs))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), *made], names)
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, docs[text].alias("__text")), run, schema)
