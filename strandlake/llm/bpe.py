@@ -30,7 +30,7 @@ from .common import blocks, map_arrow
 #: Unicode white space, as the tokenizer's pattern understands \s.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cached pre-tokens (and cached space-led pieces) of a worker; more are forgotten together.
-WORDS_HELD = 500_000
+WORDS_HELD = 300_000
 #: Pre-tokens of one recursive query, and ids of one decoding query.
 ENCODE_WORDS = 40_000
 DECODE_ROWS = 1_000_000
