@@ -172,21 +172,22 @@ def posting_places(postings: int = POSTINGS) -> np.ndarray:
 
 
 def leaders(sketches: list[bytes], most: int) -> list[tuple[int, int]]:
-    """Links of members of a posting to the first member (leader) that is near them; leaders are compared with all leaders.
+    """Links that join the members of a posting exactly as its pairs within `most` differing bits do.
 
-    The shared positional bytes are tallied first: fewer than chance and distance allow, and the pair is not verified.
+    A member that is reached (a leader) is compared with all members not reached yet, and those near it are
+    reached through it, one link each. A large group of near copies is reached by its first members, so few
+    comparisons are left; no link between two groups is lost.
     """
-    values = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), SKETCH)
-    heads, found = [], []
-    for i, value in enumerate(values):
-        if heads:
-            apart = values[heads] ^ value
-            tallied = np.flatnonzero((apart == 0).sum(1) >= 4)
-            near = tallied[np.bitwise_count(apart[tallied]).sum(1) <= most]
-            if len(near):
-                found.append((heads[near[0]], i))
-                continue
-        heads.append(i)
+    values = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    left, found = np.arange(len(values)), []
+    while len(left):
+        waiting, left = [int(left[0])], left[1:]
+        while waiting and len(left):
+            leader = waiting.pop()
+            near = np.bitwise_count(values[left] ^ values[leader]).sum(1, dtype=np.int32) <= most
+            found += [(leader, int(i)) for i in left[near]]
+            waiting += left[near].tolist()
+            left = left[~near]
     return found
 
 

@@ -95,3 +95,17 @@ def test_leaders_join_a_large_group_without_pairs():
     group = [(base ^ sum(1 << b for b in rng.sample(range(256), 6))).to_bytes(32, "big") for _ in range(2000)]
     links = simhash.leaders(group, 41)
     assert len(links) == 1999 and {a for a, _ in links} == {0}
+
+
+def test_leaders_join_what_pairs_join():
+    a, far = 0, (1 << 60) - 1
+    middle = (1 << 30) - 1  # within 41 bits of both, which are 60 bits apart
+    made = simhash.leaders([v.to_bytes(32, "big") for v in (a, far, middle)], 41)
+    assert len(set(labels(made, range(3)).values())) == 1
+    rng = random.Random(8)
+    for size in (4, 40, 300):
+        # Members of different groups may be near each other though no member is near both first ones.
+        values = [sum(1 << b for b in rng.sample(range(256), rng.randrange(45))) for _ in range(size)]
+        pairs = [(i, j) for j in range(size) for i in range(j) if (values[i] ^ values[j]).bit_count() <= 41]
+        made = simhash.leaders([v.to_bytes(32, "big") for v in values], 41)
+        assert len(made) < size and labels(made, range(size)) == labels(pairs, range(size))
