@@ -37,8 +37,9 @@ from .components import components
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SEED = 42
-#: Bytes of a sketch and sets of four of them that are posted.
-SKETCH, POSTINGS = 32, 96
+#: Sets of bytes of a sketch that are posted, bytes of each, and bytes of a sketch.
+POSTINGS, GROUP = 26, 5
+SKETCH = POSTINGS * GROUP
 
 
 def simhash(text: str, width: int = 3) -> int:
@@ -138,37 +139,39 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return made.join(named, "fp").select(key, "text_hash", "fp", "root", "component_id")
 
 
-def sketch(text: str, width: int = 5) -> bytes:
-    """A long fingerprint: SKETCH bytes over the set of word shingles, from XXH3-128 with several seeds."""
+def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
+    """The set of word shingles as sorted XXH3-64 values; a shorter text is one shingle, no words are none."""
     words = _WORDS.findall(text.lower() if text.isascii() else text.translate(_LOWER))
     if not words:
-        return bytes(SKETCH)
-    shingles = set(map(" ".join, zip(*(words[k:] for k in range(width)), strict=False))) if len(words) >= width else {" ".join(words)}
-    raw = [b"".join([xxhash.xxh3_128_digest(s, seed) for s in shingles]) for seed in range(SKETCH // 16)]
-    bits = [_sums(r, 16) * 2 > len(shingles) for r in raw]
-    return np.packbits(np.concatenate(bits)).tobytes()
+        return np.zeros(0, np.uint64)
+    shingles = map(" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else [" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64))
 
 
-def _sums(raw: bytes, size: int) -> np.ndarray:
-    """How many of the digests of `size` bytes have each bit."""
-    out = np.zeros(8 * size, np.int64)
-    for start in range(0, len(raw), size << 15):
-        out += np.unpackbits(np.frombuffer(raw[start : start + (size << 15)], np.uint8).reshape(-1, size), axis=1).sum(0, dtype=np.int64)
-    return out
+def _orders() -> tuple[np.ndarray, np.ndarray]:
+    """A multiplier and an offset for each byte of a sketch: orders of the 32-bit numbers."""
+    rng = np.random.default_rng(3)
+    return rng.integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, SKETCH, np.uint32)
 
 
-def differing_bits(similarity: float) -> int:
-    """Bits in which sketches of sets of this Jaccard similarity differ on average, and half a deviation more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 8 * SKETCH
-    return int(n * p + 0.5 * math.sqrt(n * p * (1 - p)))
+_TIMES, _PLUS = _orders()
 
 
-def posting_places(postings: int = POSTINGS) -> np.ndarray:
-    """The byte positions of each posting: every position is in equally many."""
-    rng = np.random.default_rng(3)
-    rows = [rng.permutation(SKETCH).reshape(-1, 4) for _ in range(-(-postings * 4 // SKETCH))]
-    return np.sort(np.concatenate(rows)[:postings], axis=1)
+def sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH positional bytes: each is of the least member of the set in an order of its own, so two sets share a byte as often as they are alike."""
+    least = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(low), 1024):
+        np.minimum(least, (low[start : start + 1024, None] * _TIMES + _PLUS).min(0), out=least)
+    # The least numbers have few high bits, so they are mixed before a byte is taken.
+    mixed = (least ^ least >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    return ((mixed ^ mixed >> np.uint32(12)) * np.uint32(0x297A2D39) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
+def differing_bits(similarity: float) -> int:
+    """Bits in which sketches of sets of this Jaccard similarity differ, and four deviations more; half the bits of a byte that isn't shared do."""
+    n, p = SKETCH, 1 - similarity
+    return int(4 * n * p + 4 * math.sqrt(16 * n * p * (1 - p) + 2 * n * p))
 
 
 def leaders(sketches: list[bytes], most: int) -> list[tuple[int, int]]:
@@ -191,47 +194,99 @@ def leaders(sketches: list[bytes], most: int) -> list[tuple[int, int]]:
     return found
 
 
+def alike(sets: list[np.ndarray], sketches: list[bytes], similarity: float, most: int) -> list[int]:
+    """For each set the first one of its component, linked by a Jaccard similarity of at least `similarity`.
+
+    As in leaders(), a set that is reached is compared with those not reached yet: by sketch and size first, then exactly.
+    """
+    values = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    sizes = np.array([len(s) for s in sets])
+    root, left = list(range(len(sets))), np.arange(len(sets))
+    while len(left):
+        first, left = int(left[0]), left[1:]
+        waiting = [first]
+        while waiting and len(left):
+            i = waiting.pop()
+            close = np.bitwise_count(values[left] ^ values[i]).sum(1, dtype=np.int32) <= most
+            close &= np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i]) - 1e-9
+            for at in np.flatnonzero(close):
+                other = sets[left[at]]
+                found = np.searchsorted(sets[i], other)
+                shared = int((sets[i][np.minimum(found, len(sets[i]) - 1)] == other).sum())
+                close[at] = shared >= similarity * (len(other) + len(sets[i]) - shared) - 1e-9
+            for j in left[close].tolist():
+                root[j] = first
+                waiting.append(j)
+            left = left[~close]
+    return root
+
+
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Columns `key`, text_hash and root (one number for each component of texts of at least this similarity).
 
     Texts that differ in some of their words differ in more bits of a fingerprint than a guaranteed minimum of
-    positional bytes allows, so the sketch is longer (SKETCH bytes) and POSTINGS sets of four positional bytes
-    are posted: a pair of similarity 0.9 meets in some posting with a chance of over 0.99. Pairs that meet are
-    tallied and verified on the whole sketch. A posting's members link to leaders, never to each other.
+    positional bytes allows, so the sketch is longer and its bytes are those of least shingles: a byte is shared
+    with a chance of the Jaccard similarity. POSTINGS sets of GROUP bytes are posted, and a pair of similarity s
+    meets with a chance of 1 - (1 - s ** GROUP) ** POSTINGS: over 0.9999 at 0.8. Members of a posting are
+    compared by sketch, with a limit that 0.8 passes by four deviations; the groups that these links form
+    are sent to one task each with their texts, once a text, and linked by the exact similarity of their shingles.
     """
     kind = docs.schema[key].dataType.simpleString()
-    most, places = differing_bits(similarity), posting_places()
+    most, names = differing_bits(similarity), np.arange(POSTINGS) << 40
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in blocks(texts):
-                made = pa.array([sketch(t, width) for t in texts[a:b]], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), made], [key, "text_hash", "sketch"])
+                made = [(xxhash.xxh3_64_intdigest(h.tobytes()), sketch(h)) for h in (shingle_hashes(t, width) for t in texts[a:b])]
+                nodes = pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), nodes, pa.array([m[1] for m in made], pa.binary())], [key, "text_hash", "node", "sketch"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            parts = np.ascontiguousarray(values[:, places]).view("<u4")[:, :, 0].astype(np.int64) | np.arange(len(places)) << 32
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(places))), pa.array(parts.ravel())], ["node", "posting"])
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, POSTINGS, GROUP).astype(np.int64)
+            parts = sum(values[:, :, k] << 8 * k for k in range(GROUP)) | names
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), POSTINGS)), pa.array(parts.ravel())], ["node", "posting"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
             for members in batch.column(0).to_pylist():
                 links += [(members[i]["node"], members[j]["node"]) for i, j in leaders([m["sketch"] for m in members], most)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            root = alike(sets, list(map(sketch, sets)), similarity, most)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[r] for r in root], pa.int64())], ["linked", "root"])
+
+        group, nodes, sets = None, [], []
+        for batch in batches:  # sorted by group and node
+            for g, node, body in zip(*batch.columns, strict=True):
+                if g.as_py() != group:
+                    if nodes:
+                        yield linked(nodes, sets)
+                    group, nodes, sets = g.as_py(), [], []
+                nodes.append(node.as_py())
+                sets.append(shingle_hashes(body.as_py(), width))
+        if nodes:
+            yield linked(nodes, sets)
+
     whole = F.coalesce(docs[text], F.lit(""))
-    made = cut(map_arrow(docs.select(key, F.xxhash64(whole).alias("text_hash"), whole.alias("__text")), fingerprint, f"`{key}` {kind}, text_hash bigint, sketch binary"))
-    made = made.withColumn("node", F.xxhash64("sketch"))
+    made = cut(map_arrow(docs.select(key, F.xxhash64(whole).alias("text_hash"), whole.alias("__text")), fingerprint, f"`{key}` {kind}, text_hash bigint, node bigint, sketch binary"))
     distinct = made.select("node", "sketch").dropDuplicates(["node"])
     posted = map_arrow(distinct, post, "node bigint, posting bigint")
     # Most postings have one member and end here, before any sketch is sent.
     met = posted.groupBy("posting").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1).select("posting", F.explode("nodes").alias("node"))
     groups = met.join(distinct, "node").groupBy("posting").agg(F.array_sort(F.collect_list(F.struct("node", "sketch"))).alias("members"))
-    links = map_arrow(groups.select("members"), verify, "a bigint, b bigint").distinct()
-    found = components(links, "a", "b").withColumnRenamed("node", "linked")
+    links = map_arrow(groups.select("members"), meet, "a bigint, b bigint").distinct()
+    linked = components(links, "a", "b")
+    candidates = linked.select("node", F.col("root").alias("group")).union(linked.select("root", "root").distinct())
+    # One text of each node that is in a group is sent to the group.
+    wanted = made.join(candidates, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("group").alias("group"))
+    texts = docs.select(F.xxhash64(whole).alias("text_hash"), whole.alias("__text")).join(wanted, "text_hash")
+    texts = texts.groupBy("group", "node").agg(F.first("__text").alias("__text")).repartition("group").sortWithinPartitions("group", "node")
+    found = map_arrow(texts, verify, "linked bigint, root bigint")
     return made.join(found, F.col("node") == F.col("linked"), "left").select(key, "text_hash", F.coalesce("root", "node").alias("root"))
 
 

@@ -109,3 +109,37 @@ def test_leaders_join_what_pairs_join():
         pairs = [(i, j) for j in range(size) for i in range(j) if (values[i] ^ values[j]).bit_count() <= 41]
         made = simhash.leaders([v.to_bytes(32, "big") for v in values], 41)
         assert len(made) < size and labels(made, range(size)) == labels(pairs, range(size))
+
+
+def test_near_copies_equal_brute_force_at_the_limit(spark, rows):
+    def shingles(text, width=5):
+        words = WORD.findall("".join(c.lower() if c < "\x7f" else c for c in text or ""))
+        return frozenset(" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+    docs, near = [(k, t) for k, (_, t, _) in enumerate(rows)], []
+    sets = [shingles(t) for _, t in docs]
+    for seed in range(300):  # pairs of a similarity around 0.8
+        rng = random.Random(seed)
+        text = [f"w{rng.randrange(20000)}" for _ in range(rng.choice((80, 200, 300)))]
+        other = list(text)
+        for at in rng.sample(range(len(text)), max(1, round(len(text) * rng.uniform(0.015, 0.03)))):
+            other[at] = f"w{rng.randrange(20000)}"
+        for words in (text, other):
+            docs.append((len(docs), " ".join(words)))
+            sets.append(shingles(docs[-1][1]))
+        a, b = sets[-2:]
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            near.append((len(docs) - 2, len(docs) - 1))
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s or {None}:
+            holders.setdefault(x, []).append(k)
+    met = {(i, j) for held in holders.values() for j in held for i in held if i < j}
+    pairs = [(i, j) for i, j in met if not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    want = labels(pairs, range(len(docs)))
+    made = {r["doc_id"]: r["root"] for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert len(near) > 60 and all(made[a] == made[b] for a, b in near)
+    least = {}
+    for k in range(len(docs)):
+        least.setdefault(made[k], k)
+    assert {k: least[made[k]] for k in made} == want
