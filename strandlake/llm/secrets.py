@@ -10,11 +10,11 @@ reported only when complementary parts co-occur in their scope:
   endpoint  needs both an access identifier or login and a secret
 
 A scope is a stanza (text between blank lines), and the gap between two parts is at most REACH code
-points. The interval join puts parts in bins of REACH code points: two parts of one bin are always near,
-and of the neighbouring bins only the nearest part can matter. So each bin is aggregated to the last end
-and first start of each role before anything is joined, and a candidate meets three rows at most; no
-pairs are formed, however many parts a text holds. Weak spans that overlap a base span are not reported
-again; nor are weak spans that overlap an earlier weak one (login, weak, endpoint at the same start).
+points, however long the parts are. Of the parts that start no later than a candidate only the greatest
+end can matter, and of those that start no earlier the least start; both are running aggregates by role
+over the parts of the scope, so no pairs are formed, however many parts a text holds. Weak spans that
+overlap a base span are not reported again; nor are weak spans that overlap an earlier weak one (login,
+weak, endpoint at the same start).
 
 Defined results: a null text counts as the empty text, without findings; repeated rows give repeated
 results; a null id is kept; rows that share an id but not a text are scanned apart; other columns are
@@ -71,26 +71,17 @@ def _weak(texts: DataFrame) -> DataFrame:
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """The weak rows of `parts` (KEY, scope, kind, start, end) whose complementary parts are in reach in their scope."""
     role = F.when(F.col("kind").isin("access", "login"), "id").when(F.col("kind") == "endpoint", "at").otherwise("secret")
-    parts = parts.withColumn("role", role).withColumn("bin", F.floor(F.col("start") / reach))
-    facts = parts.groupBy(*KEY, "scope", "bin").agg(
-        *[F.max(F.when(F.col("role") == r, F.col("end"))).alias(f"last_{r}") for r in ("id", "secret", "at")],
-        *[F.min(F.when(F.col("role") == r, F.col("start"))).alias(f"first_{r}") for r in ("id", "secret", "at")],
-    )
-    # Each bin tells itself and both neighbours what it holds: three rows a bin.
-    told = facts.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("shift")).withColumn("bin", F.col("bin") + F.col("shift"))
-    told = told.groupBy(*KEY, "scope", "bin").agg(
-        *[F.max(F.when(F.col("shift") == 1, F.col(f"last_{r}"))).alias(f"before_{r}") for r in ("id", "secret", "at")],
-        *[F.max(F.when(F.col("shift") == 0, F.col(f"last_{r}"))).alias(f"within_{r}") for r in ("id", "secret", "at")],
-        *[F.min(F.when(F.col("shift") == -1, F.col(f"first_{r}"))).alias(f"after_{r}") for r in ("id", "secret", "at")],
-    )
+    parts = parts.withColumn("role", role)
+    scope = Window.partitionBy(*KEY, "scope")
+    # What starts no later and what starts no earlier. No part has the role that its own kind needs.
+    before, after = (scope.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("start"), F.col("start").desc()))
 
     def near(r: str) -> Column:
-        before, after = F.col("start") - F.col(f"before_{r}") <= reach, F.col(f"after_{r}") - F.col("end") <= reach
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)) | F.col(f"within_{r}").isNotNull()
+        last = F.max(F.when(F.col("role") == r, F.col("end"))).over(before)
+        first = F.min(F.when(F.col("role") == r, F.col("start"))).over(after)
+        return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(first - F.col("end") <= reach, F.lit(False))
 
-    weak = parts.where(F.col("kind").isin(*WEAK_KINDS))
-    met = weak.join(told, [same_text(weak, told), weak["scope"] == told["scope"], weak["bin"] == told["bin"]])
-    met = met.select(*[weak[c] for c in (*KEY, "kind", "start", "end")], *[near(r).alias(f"near_{r}") for r in ("id", "secret", "at")])
+    met = parts.select(*KEY, "kind", "start", "end", *[near(r).alias(f"near_{r}") for r in ("id", "secret", "at")]).where(F.col("kind").isin(*WEAK_KINDS))
     kept = F.when(F.col("kind") == "login", F.col("near_secret")).when(F.col("kind") == "weak", F.col("near_id") | F.col("near_at")).otherwise(F.col("near_id") & F.col("near_secret"))
     return met.where(kept).select(*KEY, "kind", "start", "end")
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from strandlake.llm import queries, secrets
@@ -59,3 +60,26 @@ def test_redaction(spark, docs):
 
 def test_empty(empty):
     assert secrets.scan(empty).count() == 0
+
+
+def test_long_parts_are_linked(spark):
+    found = scanned(spark, ["secret=" + "a1" * 450 + "   user = bob", "token=abcdefgh " + "x " * 192 + "\nuser = bob", "user = bob " + "x " * 192 + "token=" + "b2" * 300, "token=abcdefgh " + "x " * 200 + "\nuser = bob"])
+    assert all([k for k, _, _ in found[i]].count("login") == 1 for i in (0, 1, 2)) and [k for k, _, _ in found[3]] == ["assign"]
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(3)
+    kinds, rows = "assign access hex login weak endpoint".split(), []
+    for text in range(40):
+        for _ in range(rng.randrange(1, 9)):
+            start = rng.randrange(4000)
+            rows.append((text, text, rng.randrange(2), rng.choice(kinds), start, start + rng.choice((5, 30, 500, 1500))))
+    rows = sorted(set(rows))
+    role = {"access": "id", "login": "id", "endpoint": "at"}
+    want = []
+    for t, h, scope, kind, start, end in rows:
+        near = {role.get(k, "secret") for u, _, c, k, s, e in rows if (u, c) == (t, scope) and max(s - end, start - e) <= secrets.REACH}
+        if (kind == "login" and "secret" in near) or (kind == "weak" and near & {"id", "at"}) or (kind == "endpoint" and {"id", "secret"} <= near):
+            want.append((t, h, kind, start, end))
+    frame = spark.createDataFrame(rows, "sp_id long, sp_hash long, scope long, kind string, start long, end long")
+    assert sorted(map(tuple, secrets.linked(frame).collect())) == sorted(want)
