@@ -9,17 +9,22 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from ..functions.sequences import Digestion, digest, reverse_and_switch, segments
-from ..session import ship
+from ..session import checkpointed, ship
 from .peptides import digested
 
-TRIES = 100
+#: Tries of a peptide (of each copy of it), and arrangements that all are given before the unresolved get all tries.
+TRIES, FIRST = 100, 20
+#: Rows of a batch of arrangements.
+ROWS = 20_000
 PRECEDING, FOLLOWING = "AK", "AK"
 
 
@@ -78,18 +83,20 @@ def arrangements(peptides: DataFrame, count: int, seed: int, *, fix_first: bool
     """Up to `count` distinct other orders of each peptide: peptide, nth, candidate; from a generator of the peptide's own."""
     ship(peptides.sparkSession)
 
+    def drawn(p: str) -> Iterator[tuple[str, int, str]]:
+        rng, seen = random.Random(f"{seed}\0{p}"), set()
+        while len(seen) < count:
+            found = permuted(p, rng, seen.__contains__, fix_first=fix_first, fix_last=fix_last)
+            if found is None:
+                break
+            yield p, len(seen), found
+            seen.add(found)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for p in batch.column(0).to_pylist():
-                rng, seen = random.Random(f"{seed}\0{p}"), set()
-                while len(seen) < count:
-                    found = permuted(p, rng, seen.__contains__, fix_first=fix_first, fix_last=fix_last)
-                    if found is None:
-                        break
-                    rows.append((p, len(seen), found))
-                    seen.add(found)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["peptide", "nth", "candidate"])
+            rows = (row for p in batch.column(0).to_pylist() for row in drawn(p))
+            while held := list(islice(rows, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["peptide", "nth", "candidate"])
 
     return peptides.select("peptide").mapInArrow(run, "peptide string, nth bigint, candidate string")
 
@@ -100,20 +107,26 @@ def _signature(peptide: Column, digestion: Digestion) -> Column:
     return F.struct(parts(peptide), parts(F.concat(F.lit(PRECEDING), peptide)), parts(F.concat(peptide, F.lit(FOLLOWING))))
 
 
-def decoypyrat(rows: DataFrame, digestion: Digestion, seed: int, prefix: str = "REV_", *, candidates: int = 20) -> DataFrame:
+def decoypyrat(rows: DataFrame, digestion: Digestion, seed: int, prefix: str = "REV_", *, candidates: int = TRIES) -> DataFrame:
     """Digestion-aware decoys: reversed with cleavage residues switched; peptides that targets have are rearranged.
 
     `rows` has id, raw_header, sequence. Each distinct colliding peptide is resolved once, by the first of
-    its arrangements that is no target and is cleaved alike; one without any is left out, and so is a decoy
-    that nothing is left of. Adds initial_collisions and dropped_peptides of each decoy.
+    its `candidates` arrangements that is no target and is cleaved alike; one without any is left out, and so
+    is a decoy that nothing is left of. Those that FIRST arrangements don't resolve are given the others. Adds initial_collisions and dropped_peptides of each decoy.
     """
     targets = digested(rows.select("sequence"), Digestion(digestion.enzyme, digestion.cut, digestion.shortest, digestion.longest)).select("peptide").distinct()
     first = rows.select("id", "raw_header", F.posexplode(F.flatten(segments(reverse_and_switch(F.col("sequence")), digestion))).alias("pos", "peptide"))
     selected = F.length("peptide").between(digestion.shortest, digestion.longest)
-    clashing = first.where(selected).select("peptide").distinct().join(targets, "peptide", "left_semi")
-    tried = arrangements(clashing, candidates, seed, fix_last=True)
-    tried = tried.join(targets.withColumnRenamed("peptide", "candidate"), "candidate", "left_anti").where(_signature(F.col("candidate"), digestion) == _signature(F.col("peptide"), digestion))
-    chosen = tried.groupBy("peptide").agg(F.min_by("candidate", "nth").alias("replacement"))
+    clashing = checkpointed(first.where(selected).select("peptide").distinct().join(targets, "peptide", "left_semi"))
+
+    def fitting(peptides: DataFrame, count: int) -> DataFrame:
+        tried = arrangements(peptides, count, seed, fix_last=True).where(_signature(F.col("candidate"), digestion) == _signature(F.col("peptide"), digestion))
+        tried = tried.join(targets.withColumnRenamed("peptide", "candidate"), "candidate", "left_anti")
+        return checkpointed(tried.groupBy("peptide").agg(F.min_by("candidate", "nth").alias("replacement")))
+
+    chosen = fitting(clashing, min(FIRST, candidates))
+    if candidates > FIRST:
+        chosen = chosen.union(fitting(clashing.join(chosen, "peptide", "left_anti"), candidates))
     resolved = clashing.join(chosen, "peptide", "left").withColumn("clash", F.lit(True))
     parts = first.join(resolved, "peptide", "left")
     part = F.when(F.col("clash").isNull(), F.col("peptide")).otherwise(F.coalesce("replacement", F.lit("")))
@@ -124,20 +137,35 @@ def decoypyrat(rows: DataFrame, digestion: Digestion, seed: int, prefix: str = "
     return built.where(F.col("sequence") != "").withColumn("raw_header", F.concat(F.lit(prefix), "raw_header"))
 
 
-def shuffled_entrapment(rows: DataFrame, digestion: Digestion, fold: int, seed: int, *, fix_first: bool = False, fix_last: bool = True, candidates: int = 20) -> DataFrame:
+def shuffled_entrapment(rows: DataFrame, digestion: Digestion, fold: int, seed: int, *, fix_first: bool = False, fix_last: bool = True, candidates: int | None = None) -> DataFrame:
     """Entrapment proteins: each selected peptide replaced by one of its own `fold` arrangements, all of them unique.
 
     `rows` has id, raw_header, sequence. Candidates that are targets go; of equal candidates of different
-    peptides the first peptide by name keeps it. A protein has as many copies as its poorest peptide allows.
+    peptides the first peptide by name keeps it. Peptides that lack some after a round draw again, up to
+    `candidates` (TRIES for each copy), without what others have taken, until nothing is added. A protein has as many copies as its poorest peptide allows.
     Columns source_id, fold_index, id, raw_header, sequence.
     """
     targets = digested(rows.select("sequence"), digestion).select("peptide").distinct()
     parts = rows.select("id", "raw_header", F.posexplode(F.flatten(segments(F.col("sequence"), digestion))).alias("pos", "peptide"))
     selected = F.length("peptide").between(digestion.shortest, digestion.longest)
-    made = arrangements(parts.where(selected).select("peptide").distinct(), candidates, seed, fix_first=fix_first, fix_last=fix_last)
-    free = made.join(targets.withColumnRenamed("peptide", "candidate"), "candidate", "left_anti")
-    owned = free.groupBy("candidate").agg(F.min(F.struct("peptide", "nth")).alias("o")).select("candidate", "o.peptide", "o.nth")
-    lists = owned.groupBy("peptide").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("nth", "candidate"))), lambda c: c["candidate"]), 1, fold).alias("found"))
+    wanted = checkpointed(parts.where(selected).select("peptide").distinct())
+    most = candidates or TRIES * fold
+    count, rounds, lacking = min(most, max(FIRST, 2 * fold)), [], wanted.withColumn("had", F.lit(0))
+    while True:
+        made = arrangements(lacking, count, seed, fix_first=fix_first, fix_last=fix_last)
+        free = made.join(targets.withColumnRenamed("peptide", "candidate"), "candidate", "left_anti")
+        for done in rounds:
+            free = free.join(done.select("candidate"), "candidate", "left_anti")
+        owned = free.groupBy("candidate").agg(F.min(F.struct("peptide", "nth")).alias("o")).select("candidate", "o.peptide", "o.nth")
+        order = Window.partitionBy("peptide").orderBy("nth")
+        kept = owned.join(lacking, "peptide").withColumn("place", F.col("had") + F.row_number().over(order)).where(F.col("place") <= fold)
+        rounds.append(checkpointed(kept.select("peptide", "place", "candidate")))
+        taken = reduce(DataFrame.union, rounds)
+        lacking = checkpointed(wanted.join(taken.groupBy("peptide").agg(F.count(F.lit(1)).alias("n")), "peptide", "left").select("peptide", F.coalesce("n", F.lit(0)).alias("had")).where(F.col("had") < fold))
+        if lacking.isEmpty() or (count == most and rounds[-1].isEmpty()):
+            break
+        count = most
+    lists = taken.groupBy("peptide").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "candidate"))), lambda c: c["candidate"]).alias("found"))
     parts = parts.withColumn("selected", selected).join(lists, "peptide", "left")
     choices = F.when(F.col("selected"), F.coalesce("found", F.array().cast("array<string>"))).otherwise(F.array_repeat("peptide", F.lit(fold)))
     built = parts.groupBy("id", "raw_header").agg(F.array_sort(F.collect_list(F.struct("pos", "peptide", choices.alias("choices")))).alias("parts"))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,32 @@ def test_decoypyrat_and_entrapment_invariants(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, generate.shuffle_decoys(frame, 7).collect()))
 
 
+def test_decoypyrat_keeps_what_a_hundred_tries_resolve(spark):
+    rng, rows = random.Random(11), []
+    while len(rows) < 120:  # decoys with one inner KP or RP that are targets too
+        protein = "".join(rng.choice("ACDEFGHILMNPPPPQSTVWYKR") for _ in range(60))
+        decoy = list(protein[::-1])
+        for k in range(1, len(decoy)):
+            if decoy[k] in "KR":
+                decoy[k - 1], decoy[k] = decoy[k], decoy[k - 1]
+        for part in re.split("(?<=[KR])(?!P)", "".join(decoy))[1:-1]:
+            if 11 <= len(part) <= 13 and len(re.findall("[KR]P", part)) == 1 and len(re.findall("[KR]", part)) == 2:
+                rows += [(f"P{len(rows)}", "d", protein), (f"Q{len(rows)}", "d", part)]
+                break
+    frame = spark.createDataFrame(rows, "id string, raw_header string, sequence string")
+    made = generate.decoypyrat(frame, Digestion(shortest=7, longest=50), 7).where("id like 'P%'").collect()
+    assert sum(r["initial_collisions"] for r in made) >= 60 and sum(r["dropped_peptides"] for r in made) == 0
+
+
+def test_entrapment_of_many_copies(spark):
+    frame = spark.createDataFrame([("P", "P", "ACDEFGHILMNK"), ("Q", "Q", "CADEFGHILMNK"), ("S", "S", "ACDK"), ("T", "T", "CADK"), ("U", "U", "DACK")], "id string, raw_header string, sequence string")
+    made = generate.shuffled_entrapment(frame.where("id in ('P', 'Q')"), Digestion(shortest=3, longest=50), 30, 7).collect()
+    assert len(made) == 60 and len({r["sequence"] for r in made}) == 60
+    # Three of six orders are targets, so each peptide can have one of the other three, whoever draws first.
+    one = generate.shuffled_entrapment(frame.where("id in ('S', 'T', 'U')"), Digestion(shortest=3, longest=50), 1, 7).collect()
+    assert len({r["sequence"] for r in one}) == 3
+
+
 def test_parity_shuffle_uses_one_generator_in_order(spark):
     rows = [(k, f"P{k}", "ACDEFG") for k in range(6)]
     frame = spark.createDataFrame(rows, "n int, raw_header string, sequence string").repartition(3)
