@@ -4,10 +4,13 @@
 2. A distributed randomised SVD of the TF-IDF matrix of passages (two products with A'A, each one pass
    over a bounded sample of documents, SAMPLE of them chosen by a hash) gives RANK latent directions,
    whitened by their singular values.
-3. Every document's words are summed in blocks of STRIDE words and windows of each width at every block;
-   an item is cut into passages of at most PASSAGE words, and each is compared by cosine with the windows
-   just wider than itself. Windows of at least COSINE are candidates, unless they and the blocks around
-   them hold too few of the passage's words for the subsequence that is asked for (an exact bound).
+3. Candidates come from two retrievals, and neither takes from the other. By meaning: every document's words
+   are summed in blocks of STRIDE words and windows of each width at every block; an item is cut into passages
+   of at most PASSAGE words, each is compared by cosine with the windows just wider than itself, and windows of
+   at least COSINE are candidates. By words: a subsequence of LCS of a passage has some of any of its words but
+   the few that may be left out, so the windows with enough of the passage's rarest words are found by their
+   postings; no window that can hold the passage is lost. Candidates of either kind go if the window and the
+   blocks around it hold too few of the passage's words for the subsequence that is asked for (an exact bound).
 4. A candidate holds if the longest common subsequence of the passage and the window's surroundings
    covers LCS of the passage, and, unless it covers VERBATIM of it, at least ANSWER of the words of the
    item's answer (its last sentence) stand near.
@@ -188,10 +191,11 @@ class Item:
 class Searcher:
     """Windows of whole texts against the passages of a block of items."""
 
-    def __init__(self, table: np.ndarray, items: list[Item]):
+    def __init__(self, table: np.ndarray, items: list[Item], idf: np.ndarray):
         self.table, self.items = np.vstack([table, np.zeros((1, table.shape[1]), np.float32)]), items
         self.by_width: dict[int, tuple[np.ndarray, list[tuple[Item, list[str]]]]] = {}
         self.bits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         owners: dict[int, list[tuple[Item, list[str]]]] = {w: [] for w in WIDTHS}
         for item in items:
             for passage in item.passages:
@@ -203,8 +207,43 @@ class Searcher:
                 rows = [[p % BITS for p in features(" ".join(passage))] for _, passage in held]
                 longest = max(map(len, rows))
                 self.bits[width] = np.array([r + [FILL] * (longest - len(r)) for r in rows]), np.array([len(r) for r in rows])
+                self.index[width] = self._index([features(" ".join(p)) for _, p in held], idf)
                 self.by_width[width] = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T.copy(), held
 
+    @staticmethod
+    def _index(rows: list[list[int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Postings of each passage's rarest features: where a feature's begin, the passages, and how many must be met.
+
+        A subsequence that covers LCS of a passage leaves out at most `free` of its words, so it has two at least of
+        any free + 2 of them.
+        """
+        held, need = [], []
+        for j, row in enumerate(rows):
+            least = int(np.ceil(LCS * len(row) - 1e-9))
+            need.append(min(2, least))
+            rarest = sorted(row, key=lambda f: (-idf[f], f))[: len(row) - least + need[-1]]
+            held += [(f, j) for f in set(rarest)]
+        features, passages = np.array(sorted(held)).T
+        return np.searchsorted(features, np.arange(FEATURES + 2)), passages, np.array(need)
+
+    def _met(self, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every (block, passage) where the window that begins there and the blocks around it may hold LCS of the passage."""
+        begin, passages, need = self.index[width]
+        blocks, n = len(words), width // STRIDE
+        flat = words.ravel()
+        at = np.flatnonzero(begin[flat + 1] > begin[flat])
+        counts = begin[flat[at] + 1] - begin[flat[at]]
+        of = np.repeat(np.arange(len(at)), counts)
+        j = passages[begin[flat[at]][of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)]
+        first = at[of] // STRIDE
+        # A window is heard from a block before its first to a block after its last.
+        spread = (first[:, None] + np.arange(-n, 2)).ravel()
+        j = np.repeat(j, n + 2)
+        inside = (spread >= 0) & (spread < blocks)
+        pairs, hits = np.unique(spread[inside] * len(need) + j[inside], return_counts=True)
+        pairs = pairs[hits >= need[pairs % len(need)]]
+        return pairs // len(need), pairs % len(need)
+
     def candidates(self, places: list[np.ndarray]) -> Iterator[tuple[int, int, int, Item, list[str], float]]:
         """(text, first word, width, item, passage, cosine) of windows that are near a passage and hold enough of its words."""
         sizes = np.array([-(-len(p) // STRIDE) for p in places])
@@ -232,17 +271,25 @@ class Searcher:
             around[1:] |= present[:-1] * same[:, None]
             if len(owner) > n:
                 around[:-n] |= present[n:] * (owner[n:] == owner[:-n])[:, None]
-            begins = np.flatnonzero((index == 0) | (index + n <= sizes[owner]))
+            whole = (index == 0) | (index + n <= sizes[owner])
+            begins = np.flatnonzero(whole)
+            row_of = np.cumsum(whole) - 1
+            met, passage = self._met(words, width)
+            met, passage = row_of[met[whole[met]]], passage[whole[met]]
             window = window[begins]
             window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
             bits, lengths = self.bits[width]
             for start in range(0, len(window), 4096):
                 near = window[start : start + 4096] @ vectors
+                # Windows near in meaning, and all that hold enough of a passage's rare words.
                 i, j = np.nonzero(near >= COSINE)
+                a, b = np.searchsorted(met, (start, start + len(near)))
+                both = np.unique(np.concatenate([i * near.shape[1] + j, (met[a:b] - start) * near.shape[1] + passage[a:b]]))
+                i, j = both // near.shape[1], both % near.shape[1]
                 # A subsequence has no more words than the passage has in common with the surroundings.
                 hit = around[begins[start + i][:, None], bits[j] >> 3] >> (bits[j] & 7).astype(np.uint8) & 1
                 common = hit.sum(1, dtype=np.int32) - (bits.shape[1] - lengths[j])
-                for i, j in zip(i[kept := common >= LCS * lengths[j]], j[kept], strict=True):
+                for i, j in zip(i[kept := common >= LCS * lengths[j] - 1e-9], j[kept], strict=True):
                     at = begins[start + i]
                     yield int(owner[at]), int(index[at]) * STRIDE, width, *held[j], float(near[i, j])
 
@@ -270,7 +317,7 @@ class Searcher:
             words = split.get(row) or split.setdefault(row, texts[row].lower().split())
             around = [plain(w) for w in words[max(0, first - STRIDE) : first + width + STRIDE]]
             covered = lcs_length(passage, around) / len(passage)
-            if covered < LCS:
+            if covered < LCS - 1e-9:
                 continue
             reach = len(item.words)
             near = Counter(plain(w) for w in words[max(0, first - reach) : first + width + reach])
@@ -296,9 +343,10 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[Item]]:
 def _searchers(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str):
     """A broadcast of the latent table (of fixed size) and of each block of items (about ITEMS passages)."""
     counts, total = document_frequencies(docs, text)
-    table = latent_table(docs, np.log((1 + total) / (1 + counts)), total, text=text)
+    idf = np.log((1 + total) / (1 + counts))
+    table = latent_table(docs, idf, total, text=text)
     for block in item_blocks(items, item_key, item_text):
-        yield docs.sparkSession.sparkContext.broadcast((table, block))
+        yield docs.sparkSession.sparkContext.broadcast((table, block, idf))
 
 
 def matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

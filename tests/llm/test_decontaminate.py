@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+import pyarrow.parquet as pq
 
 from strandlake.llm import decontaminate as dc
 
@@ -65,3 +68,36 @@ def test_items_in_blocks_and_odd_rows(spark, docs, empty, monkeypatch):
     assert dc.matches(docs, items).count() == 0
     assert dc.matches(empty, items).count() == 0
     assert dc.without_items(docs, items).columns == docs.columns
+
+
+def planted(texts, items, share, seed, first):
+    """Each item in a document of its own, with a share of its words replaced by words of the documents."""
+    rng, out = random.Random(seed), []
+    long = [t.split() for t in texts if len((t or "").split()) > 100]
+    for key, text in items:
+        part, body = text.split(), rng.choice(long)[:2000]
+        for at in rng.sample(range(len(part)), round(share * len(part))):
+            part[at] = rng.choice(rng.choice(long))
+        at = rng.randrange(len(body))
+        out.append((first + key, " ".join(body[:at] + part + body[at:])))
+    return out
+
+
+def test_no_planted_item_of_the_test_tables_is_lost(spark):
+    sf = "/root/testdata/sf0.1"
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()]
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    verbatim = [d for k in range(5) for d in planted(texts, items, 0, k, 1_000_000 + 1000 * k)]
+    changed = [d for k in range(5) for d in planted(texts, items, 0.3, k, 2_000_000 + 1000 * k)]
+    parsed, want = {k: dc.Item(k, t) for k, t in items}, {(i, i % 1000) for i, _ in verbatim}
+    for i, text in changed:  # brute force: the windows of a passage's length and a quarter more, and the answer in the whole text
+        words, item = [dc.plain(w) for w in text.lower().split()], parsed[i % 1000]
+        covered = max(dc.lcs_length(p, words[s : s + len(p) * 5 // 4]) / len(p) for p in item.passages for s in range(len(words)) if set(p) & set(words[s : s + 8]))
+        near = item.answer & Counter(words)
+        if covered >= dc.LCS and sum(near.values()) == sum(item.answer.values()):
+            want.add((i, i % 1000))
+    frame = spark.createDataFrame(verbatim + changed, "doc_id long, text string").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    found = {(r["doc_id"], r["item_id"]) for r in dc.matches(frame.repartition(4), spark.createDataFrame(items, "item_id long, text string")).where("doc_id >= 1000000").collect()}
+    lost = want - found
+    print(len(verbatim), len(want) - len(verbatim), sum(i < 2_000_000 for i, _ in lost), sum(i >= 2_000_000 for i, _ in lost))
+    assert not lost
