@@ -2,8 +2,7 @@
 
 1. Words are hashed to FEATURES places; a place's IDF is counted over all documents.
 2. A distributed randomised SVD of the TF-IDF matrix of passages (two products with A'A, each one pass
-   over a bounded sample of documents, SAMPLE of them chosen by a hash) gives RANK latent directions,
-   whitened by their singular values.
+   over all documents) gives RANK latent directions, whitened by their singular values.
 3. Candidates come from two retrievals, and neither takes from the other. By meaning: every document's words
    are summed in blocks of STRIDE words and windows of each width at every block; an item is cut into passages
    of at most PASSAGE words, each is compared by cosine with the windows just wider than itself, and windows of
@@ -15,8 +14,7 @@
    covers LCS of the passage, and, unless it covers VERBATIM of it, at least ANSWER of the words of the
    item's answer (its last sentence) stand near.
 
-Passes 1 and 3 cover every document and whole texts; only the directions are fitted on a sample. The
-items are a stated query set and are held against all documents in blocks of ITEMS passages. Nothing of
+Every pass covers every document and whole texts. The items are a stated query set and are held against all documents in blocks of ITEMS passages. Nothing of
 a document leaves its task but matches.
 
 Defined results: a null or blank text matches nothing, and so does a null or blank item; repeated rows
@@ -38,19 +36,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, map_arrow
+from .common import blocks, map_arrow
 
-FEATURES, RANK, EXTRA, SAMPLE = 16_384, 96, 16, 3_000
+FEATURES, RANK, EXTRA, COMMON = 16_384, 96, 16, 256
 STRIDE, WIDTHS, PASSAGE = 16, (32, 48), 32
 COSINE, LCS, VERBATIM, ANSWER = 0.4, 0.6, 0.9, 0.5
 #: Passages of one block of items, and words of one product.
-ITEMS, WORDS = 2_000, 60_000
+ITEMS, WORDS = 2_000, 4_096
 #: Characters of texts that are searched together.
 CHARACTERS = 400_000
 #: Places of the presence bits that bound a subsequence; FILL is set for every window.
 BITS, FILL = 1_024, 0
-#: Tasks that the sample is dealt to.
-SAMPLE_TASKS = 6
+#: Tasks that the products are dealt to, at least.
+GRAM_TASKS = 6
 #: Rows of the latent table that are summed apart, and known words of a worker.
 ROWS, KNOWN = 256, 1_000_000
 
@@ -104,35 +102,69 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return counts[:FEATURES], int(counts[FEATURES])
 
 
-def _passages(texts: list[str], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Words, their weights and the starts of the passages (unit rows of the TF-IDF matrix) of some texts."""
+def _passages(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and starts of the passages (rows of the TF-IDF matrix) of some texts, about WORDS words at a time."""
+    held, starts, size = [], [], 0
     for text in texts:
-        places = np.array(features(text), np.int64)
+        places = places_of(text)
         for start in range(0, len(places), WORDS):
             part = places[start : start + WORDS]
-            starts = np.arange(0, len(part), PASSAGE)
-            # Repeated words of a passage are few; their products are left out of the norm.
-            norms = np.sqrt(np.add.reduceat(idf[part] ** 2, starts))
-            yield part, (idf[part] / np.repeat(np.maximum(norms, 1e-9), np.diff(np.append(starts, len(part))))).astype(np.float32), starts
-
-
-def _gram_product(sample: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A times basis, for the passages of the sample: partial products are summed by blocks of rows in Spark."""
-    shared = sample.sparkSession.sparkContext.broadcast((idf, basis.astype(np.float32)))  # of fixed size
+            held.append(part)
+            starts.append(np.arange(0, len(part), PASSAGE) + size)
+            size += len(part)
+            if size >= WORDS:
+                yield np.concatenate(held), np.concatenate(starts)
+                held, starts, size = [], [], 0
+    if size:
+        yield np.concatenate(held), np.concatenate(starts)
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+
+
+class Gram:
+    """A'A times basis, summed over passages. COMMON features are multiplied as a dense matrix, the others are gathered."""
+
+    def __init__(self, idf: np.ndarray, basis: np.ndarray):
+        self.idf, self.basis, self.out = idf, basis, np.zeros((FEATURES, basis.shape[1]), np.float32)
+        self.common = np.sort(np.argsort(idf, kind="stable")[:COMMON])
+        self.slot = np.full(FEATURES, -1)
+        self.slot[self.common] = np.arange(COMMON)
+
+    def add(self, places: np.ndarray, starts: np.ndarray) -> None:
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(places))))
+        # Repeated words of a passage are few; their products are left out of the norm.
+        norms = np.sqrt(np.add.reduceat(self.idf[places] ** 2, starts))
+        weights = (self.idf[places] / np.maximum(norms, 1e-9)[owner]).astype(np.float32)
+        slot = self.slot[places]
+        dense = slot >= 0
+        table = np.bincount(owner[dense] * COMMON + slot[dense], weights[dense], len(starts) * COMMON).astype(np.float32).reshape(-1, COMMON)
+        rows = table @ self.basis[self.common]
+        places, owner, weights = places[~dense], owner[~dense], weights[~dense]
+        if len(places):
+            first = _runs(owner)
+            rows[owner[first]] += np.add.reduceat(self.basis[places] * weights[:, None], first)
+            # Rows of one feature are brought together, so that each feature is added to once.
+            order = np.argsort(places, kind="stable")
+            first = _runs(places[order])
+            self.out[places[order][first]] += np.add.reduceat(rows[owner[order]] * weights[order][:, None], first)
+        self.out[self.common] += table.T @ rows
+
+
+def _gram_product(docs: DataFrame, text: str, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A times basis, for the passages of all documents: partial products are summed by blocks of rows in Spark."""
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((idf, basis.astype(np.float32)))  # of fixed size
     width = basis.shape[1]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis = shared.value
-        out = np.zeros((FEATURES, width), np.float32)
+        gram = Gram(*shared.value)
         for batch in batches:
-            for places, weights, starts in _passages([t or "" for t in batch.column(0).to_pylist()], idf):
-                rows = np.add.reduceat(basis[places] * weights[:, None], starts)
-                # Rows of one feature are brought together, so that each feature is added to once.
-                order = np.argsort(places, kind="stable")
-                owner = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(places))))[order]
-                held, first = np.unique(places[order], return_index=True)
-                out[held] += np.add.reduceat(rows[owner] * weights[order][:, None], first)
-        yield pa.RecordBatch.from_arrays([pa.array(range(0, FEATURES, ROWS), pa.int64()), pa.array([out[k : k + ROWS].tobytes() for k in range(0, FEATURES, ROWS)], pa.binary())], ["row", "sums"])
+            for places, starts in _passages([t or "" for t in batch.column(0).to_pylist()]):
+                gram.add(places, starts)
+        yield pa.RecordBatch.from_arrays([pa.array(range(0, FEATURES, ROWS), pa.int64()), pa.array([gram.out[k : k + ROWS].tobytes() for k in range(0, FEATURES, ROWS)], pa.binary())], ["row", "sums"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -141,22 +173,21 @@ def _gram_product(sample: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.n
                 sums[row] = sums.get(row, 0) + np.frombuffer(raw, np.float32).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["row", "sums"])
 
-    rows = map_arrow(map_arrow(sample, part, "row bigint, sums binary").repartition("row"), total, "row bigint, sums binary").collect()
+    # As many tasks as cores: each sends a partial table of fixed size.
+    dealt = docs.select(text).coalesce(max(GRAM_TASKS, context.defaultParallelism))
+    rows = map_arrow(map_arrow(dealt, part, "row bigint, sums binary").repartition("row"), total, "row bigint, sums binary").collect()
     out = np.zeros((FEATURES, width))
     for r in rows:
         out[r["row"] : r["row"] + ROWS] = np.frombuffer(bytes(r["sums"])).reshape(ROWS, width)
     return out
 
 
-def latent_table(docs: DataFrame, idf: np.ndarray, total: int, *, text: str = "text", sample: int = SAMPLE, rank: int = RANK) -> np.ndarray:
+def latent_table(docs: DataFrame, idf: np.ndarray, *, text: str = "text", rank: int = RANK) -> np.ndarray:
     """The whitened latent vector of each feature, times its IDF."""
-    turn = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # Few tasks: each sends a partial table of fixed size.
-    chosen = cut(docs.select(text).where(turn < sample / max(total, 1)).repartition(SAMPLE_TASKS))
     basis = np.random.default_rng(11).standard_normal((FEATURES, rank + EXTRA))
     # One power iteration finds the range; the second product gives the small symmetric core on it.
-    basis, _ = np.linalg.qr(_gram_product(chosen, idf, basis))
-    core = basis.T @ _gram_product(chosen, idf, basis)
+    basis, _ = np.linalg.qr(_gram_product(docs, text, idf, basis))
+    core = basis.T @ _gram_product(docs, text, idf, basis)
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     order = np.argsort(values)[::-1][:rank]
     good = order[values[order] > 1e-9 * max(values.max(), 1e-300)]
@@ -344,7 +375,7 @@ def _searchers(docs: DataFrame, items: DataFrame, text: str, item_key: str, item
     """A broadcast of the latent table (of fixed size) and of each block of items (about ITEMS passages)."""
     counts, total = document_frequencies(docs, text)
     idf = np.log((1 + total) / (1 + counts))
-    table = latent_table(docs, idf, total, text=text)
+    table = latent_table(docs, idf, text=text)
     for block in item_blocks(items, item_key, item_text):
         yield docs.sparkSession.sparkContext.broadcast((table, block, idf))
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 
 from strandlake.llm import decontaminate as dc
@@ -101,3 +102,30 @@ def test_no_planted_item_of_the_test_tables_is_lost(spark):
     lost = want - found
     print(len(verbatim), len(want) - len(verbatim), sum(i < 2_000_000 for i, _ in lost), sum(i >= 2_000_000 for i, _ in lost))
     assert not lost
+
+
+def test_directions_are_those_of_all_documents(spark):
+    rng = random.Random(9)
+    # More documents than any bounded sample of some thousands, most of them of one word each.
+    docs = [(k, " ".join(rng.choices(WORDS, k=40)) if k % 20 == 0 else WORDS[k % len(WORDS)]) for k in range(8000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    counts, total = dc.document_frequencies(frame, "text")
+    idf = np.log((1 + total) / (1 + counts))
+    rows = []
+    for _, text in docs:
+        places = dc.features(text)
+        for start in range(0, len(places), dc.PASSAGE):
+            part = places[start : start + dc.PASSAGE]
+            rows.append((part, idf[part] / np.sqrt((idf[part] ** 2).sum())))
+    basis = np.random.default_rng(11).standard_normal((dc.FEATURES, dc.RANK + dc.EXTRA))
+    gram = np.zeros((dc.FEATURES, dc.FEATURES), np.float32)
+    for part, weights in rows:
+        np.add.at(gram, (np.repeat(part, len(part)), np.tile(part, len(part))), np.outer(weights, weights).ravel().astype(np.float32))
+    q, _ = np.linalg.qr(gram @ basis)
+    core = q.T @ (gram @ q)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = np.argsort(values)[::-1][: dc.RANK]
+    good = good[values[good] > 1e-9 * values.max()]
+    want = (q @ vectors[:, good]) / np.sqrt(values[good]) * idf[:, None]
+    made, held = dc.latent_table(frame, idf, text="text"), counts > 0
+    assert np.allclose(made[held][:, :20] @ made[held][:, :20].T, want[held][:, :20] @ want[held][:, :20].T, atol=0.02 * np.abs(want[held]).max() ** 2)
