@@ -2,8 +2,9 @@
 
 A signature is a common word (the anchor) and the chain of up to CHAIN content words that follow it
 before the next anchor; other common words are passed over. A text's fingerprint is its set of
-signatures. Two sets are compared by Jaccard similarity; they are partitioned by length so that sets
-of partitions that aren't neighbours can't reach FLOOR and are not compared (likeness 0).
+signatures. Two sets are compared by Jaccard similarity; likeness() can partition them by length, so that
+sets of partitions that aren't neighbours can't reach FLOOR and are not compared. near_edited and near_next
+are exact at any length. A join of all documents within and across length partitions is not built.
 
 Defined results: a null text counts as the empty text; a text without a signature (no anchor followed by
 a content word) has one signature made of all its words, so equal texts are always alike; repeated rows
@@ -64,10 +65,12 @@ def partition(signs: Column, floor: float = FLOOR) -> Column:
     return F.floor(F.log(F.size(signs).cast("double")) / F.log(F.lit(1 / floor)))
 
 
-def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
-    """Jaccard similarity of two sets; 0 without comparing them where their lengths rule `floor` out."""
+def likeness(a: Column, b: Column, floor: float | None = FLOOR) -> Column:
+    """Jaccard similarity of two sets; 0 without comparing them where their lengths rule `floor` out (None: always exact)."""
     both = F.size(F.array_intersect(a, b))
     exact = both / (F.size(a) + F.size(b) - both)
+    if floor is None:
+        return exact
     return F.when(F.abs(partition(a, floor) - partition(b, floor)) > 1, F.lit(0.0)).when(F.least(F.size(a), F.size(b)) < floor * F.greatest(F.size(a), F.size(b)), F.lit(0.0)).otherwise(exact)
 
 
@@ -116,4 +119,4 @@ def edited_and_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("body", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_body", F.lit(1), half))
     rows = rows.select("id", "n_chars", edited.alias("edited"), "signs", "next_signs").withColumn("edited_signs", signatures(F.col("edited")))
-    return rows.select(F.col("id").alias(key), "n_chars", "edited", "signs", "edited_signs", likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"))
+    return rows.select(F.col("id").alias(key), "n_chars", "edited", "signs", "edited_signs", likeness(F.col("signs"), F.col("edited_signs"), None).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs"), None).alias("near_next"))

@@ -45,3 +45,9 @@ def test_one_row_and_none(spark, empty):
     [row] = spotsigs.edited_and_next(one).collect()
     assert row["edited"] == "abab" and row["near_next"] == 1.0
     assert spotsigs.edited_and_next(empty).count() == 0
+
+
+def test_likeness_of_a_short_text_to_a_long_one_is_exact(spark):
+    long = " ".join(f"the cat{k} ran" for k in range(40))
+    rows = spotsigs.edited_and_next(spark.createDataFrame([(2, long), (1, "the cat7 ran")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["near_next"] for r in rows} == {1: 1 / 40, 2: 1 / 40}
