@@ -4,12 +4,18 @@ Encoding. A text is cut into pre-tokens by the tokenizer's pattern. The distinct
 batch that the worker has not met before become token-position rows; a recursive query joins
 neighbouring rows with the merge table and contracts each pre-token's leftmost pair of minimum rank
 until no pair of it is in the table. Decoding joins the ids with the vocabulary and concatenates the
-bytes by an ordered aggregation; runs of ids that come again are decoded once.
+bytes by an ordered aggregation; the ids of a pre-token that comes again are decoded once.
+
+One pair a round would take a pre-token of n letters n rounds over n rows. In a pre-token of more than
+LONG bytes a round therefore contracts every pair whose rank no pair within reach of it undercuts: a
+merge that starts further away can't arrive before it, since a token that had eaten its way there would
+be longer than any token of the vocabulary that stands in the pre-token. The ids are the same.
 
 Defined results: a null text counts as the empty text, which has no ids and decodes to no bytes;
-repeated rows give repeated results; a null id is kept; other columns are not read. Memory is bounded
-by the batch, by WORDS_HELD cached pre-tokens and by DECODE_ROWS ids a query; a single text is held
-whole, but its ids are decoded in pieces.
+repeated rows give repeated results; a null id is kept; other columns are not read. A very long text is
+encoded like any other: its pre-tokens are found in pieces of PIECE characters, cut where a pre-token
+is sure to begin. Memory is bounded by the batch, by twice WORDS_HELD cached pre-tokens, by DECODE_ROWS
+ids a query, and by the longest pre-token.
 """
 
 from __future__ import annotations
@@ -29,13 +35,15 @@ from .common import blocks, map_arrow
 
 #: Unicode white space, as the tokenizer's pattern understands \s.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Cached pre-tokens (and cached space-led pieces) of a worker; more are forgotten together.
-WORDS_HELD = 300_000
+#: Cached pre-tokens of a worker: when there are more, those not met since the last time are forgotten.
+WORDS_HELD = 250_000
 #: Pre-tokens of one recursive query, and ids of one decoding query.
 ENCODE_WORDS = 40_000
 DECODE_ROWS = 1_000_000
+#: Bytes beyond which a pre-token is contracted at many places a round, and characters of a piece of a text.
+LONG, PIECE = 192, 500_000
 
-_PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
 _CONTRACT = """
 WITH RECURSIVE state AS (
@@ -63,6 +71,26 @@ ORDER BY word, spot
 """
 
 
+#: One round of a long pre-token: pairs of the least rank within reach, every other one of neighbours of equal rank.
+_CONTRACT_LONG = """
+WITH pairs AS (
+    SELECT pos, token, merged FROM (SELECT pos, token AS first, lead(token) OVER (ORDER BY pos) AS second, token FROM long) LEFT JOIN merges USING (first, second)
+), near AS (
+    SELECT *, coalesce(merged = min(merged) OVER (ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING), false) AS least,
+           CASE WHEN merged IS NOT DISTINCT FROM lag(merged) OVER (ORDER BY pos) THEN 0 ELSE 1 END AS begins
+    FROM pairs
+), chains AS (
+    SELECT *, sum(begins) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS chain FROM near
+), chosen AS (
+    SELECT pos, token, merged, bool_and(least) OVER upto AND (row_number() OVER upto) % 2 = 1 AS joins
+    FROM chains WINDOW upto AS (PARTITION BY chain ORDER BY pos ROWS UNBOUNDED PRECEDING)
+), met AS (
+    SELECT pos, CASE WHEN joins THEN CAST(merged AS INTEGER) ELSE token END AS token, coalesce(lag(joins) OVER (ORDER BY pos), false) AS eaten FROM chosen
+)
+SELECT row_number() OVER (ORDER BY pos) AS pos, token FROM met WHERE NOT eaten
+"""
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a .tiktoken file, whose lines are a base64 token and its rank."""
     with open(path, "rb") as lines:
@@ -74,10 +102,13 @@ class DuckBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        #: Ids (little-endian unsigned 32-bit integers) and decoded bytes of each pre-token: met lately, and before.
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.former: dict[str, tuple[bytes, bytes]] = {}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.tokens: dict[int, set[bytes]] = {}
+        for token in ranks:
+            self.tokens.setdefault(len(token), set()).add(token)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         first, second, merged = [], [], []
         for token, rank in ranks.items():
@@ -94,52 +125,74 @@ class DuckBpe:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def _contract(self, words: list[str]) -> list[bytes]:
-        raw = [w.encode() for w in words]
-        sizes = np.array([len(r) for r in raw], np.int64)
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(r) for r in words], np.int64)
         ends = np.cumsum(sizes)
         self._table(
             "start",
-            word=pa.array(np.repeat(np.arange(len(raw), dtype=np.int32), sizes)),
+            word=pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)),
             pos=pa.array(np.arange(ends[-1], dtype=np.int64) - np.repeat(ends - sizes, sizes)),
-            token=pa.array(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]),
+            token=pa.array(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]),
         )
         out = self.db.execute(_CONTRACT).fetchnumpy()
-        ids = np.ascontiguousarray(out["token"], "<u4")
-        cuts = np.cumsum(np.bincount(out["word"], minlength=len(raw)))[:-1]
-        return [part.tobytes() for part in np.split(ids, cuts)]
+        ids = np.ascontiguousarray(out["token"], "<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(out["word"], minlength=len(words)))).tolist()
+        return [ids[start:end] for start, end in zip([0, *ends], ends, strict=False)]
+
+    def longest_token(self, word: bytes) -> int:
+        """Bytes of the longest token that stands in a pre-token."""
+        for size in sorted(self.tokens, reverse=True):
+            if size <= len(word) and not self.tokens[size].isdisjoint(word[k : k + size] for k in range(len(word) - size + 1)):
+                return size
+        return 1
+
+    def _contract_long(self, word: bytes) -> bytes:
+        self._table("long", pos=pa.array(np.arange(len(word))), token=pa.array(self.byte_ids[np.frombuffer(word, np.uint8)]))
+        step, size = _CONTRACT_LONG.format(reach=3 * self.longest_token(word)), len(word)
+        while True:
+            self.db.execute(f"CREATE OR REPLACE TABLE long AS {step}")
+            left = self.db.execute("SELECT count(*) FROM long").fetchall()[0][0]
+            if left == size:
+                return np.ascontiguousarray(self.db.execute("SELECT token FROM long ORDER BY pos").fetchnumpy()["token"], "<u4").tobytes()
+            size = left
 
     def _learn(self, words: set[str]) -> None:
-        # Words of like length share a query, so that few steps run for the sake of one long word.
-        new = sorted(words - self.words.keys(), key=lambda w: (len(w), w))
-        start = size = 0
-        for i, word in enumerate(new):
-            size += len(word)
-            if i + 1 == len(new) or i + 1 - start == ENCODE_WORDS or size > 4 * ENCODE_WORDS:
-                self.words.update(zip(new[start : i + 1], self._contract(new[start : i + 1]), strict=True))
-                start, size = i + 1, 0
-
-    def encode(self, texts: list[str]) -> list[list[bytes]]:
-        """Each text's ids in runs, as little-endian unsigned 32-bit integers; joined, the runs are the text's ids.
-
-        White space after anything else always begins a pre-token, so texts are cut there first and
-        the pattern runs once for each distinct piece; a run is the ids of a piece.
-        """
-        if len(self.words) > WORDS_HELD or len(self.pieces) > WORDS_HELD:
-            self.words.clear()
-            self.pieces.clear()
-            self.runs.clear()
-        found = [_PIECES.findall(t) for t in texts]
-        new = {p: self.pattern.findall(p) for p in set().union(*found) - self.pieces.keys()}
-        self._learn({w for ws in new.values() for w in ws})
-        self.pieces.update((p, b"".join([self.words[w] for w in ws])) for p, ws in new.items())
-        return [list(map(self.pieces.__getitem__, ps)) for ps in found]
-
-    def decode_runs(self, encoded: list[list[bytes]]) -> list[bytes]:
-        """The bytes of each row of runs of ids."""
-        new = list(set().union(*encoded) - self.runs.keys())
-        self.runs.update(zip(new, self.decode(new), strict=True))
-        return [b"".join(map(self.runs.__getitem__, row)) for row in encoded]
+        """Encode and decode pre-tokens that are not known. Those of like length share a query, so that few rounds run for one long word."""
+        new = sorted(words, key=len)
+        raw = [w.encode() for w in new]
+        ids: list[bytes] = []
+        while len(ids) < len(new):
+            start = end = len(ids)
+            size = 0
+            while end < len(new) and end - start < ENCODE_WORDS and len(raw[end]) <= LONG and size <= 8 * ENCODE_WORDS:
+                size += len(raw[end])
+                end += 1
+            ids += self._contract(raw[start:end]) if end > start else [self._contract_long(raw[start])]
+        self.words.update(zip(new, zip(ids, self.decode(ids), strict=True), strict=True))
+
+    def encode(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
+        """Each text's pre-tokens in order, as their ids and the bytes that these decode to; joined, they are the text's."""
+        if len(self.words) > WORDS_HELD:
+            self.former, self.words = self.words, {}
+        found = [self._pre_tokens(t) for t in texts]
+        new = set().union(*found) - self.words.keys()
+        known = new & self.former.keys()
+        self.words.update((w, self.former[w]) for w in known)
+        if new := new - known:
+            self._learn(new)
+        return [list(map(self.words.__getitem__, ws)) for ws in found]
+
+    def _pre_tokens(self, text: str) -> list[str]:
+        if len(text) <= PIECE:
+            return self.pattern.findall(text)
+        # White space after anything else begins a pre-token, whatever stands before.
+        found, start = [], 0
+        while start < len(text):
+            cut = _CUT.search(text, start + PIECE)
+            end = cut.start() if cut else len(text)
+            found += self.pattern.findall(text[start:end])
+            start = end
+        return found
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes of each row of ids: all ids in order are decoded in blocks and cut by the tokens' lengths."""
@@ -204,9 +257,8 @@ def _mapped(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], tex
         bpe = worker_bpe(file.value, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in blocks(texts, 4_000_000):
-                runs = bpe.encode(texts[a:b])
-                made = columns([b"".join(r) for r in runs], bpe.decode_runs(runs))
+            for a, b in blocks(texts, 2_000_000):
+                made = columns(*zip(*((b"".join([p[0] for p in row]), b"".join([p[1] for p in row])) for row in bpe.encode(texts[a:b])), strict=True))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), *made], names)
 
     return map_arrow(docs.select(*keep, docs[text].alias("__text")), run, schema)

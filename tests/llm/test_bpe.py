@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers as public
@@ -26,15 +27,35 @@ def test_query_equals_the_library_and_round_trips(spark, docs, rows, library, mo
     assert made == sorted(want)
 
 
+def joined(rows):
+    return [tuple(b"".join(p[k] for p in row) for k in (0, 1)) for row in rows]
+
+
 def test_hard_texts_and_small_blocks(library, monkeypatch):
     monkeypatch.setattr(bpe, "DECODE_ROWS", 7)
     monkeypatch.setattr(bpe, "WORDS_HELD", 3)
+    monkeypatch.setattr(bpe, "PIECE", 5)
+    made = bpe.DuckBpe(bpe.read_ranks(PATH), public.PATTERN)
+    for _ in range(3):
+        found = joined(made.encode(HARD))
+        assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in found] == [library.encode_ordinary(t) for t in HARD]
+        assert [text for _, text in found] == [t.encode() for t in HARD]
+        assert made.decode([ids for ids, _ in found]) == [t.encode() for t in HARD]
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "é", "thein", "etaoinshrdlu", "-=", "\n", "abcdefghijklmnopqrstuvwxyzABC"])
+def test_long_pre_tokens_are_those_of_the_library(library, letters):
+    made = bpe.DuckBpe(bpe.read_ranks(PATH), public.PATTERN)
+    rng = random.Random(len(letters))
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (190, 193, 700, 3000)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in joined(made.encode(words))] == [library.encode_ordinary(w) for w in words]
+
+
+def test_a_very_long_pre_token_round_trips():
     made = bpe.DuckBpe(bpe.read_ranks(PATH), public.PATTERN)
-    for _ in range(2):
-        runs = made.encode(HARD)
-        assert [np.frombuffer(b"".join(r), "<u4").tolist() for r in runs] == [library.encode_ordinary(t) for t in HARD]
-        assert made.decode_runs(runs) == [t.encode() for t in HARD]
-        assert made.decode([b"".join(r) for r in runs]) == [t.encode() for t in HARD]
+    word = "".join(random.Random(5).choice("etaoinshrdlu") for _ in range(200_000))
+    (ids, text), = joined(made.encode([word]))
+    assert text.decode() == word and len(ids) < 4 * 120_000
 
 
 def test_ids_and_empty(docs, empty):
