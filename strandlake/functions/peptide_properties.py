@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STANDARD = "ACDEFGHIKLMNPQRSTVWY"
@@ -86,16 +86,10 @@ def retention_time(sequence: Column) -> Column:
 
 
 def instability_index(sequence: Column) -> Column:
-    weight = F.lit(1.0)
+    # One literal map of the dipeptides that weigh other than 1.
+    weights = F.create_map(*[F.lit(x) for value, listed in INSTABILITY.items() for pair in listed.split() for x in (pair, float(value))])
     pairs = F.transform(F.sequence(F.lit(1), F.length(sequence) - 1), lambda i: F.substring(sequence, i, F.lit(2)))
-
-    def weigh(pair: Column) -> Column:
-        out = weight
-        for value, listed in INSTABILITY.items():
-            out = F.when(pair.isin(*listed.split()), F.lit(value)).otherwise(out)
-        return out
-
-    total = F.when(F.length(sequence) > 1, F.aggregate(pairs, F.lit(0.0), lambda a, p: a + weigh(p))).otherwise(F.lit(0.0))
+    total = F.when(F.length(sequence) > 1, F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(weights[p], F.lit(1.0)))).otherwise(F.lit(0.0))
     return F.lit(10.0) / F.length(sequence) * total
 
 
@@ -127,28 +121,46 @@ def isoelectric_point(sequence: Column, scale: PkScale = EMBOSS) -> Column:
     return (span["low"] + span["high"]) / 2
 
 
-def properties(sequence: Column) -> Column:
-    """A struct of all eighteen properties, in the order of their table."""
+def property_columns(sequence: Column) -> dict[str, Column]:
+    """Each property as a column of its own, in the order of their table, so that those nobody asks for are not computed.
+
+    They are meant for sequences of the standard residues; see standard().
+    """
     inner = F.substring(sequence, F.lit(1), F.length(sequence) - 1)
-    made = F.struct(
-        F.length(sequence).cast("bigint").alias("length"),
-        molecular_weight(sequence).alias("molecular_weight"),
-        isoelectric_point(sequence).alias("isoelectric_point"),
-        hydrophobicity(sequence).alias("hydrophobicity"),
-        instability_index(sequence).alias("instability_index"),
-        boman_index(sequence).alias("boman_index"),
-        net_charge(sequence).alias("charge"),
-        retention_time(sequence).alias("predicted_retention_time"),
-        F.regexp_count(inner, F.lit("[KR](?!P)")).cast("bigint").alias("missed_cleavages"),
-        counted(sequence, "P").cast("bigint").alias("proline_count"),
-        F.right(sequence, F.lit(1)).alias("c_terminal_residue"),
-        sequence.contains("C").alias("contains_cysteine"),
-        sequence.contains("M").alias("contains_methionine"),
-        sequence.contains("W").alias("contains_tryptophan"),
-        F.left(sequence, F.lit(1)).isin("Q", "E").alias("n_terminal_glutamine_or_glutamate"),
-        sequence.startswith("C").alias("n_terminal_cysteine"),
-        sequence.contains("NG").alias("contains_ng_motif"),
-        sequence.contains("DP").alias("contains_dp_motif"),
-    )
+    return {
+        "length": F.length(sequence).cast("bigint"),
+        "molecular_weight": molecular_weight(sequence),
+        "isoelectric_point": isoelectric_point(sequence),
+        "hydrophobicity": hydrophobicity(sequence),
+        "instability_index": instability_index(sequence),
+        "boman_index": boman_index(sequence),
+        "charge": net_charge(sequence),
+        "predicted_retention_time": retention_time(sequence),
+        "missed_cleavages": F.regexp_count(inner, F.lit("[KR](?!P)")).cast("bigint"),
+        "proline_count": counted(sequence, "P").cast("bigint"),
+        "c_terminal_residue": F.right(sequence, F.lit(1)),
+        "contains_cysteine": sequence.contains("C"),
+        "contains_methionine": sequence.contains("M"),
+        "contains_tryptophan": sequence.contains("W"),
+        "n_terminal_glutamine_or_glutamate": F.left(sequence, F.lit(1)).isin("Q", "E"),
+        "n_terminal_cysteine": sequence.startswith("C"),
+        "contains_ng_motif": sequence.contains("NG"),
+        "contains_dp_motif": sequence.contains("DP"),
+    }
+
+
+def standard(sequence: Column) -> Column:
+    """Whether all residues are standard ones; an empty sequence or one with other than capital letters raises."""
     bad = F.when(~sequence.rlike("^[A-Z]+$"), F.raise_error(F.concat(F.lit("peptide sequence must be non-empty upper-case letters, got "), sequence)).cast("boolean"))
-    return F.when(F.coalesce(bad, F.lit(False)), F.lit(None)).when(sequence.rlike(f"^[{STANDARD}]+$"), made)
+    return F.coalesce(bad, sequence.rlike(f"^[{STANDARD}]+$"))
+
+
+def properties(sequence: Column) -> Column:
+    """A struct of all eighteen properties, null for a sequence with other residues."""
+    return F.when(standard(sequence), F.struct(*[c.alias(n) for n, c in property_columns(sequence).items()]))
+
+
+def property_frame(rows: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """The columns of `rows` and every property, null where the sequence has other residues; each prunes alone."""
+    ok = standard(F.col(sequence))
+    return rows.select("*", *[F.when(ok, c).alias(n) for n, c in property_columns(F.col(sequence)).items()])

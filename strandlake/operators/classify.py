@@ -18,24 +18,50 @@ def _keeping(pattern: str) -> tuple[str, str]:
     return java(pattern), "${keep}" if "(?P<keep>" in pattern else ""
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once: a lambda's variable is."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _unnamed(pattern: str) -> str:
+    return f"(?:{java(pattern.replace('(?P<keep>', '(?:'))})"
+
+
 def peel(identifier: Column, classifiers: tuple[Classifier, ...] = CLASSIFIERS, passes: int = PASSES) -> Column:
-    """A struct of the bare identifier and the labels of what was taken off, in authored order until nothing changes."""
-
-    def once(state: Column, _: Column) -> Column:
-        bare, flags = state["bare"], [state[f"f{k}"] for k in range(len(classifiers))]
-        for k, classifier in enumerate(classifiers):
-            for p in (*classifier.prefixes, *classifier.suffixes):
-                pattern, kept = _keeping(p)
-                flags[k] = flags[k] | bare.rlike(pattern)
-                bare = F.regexp_replace(bare, pattern, kept)
+    """A struct of the bare identifier and the labels of what was taken off, in authored order until nothing changes.
+
+    One test of all decorations together lets identifiers without any pass untouched, and ends every later pass.
+    """
+    rules = [(k, *_keeping(p)) for k, c in enumerate(classifiers) for p in (*c.prefixes, *c.suffixes)]
+    if not rules:
+        return F.struct(identifier.alias("bare"), F.array().cast("array<string>").alias("labels"))
+    decorated = "|".join(_unnamed(p) for c in classifiers for p in (*c.prefixes, *c.suffixes))
+
+    def state(bare: Column, flags: list[Column]) -> Column:
         return F.struct(bare.alias("bare"), *[f.alias(f"f{k}") for k, f in enumerate(flags)])
 
-    start = F.struct(identifier.alias("bare"), *[F.lit(False).alias(f"f{k}") for k in range(len(classifiers))])
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, once)
-    again = once(done, F.lit(0))
-    settled = F.when(again["bare"] != done["bare"], F.raise_error(F.lit(f"identifier has more than {passes} layers of decorations")).cast("string")).otherwise(done["bare"])
-    labels = F.array_compact(F.array(*[F.when(done[f"f{k}"], F.lit(c.name)) for k, c in enumerate(classifiers)]))
-    return F.struct(settled.alias("bare"), labels.alias("labels"))
+    def taking(k: int, pattern: str, kept: str):
+        def taken(of: Column) -> Column:
+            flags = [of[f"f{j}"] for j in range(len(classifiers))]
+            flags[k] = flags[k] | of["bare"].rlike(pattern)
+            return state(F.regexp_replace(of["bare"], pattern, kept), flags)
+
+        return taken
+
+    def once(of: Column, _: Column) -> Column:
+        full = of
+        for rule in rules:
+            full = _bound(full, taking(*rule))
+        return F.when(of["bare"].rlike(decorated), full).otherwise(of)
+
+    start = state(identifier, [F.lit(False)] * len(classifiers))
+
+    def settled(done: Column) -> Column:
+        stuck = F.when(done["bare"].rlike(decorated), F.raise_error(F.lit(f"identifier has more than {passes} layers of decorations")).cast("string")).otherwise(done["bare"])
+        return F.struct(stuck.alias("bare"), F.array_compact(F.array(*[F.when(done[f"f{k}"], F.lit(c.name)) for k, c in enumerate(classifiers)])).alias("labels"))
+
+    none = F.struct(identifier.alias("bare"), F.array().cast("array<string>").alias("labels"))
+    return F.when(identifier.rlike(decorated), _bound(F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, once), settled)).otherwise(none)
 
 
 def labels(peeled: Column, classifiers: tuple[Classifier, ...] = CLASSIFIERS) -> Column:

@@ -8,9 +8,11 @@ order, which needs a single task, and are for small databases only.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
+from math import factorial, prod
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -64,37 +66,53 @@ def shuffle_decoys(rows: DataFrame, seed: int, prefix: str = "REV_", *, parity_o
     return headed.repartition(1).sortWithinPartitions(*parity_order).mapInArrow(in_order, headed.schema)
 
 
-def permuted(peptide: str, rng: random.Random, refused, *, fix_first: bool = False, fix_last: bool = False, accept=None, tries: int = TRIES) -> str | None:
-    """Another order of a peptide's residues that is not refused; None if tries run out or there is none."""
-    start, stop = int(fix_first), len(peptide) - int(fix_last)
-    core = list(peptide[start:stop])
-    if len(set(core)) < 2:
-        return None
-    for _ in range(tries):
-        moved = core.copy()
-        rng.shuffle(moved)
-        found = peptide[:start] + "".join(moved) + peptide[stop:]
-        if found != peptide and not refused(found) and (accept is None or accept(found)):
-            return found
-    return None
+def orders(letters: str) -> int:
+    """How many different orders some letters have."""
+    return factorial(len(letters)) // prod(factorial(n) for n in Counter(letters).values())
+
+
+def ordered_by_rank(letters: str, rank: int) -> str:
+    """The order of some letters that has `rank` different orders before it by the alphabet."""
+    left, total, made = Counter(letters), orders(letters), []
+    for size in range(len(letters), 0, -1):
+        for letter in sorted(left):
+            # Of all orders of what is left, so many begin with this letter.
+            first = total * left[letter] // size
+            if rank < first:
+                break
+            rank -= first
+        made.append(letter)
+        total = first
+        left[letter] -= 1
+        if not left[letter]:
+            del left[letter]
+    return "".join(made)
+
+
+def drawn_orders(peptide: str, count: int, seed: int, *, fix_first: bool, fix_last: bool) -> list[str]:
+    """Up to `count` different other orders of a peptide, drawn without repetition by their ranks."""
+    start, stop = int(fix_first), max(int(fix_first), len(peptide) - int(fix_last))
+    core, rng = peptide[start:stop], random.Random(f"{seed}\0{peptide}")
+    n = orders(core)
+    if n <= 4 * count:
+        ranks = rng.sample(range(n), n)
+    else:
+        # Of so many orders two draws seldom meet.
+        ranks = list(dict.fromkeys(rng.randrange(n) for _ in range(2 * count + 8)))
+    found = (ordered_by_rank(core, r) for r in ranks)
+    return [peptide[:start] + o + peptide[stop:] for o in islice((o for o in found if o != core), count)]
 
 
 def arrangements(peptides: DataFrame, count: int, seed: int, *, fix_first: bool = False, fix_last: bool = True) -> DataFrame:
-    """Up to `count` distinct other orders of each peptide: peptide, nth, candidate; from a generator of the peptide's own."""
-    ship(peptides.sparkSession)
+    """Up to `count` distinct other orders of each peptide: peptide, nth, candidate; from a generator of the peptide's own.
 
-    def drawn(p: str) -> Iterator[tuple[str, int, str]]:
-        rng, seen = random.Random(f"{seed}\0{p}"), set()
-        while len(seen) < count:
-            found = permuted(p, rng, seen.__contains__, fix_first=fix_first, fix_last=fix_last)
-            if found is None:
-                break
-            yield p, len(seen), found
-            seen.add(found)
+    A peptide with no more than `count` other orders gets all of them.
+    """
+    ship(peptides.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = (row for p in batch.column(0).to_pylist() for row in drawn(p))
+            rows = ((p, k, o) for p in batch.column(0).to_pylist() for k, o in enumerate(drawn_orders(p, count, seed, fix_first=fix_first, fix_last=fix_last)))
             while held := list(islice(rows, ROWS)):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["peptide", "nth", "candidate"])
 
@@ -191,4 +209,4 @@ def collisions(decoys: DataFrame, targets: DataFrame, digestion: Digestion) -> D
     return d.join(t, "peptide", "left_semi").agg(F.count(F.lit(1)).alias("collisions"))
 
 
-__all__ = ["arrangements", "collisions", "decoypyrat", "digest", "foreign_entrapment", "permuted", "reverse_decoys", "shuffle_decoys", "shuffled_entrapment"]
+__all__ = ["arrangements", "collisions", "decoypyrat", "digest", "foreign_entrapment", "ordered_by_rank", "reverse_decoys", "shuffle_decoys", "shuffled_entrapment"]

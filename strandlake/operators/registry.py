@@ -7,8 +7,7 @@ sums; the number of pairs is that of databases, never of entries.
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,34 +190,67 @@ def jaccard_matrix(similar: DataFrame, kind: str, databases: list, metric: str =
     return cells.groupBy("row").pivot("col", databases).agg(F.first("value")).orderBy("row")
 
 
-def average_linkage(similar: DataFrame, kind: str = "target", metric: str = "id_jaccard", size: str = "distinct_ids") -> DataFrame:
-    """Merges of average linkage over 1 - similarity: step, cluster_id, left_id, right_id, distance, leaf_count.
+def distances(similar: DataFrame, kind: str, metric: str, size: str) -> tuple[list, np.ndarray, list]:
+    """(names, matrix of 1 - similarity, names left out since their sets are empty), for one kind of entries.
 
-    Databases with empty sets are left out. The distances of databases (not of entries) come to the
-    driver, which holds n * (n - 1) / 2 numbers; neighbourhoods of 50 databases are the usual size. Ties
-    go to the pair whose members come first by name.
+    The distances of databases (not of entries) come to the driver: n * (n - 1) / 2 numbers, of which a
+    neighbourhood of 50 databases is the usual size. A missing, repeated or impossible similarity raises.
     """
-    rows = similar.where(F.col("kind") == kind).select("low", "high", metric, f"{size}_low", f"{size}_high").collect()
-    sizes = {r["low"]: r[f"{size}_low"] for r in rows} | {r["high"]: r[f"{size}_high"] for r in rows}
+    rows = similar.where(F.col("kind") == kind).select("low", "high", metric, f"{size}_low", f"{size}_high").toArrow()
+    low, high, values, low_size, high_size = (c.to_pylist() for c in rows.columns)
+    sizes = dict(zip(low, low_size, strict=True)) | dict(zip(high, high_size, strict=True))
     names = sorted((d for d, n in sizes.items() if n), key=str)
     place = {d: k for k, d in enumerate(names)}
-    apart = {frozenset((place[r["low"]], place[r["high"]])): 1.0 - r[metric] for r in rows if r["low"] in place and r["high"] in place}
-    if len(apart) != len(names) * (len(names) - 1) // 2:
+    apart = np.full((len(names), len(names)), np.nan)
+    for a, b, value in zip(low, high, values, strict=True):
+        if a in place and b in place:
+            i, j = sorted((place[a], place[b]))
+            if not 0 <= value <= 1 or not np.isnan(apart[i, j]):
+                raise ValueError(f"{metric} of {a} and {b} is repeated or not between 0 and 1")
+            apart[i, j] = 1.0 - value
+    if np.isnan(apart[np.triu_indices(len(names), 1)]).any():
         raise ValueError("similarities of some pairs of databases are missing")
-    members = {k: (k,) for k in range(len(names))}
-    merges = []
-    while len(members) > 1:
-        near = min(combinations(sorted(members, key=members.get), 2), key=lambda p: (apart[frozenset(p)], members[p[0]], members[p[1]]))
-        a, b = near
-        made = len(names) + len(merges)
-        na, nb = len(members[a]), len(members[b])
-        for c in members.keys() - {a, b}:
-            apart[frozenset((made, c))] = (na * apart[frozenset((a, c))] + nb * apart[frozenset((b, c))]) / (na + nb)
-        merges.append((len(merges), made, a, b, float(apart[frozenset(near)]), na + nb))
-        members[made] = tuple(sorted(members.pop(a) + members.pop(b)))
+    return names, apart, sorted((d for d, n in sizes.items() if not n), key=str)
+
+
+def average_linkage(similar: DataFrame, kind: str = "target", metric: str = "id_jaccard", size: str = "distinct_ids") -> DataFrame:
+    """Merges of average linkage over 1 - similarity: step, cluster_id, left_id, right_id, distance, leaf_count.
+
+    Databases with empty sets are left out. Ties go to the pair whose members come first by name: a cluster
+    keeps the row of its first member, so that is the first least cell of the upper triangle.
+    """
+    names, apart, _ = distances(similar, kind, metric, size)
+    n = len(names)
+    apart[np.tril_indices(n)] = np.inf
+    ids, leaves, merges = np.arange(n), np.ones(n, np.int64), []
+    for step in range(n - 1):
+        a, b = divmod(int(apart.argmin()), n)
+        merges.append((step, n + step, int(ids[a]), int(ids[b]), float(apart[a, b]), int(leaves[a] + leaves[b])))
+        others = np.delete(np.arange(n), (a, b))
+        to_a, to_b = (apart[np.minimum(others, k), np.maximum(others, k)] for k in (a, b))
+        apart[np.minimum(others, a), np.maximum(others, a)] = (leaves[a] * to_a + leaves[b] * to_b) / (leaves[a] + leaves[b])
+        apart[b, :] = apart[:, b] = np.inf
+        ids[a], leaves[a] = n + step, leaves[a] + leaves[b]
     return similar.sparkSession.createDataFrame(merges, "step int, cluster_id int, left_id int, right_id int, distance double, leaf_count int")
 
 
+def leaf_order(similar: DataFrame, kind: str = "target", metric: str = "id_jaccard", size: str = "distinct_ids") -> DataFrame:
+    """position and database_id of the leaves as a tree of the merges is drawn; databases left out have no position."""
+    names, _, empty = distances(similar, kind, metric, size)
+    held = {k: [k] for k in range(len(names))}
+    for m in average_linkage(similar, kind, metric, size).orderBy("step").collect():  # one row less than databases
+        held[m["cluster_id"]] = held.pop(m["left_id"]) + held.pop(m["right_id"])
+    rows = [(k, names[leaf]) for k, leaf in enumerate(next(iter(held.values()), []))] + [(None, d) for d in empty]
+    return similar.sparkSession.createDataFrame(rows, f"position int, database_id {similar.schema['low'].dataType.simpleString()}")
+
+
+def neighbourhood(similar: DataFrame, database, *, metric: str = "id_jaccard", kind: str = "target", limit: int = 50) -> DataFrame:
+    """The similarities among a database and its `limit` nearest ones of a kind, for clustering them."""
+    near = neighbours(similar.where(F.col("kind") == kind), metric, limit).where(F.col("database_id") == F.lit(database)).select(F.col("neighbour").alias("d"))
+    held = F.broadcast(near.union(near.sparkSession.createDataFrame([(database,)], near.schema)))  # limit + 1 rows
+    return similar.where(F.col("kind") == kind).join(held.withColumnRenamed("d", "low"), "low", "left_semi").join(held.withColumnRenamed("d", "high"), "high", "left_semi")
+
+
 def orphans(entries: DataFrame, databases: DataFrame) -> DataFrame:
     """Entries whose database is not registered."""
     return entries.join(databases, "database_id", "left_anti")

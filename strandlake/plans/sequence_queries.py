@@ -265,7 +265,7 @@ _DIPEPTIDES = ", ".join(f"('{d}', CAST({w} AS DOUBLE))" for w, ds in props.INSTA
  round(({_scale_sql(props.RETENTION)}) * (1 - 0.21 * ln(length(peptide))) + {props.RETENTION_SHIFT}, 6) + 0.0 AS predicted_retention_time,
  length(peptide) - length(replace(peptide, 'P', '')) AS proline_count, right(peptide, 1) AS c_terminal_residue, contains(peptide, 'C') AS contains_cysteine, contains(peptide, 'NG') AS contains_ng_motif FROM d""")
 def peptide_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _distinct_standard(spark, sf_dir).select("peptide", props.properties(F.col("peptide")).alias("p")).select("peptide", "p.*")
+    rows = props.property_frame(_distinct_standard(spark, sf_dir), "peptide")
     rounded = {c: (F.round(c, 6) + F.lit(0.0)) for c in ("molecular_weight", "hydrophobicity", "boman_index", "charge", "predicted_retention_time")}
     return rows.select("peptide", "length", *list(rounded), "proline_count", "c_terminal_residue", "contains_cysteine", "contains_ng_motif").withColumns(rounded)
 

@@ -20,26 +20,51 @@ def _lines(raw: DataFrame) -> DataFrame:
     return raw.select(*[c for c in raw.columns if c != "value"], header.alias("raw_header"), body.alias("sequence"), text.alias("__text"))
 
 
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Number the records of each file in order, from 0, without sorting or shuffling them.
+
+    A record's place in its split comes from its running id. How many records each split has is counted by a
+    pass of its own; that table has a row for each split of the scan, of which the driver holds the list anyway,
+    so it is sent to all tasks. A blank piece before a file's first header is not a record and gets -1.
+    """
+    pieces = pieces.withColumn("__id", F.monotonically_increasing_id())
+    blank = F.trim(F.regexp_replace("value", r"\s+", "")) == ""
+    splits = pieces.groupBy("source_path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__from"), F.min_by(blank.cast("int"), "__id").alias("__blank"))
+    order = Window.partitionBy("source_path").orderBy("block")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    splits = splits.select("source_path", "block", (F.sum("n").over(order) - F.col("n") - F.col("__from") - F.first("__blank").over(whole)).alias("__shift"), (F.first("__blank").over(whole) == 1).alias("__after_blank"))
+    return pieces.join(F.broadcast(splits), ["source_path", "block"]).withColumn("record_ordinal", F.col("__id") + F.col("__shift")).drop("__id", "__shift")
+
+
 def read_records(spark: SparkSession, path: str | list[str], *, recursive: bool = False) -> DataFrame:
-    """Records of FASTA files (plain, .gz, .bz2 by name): source_path, block, raw_header, sequence.
+    """Records of FASTA files (plain, .gz, .bz2 by name): source_path, record_ordinal, raw_header, sequence.
 
-    Only '>' in the first column begins a header; white space inside sequences is dropped; a header
-    without a sequence has an empty one; invalid UTF-8 raises. Plain and bzip2 files are split.
+    Only '>' in the first column begins a header; lines end in LF, CRLF or a lone CR; white space inside
+    sequences is dropped; a header without a sequence has an empty one; invalid UTF-8 raises. Plain and bzip2
+    files are split (one whose lines all end in lone CR comes whole: such line ends are found after splitting).
     """
     reader = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", str(recursive).lower())
     raw = reader.text(path).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("block"))
     broken = F.when(~F.is_valid_utf8("value"), F.raise_error(F.concat("source_path", F.lit(": invalid UTF-8"))).cast("boolean"))
     raw = raw.where(F.coalesce(broken, F.lit(True)))
+    unified = F.when(F.col("value").contains("\r"), F.regexp_replace("value", "\r\n?", "\n")).otherwise(F.col("value"))
     # Only a file's first record keeps its '>' (or lacks it); splits begin behind a separator.
-    raw = raw.withColumn("__in_file", F.monotonically_increasing_id())
-    first = Window.partitionBy("source_path").orderBy("block", "__in_file")
-    rows = raw.withColumn("record_ordinal", F.row_number().over(first).cast("bigint") - 1)
-    lead = F.regexp_replace("value", r"^(?:[^\S\n]*\r?\n)+(?=>)", "")
-    rows = rows.withColumn("value", F.when(F.col("record_ordinal") == 0, lead).otherwise(F.col("value"))).withColumn("__first", F.col("record_ordinal") == 0)
-    made = _lines(rows.drop("__in_file"))
-    blank = F.col("__first") & (F.trim(F.regexp_replace("__text", r"\s+", "")) == "")
-    wrong = F.when(F.col("__first") & ~F.col("__text").startswith(">") & ~blank, F.raise_error(F.concat("source_path", F.lit(": content before the first header"))).cast("boolean"))
-    return made.where(F.coalesce(wrong, F.lit(True)) & ~blank).select("source_path", "record_ordinal", "raw_header", "sequence")
+    pieces = raw.select("source_path", "block", F.explode(F.split(unified, "\n>", -1)).alias("value"))
+    rows = _numbered(pieces).where("record_ordinal >= 0")
+    # Blank lines and the '>' of the first header may come before a file's first record.
+    lead = F.regexp_replace("value", r"^(?:[^\S\n]*\n)+(?=>)", "")
+    first = F.col("record_ordinal") == 0
+    made = _lines(rows.withColumn("value", F.when(first, lead).otherwise(F.col("value"))))
+    made = made.withColumn("__headed", F.col("__text").startswith(">") | F.col("__after_blank"))
+    wrong = F.when(first & ~F.col("__headed"), F.raise_error(F.concat("source_path", F.lit(": content before the first header"))).cast("boolean"))
+    return made.where(F.coalesce(wrong, F.lit(True))).select("source_path", "record_ordinal", "raw_header", "sequence")
+
+
+def read_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Raw headers without their sequences: only the lines that begin with '>' leave the scan, which splits by lines."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_path"))
+    lines = raw.select("source_path", F.explode(F.split("value", "\r", -1)).alias("line")).where(F.col("line").startswith(">"))
+    return lines.select("source_path", F.substr("line", F.lit(2)).alias("raw_header"))
 
 
 def parse_text(spark: SparkSession, text: str) -> DataFrame:
