@@ -1,8 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval and subsequence checks.
 
-1. Words are hashed to FEATURES places; a place's IDF is counted over all documents.
-2. A distributed randomised SVD of the TF-IDF matrix of passages (two products with A'A, each one pass
-   over all documents) gives RANK latent directions, whitened by their singular values.
+1. Words are white-space runs in lower case without the punctuation around them, known by 64-bit hashes, and
+   hashed to FEATURES places; a place's IDF is counted over all documents.
+2. A distributed randomised SVD of the TF-IDF matrix A of passages: one product of A'A with random directions,
+   one pass over all documents, from which the driver has the leading RANK latent directions (A'A has no
+   negative values, so one product gives both its range and its core), whitened by their singular values.
 3. Candidates come from two retrievals, and neither takes from the other. By meaning: every document's words
    are summed in blocks of STRIDE words and windows of each width at every block; an item is cut into passages
    of at most PASSAGE words, each is compared by cosine with the windows just wider than itself, and windows of
@@ -14,12 +16,14 @@
    covers LCS of the passage, and, unless it covers VERBATIM of it, at least ANSWER of the words of the
    item's answer (its last sentence) stand near.
 
-Every pass covers every document and whole texts. The items are a stated query set and are held against all documents in blocks of ITEMS passages. Nothing of
-a document leaves its task but matches.
+Every pass covers every document and whole texts. The items are a stated query set: they are held against all
+documents in blocks of about ITEMS passages, by one scan of the texts, and are what the driver holds. Nothing of
+a document leaves its task but its places (two bytes a word, for the two passes of the fit) and matches.
 
 Defined results: a null or blank text matches nothing, and so does a null or blank item; repeated rows
-give repeated results; a null id is kept; of several matches of an item in one text the best one counts
-(ties: the first); other columns are not read.
+give repeated results; a null id, of a document or an item, is kept; of several matches of an item in one
+text the best one counts (ties: the first); a very long text is searched whole, as a block of its own; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,85 +32,148 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import blocks, map_arrow
+from .common import cut, map_arrow
 
-FEATURES, RANK, EXTRA, COMMON = 16_384, 96, 16, 256
+PLACE_BITS = 14
+FEATURES, RANK, EXTRA = 1 << PLACE_BITS, 96, 16
 STRIDE, WIDTHS, PASSAGE = 16, (32, 48), 32
 COSINE, LCS, VERBATIM, ANSWER = 0.4, 0.6, 0.9, 0.5
 #: Passages of one block of items, and words of one product.
-ITEMS, WORDS = 2_000, 4_096
+ITEMS, WORDS = 2_000, 1_024
 #: Characters of texts that are searched together.
 CHARACTERS = 400_000
-#: Places of the presence bits that bound a subsequence; FILL is set for every window.
-BITS, FILL = 1_024, 0
+#: Presence bits that bound a subsequence.
+BITS = 512
 #: Tasks that the products are dealt to, at least.
 GRAM_TASKS = 6
-#: Rows of the latent table that are summed apart, and known words of a worker.
-ROWS, KNOWN = 256, 1_000_000
+#: Rows of the latent table that are summed apart.
+ROWS = 256
 
 _EDGES = string.punctuation + "«»„“”‘’…"
+#: Bytes of words that are hashed at a time, and an odd number whose powers weigh them.
+HASHED, _BASE = 1 << 20, 0x9E3779B97F4A7C15
 
 
 def plain(word: str) -> str:
     return word.strip(_EDGES) or word
 
 
-class Places(dict):
-    """Feature of a word, computed once."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > KNOWN:
-            self.clear()
-        self[word] = place = xxhash.xxh64_intdigest(plain(word)) % FEATURES
-        return place
-
-
-_PLACES = Places()
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number modulo 2 ** 64 and of its inverse."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(HASHED - 1, x, np.uint64)))) for x in (_BASE, inverse))
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words that lie one behind the other: polynomials of their bytes, mixed."""
+    out, sizes = np.empty(len(offsets) - 1, np.uint64), np.diff(offsets)
+    powers, inverses = _powers()
+    start = 0
+    while start < len(out):
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + HASHED, "right")) - 1)
+        begin = offsets[start:end] - offsets[start]
+        part = data[offsets[start] : offsets[end]].astype(np.uint64)
+        if len(part) > HASHED:  # one word longer than all powers: its pieces are hashed
+            cuts = np.append(np.arange(0, len(part), HASHED - 1), len(part))
+            part = _hashes(data[offsets[start] : offsets[end]], cuts)
+            part = part[: HASHED // 2] if len(part) > HASHED else part
+        sums = np.add.reduceat(part * powers[: len(part)], np.minimum(begin, max(0, len(part) - 1))) if len(part) else np.zeros(end - start, np.uint64)
+        out[start:end] = np.where(sizes[start:end] > 0, sums * inverses[begin], np.uint64(0))
+        start = end
+    out += sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    out = (out ^ out >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (out ^ out >> np.uint64(29)) * np.uint64(0xA0761D6478BD642F)
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the plain words of some texts, and where each text's begin (and the end of the last)."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    words, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    trimmed = pc.utf8_trim(words, _EDGES)
+    words = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), words, trimmed)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    real = np.diff(offsets) > 0
+    found = _hashes(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets)[real]
+    return found, np.concatenate(([0], np.cumsum(real)))[ends]
+
+
+def words_of(text: str) -> np.ndarray:
+    return hashed_words(pa.array([text], pa.large_string()))[0]
+
+
+def places(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - PLACE_BITS)).astype(np.int32)
 
 
 def features(text: str) -> list[int]:
-    return list(map(_PLACES.__getitem__, text.lower().split()))
+    return places(words_of(text)).tolist()
 
 
-def places_of(text: str) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(_PLACES.__getitem__, words), np.int32, len(words))
+def counted_places(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, int]:
+    """The places of all texts as written rows, in how many texts each stands, and how many texts there are.
 
-
-def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """In how many texts each feature stands, and how many texts there are; FEATURES numbers come to the driver."""
+    Two bytes a word are written; FEATURES numbers come to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(FEATURES + 1, np.int64), np.zeros(FEATURES + 1, bool)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen[:] = False
-                seen[places_of(t or "")] = True
-                seen[FEATURES] = True
-                counts += seen
+            for part in slices(batch.column(0)):
+                words, ends = hashed_words(part)
+                held = places(words).astype("<u2")
+                for start, end in pairwise(ends):
+                    seen[:] = False
+                    seen[held[start:end]] = True
+                    seen[FEATURES] = True
+                    counts += seen
+                rows = pa.array([held[start:end].tobytes() for start, end in pairwise(ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows, pa.nulls(len(rows), pa.binary())], ["places", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["places", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(FEATURES + 1, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                counts += np.frombuffer(raw, np.int64)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(counts[held])], ["place", "n"])
 
-    rows = map_arrow(docs.select(text), run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    written = cut(map_arrow(docs.select(text), run, "places binary, counts binary"))
+    rows = map_arrow(written.where("counts is not null").select("counts"), total, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(FEATURES + 1)
     for r in rows:
         counts[r["place"]] = r["n"]
-    return counts[:FEATURES], int(counts[FEATURES])
+    return written.where("places is not null").select("places"), counts[:FEATURES], int(counts[FEATURES])
+
 
+def slices(texts: pa.Array, size: int = CHARACTERS) -> Iterator[pa.Array]:
+    """Stretches of about `size` bytes; a longer text is a stretch of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, start = np.cumsum(sizes), 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + size, "right")))
+        yield texts.slice(start, end - start)
+        start = end
 
-def _passages(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features and starts of the passages (rows of the TF-IDF matrix) of some texts, about WORDS words at a time."""
+
+def _passages(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and starts of the passages (rows of the TF-IDF matrix) of some texts, about WORDS words at a time."""
     held, starts, size = [], [], 0
     for text in texts:
-        places = places_of(text)
+        places = np.frombuffer(text, "<u2").astype(np.int32)
         for start in range(0, len(places), WORDS):
             part = places[start : start + WORDS]
             held.append(part)
@@ -119,50 +186,37 @@ def _passages(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(held), np.concatenate(starts)
 
 
-def _runs(values: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-
-
 class Gram:
-    """A'A times basis, summed over passages. COMMON features are multiplied as a dense matrix, the others are gathered."""
+    """A'A times basis, summed over passages; what a few passages hold is multiplied as a dense matrix of their own places."""
 
     def __init__(self, idf: np.ndarray, basis: np.ndarray):
         self.idf, self.basis, self.out = idf, basis, np.zeros((FEATURES, basis.shape[1]), np.float32)
-        self.common = np.sort(np.argsort(idf, kind="stable")[:COMMON])
-        self.slot = np.full(FEATURES, -1)
-        self.slot[self.common] = np.arange(COMMON)
+        self.met, self.slot = np.zeros(FEATURES, bool), np.zeros(FEATURES, np.int64)
 
     def add(self, places: np.ndarray, starts: np.ndarray) -> None:
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(places))))
         # Repeated words of a passage are few; their products are left out of the norm.
-        norms = np.sqrt(np.add.reduceat(self.idf[places] ** 2, starts))
-        weights = (self.idf[places] / np.maximum(norms, 1e-9)[owner]).astype(np.float32)
-        slot = self.slot[places]
-        dense = slot >= 0
-        table = np.bincount(owner[dense] * COMMON + slot[dense], weights[dense], len(starts) * COMMON).astype(np.float32).reshape(-1, COMMON)
-        rows = table @ self.basis[self.common]
-        places, owner, weights = places[~dense], owner[~dense], weights[~dense]
-        if len(places):
-            first = _runs(owner)
-            rows[owner[first]] += np.add.reduceat(self.basis[places] * weights[:, None], first)
-            # Rows of one feature are brought together, so that each feature is added to once.
-            order = np.argsort(places, kind="stable")
-            first = _runs(places[order])
-            self.out[places[order][first]] += np.add.reduceat(rows[owner[order]] * weights[order][:, None], first)
-        self.out[self.common] += table.T @ rows
-
-
-def _gram_product(docs: DataFrame, text: str, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+        weights = self.idf[places]
+        norms = np.sqrt(np.add.reduceat(weights**2, starts))
+        weights /= np.maximum(norms, 1e-9)[owner]
+        self.met[places] = True
+        held = np.flatnonzero(self.met)
+        self.met[held] = False
+        self.slot[held] = np.arange(len(held))
+        table = np.bincount(owner * len(held) + self.slot[places], weights, len(starts) * len(held)).astype(np.float32).reshape(len(starts), -1)
+        self.out[held] += table.T @ (table @ self.basis[held])
+
+
+def _gram_product(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'A times basis, for the passages of all documents: partial products are summed by blocks of rows in Spark."""
-    context = docs.sparkSession.sparkContext
+    context = rows.sparkSession.sparkContext
     shared = context.broadcast((idf, basis.astype(np.float32)))  # of fixed size
     width = basis.shape[1]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = Gram(*shared.value)
         for batch in batches:
-            for places, starts in _passages([t or "" for t in batch.column(0).to_pylist()]):
+            for places, starts in _passages(batch.column(0).to_pylist()):
                 gram.add(places, starts)
         yield pa.RecordBatch.from_arrays([pa.array(range(0, FEATURES, ROWS), pa.int64()), pa.array([gram.out[k : k + ROWS].tobytes() for k in range(0, FEATURES, ROWS)], pa.binary())], ["row", "sums"])
 
@@ -174,7 +228,7 @@ def _gram_product(docs: DataFrame, text: str, idf: np.ndarray, basis: np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["row", "sums"])
 
     # As many tasks as cores: each sends a partial table of fixed size.
-    dealt = docs.select(text).coalesce(max(GRAM_TASKS, context.defaultParallelism))
+    dealt = rows.coalesce(max(GRAM_TASKS, context.defaultParallelism))
     rows = map_arrow(map_arrow(dealt, part, "row bigint, sums binary").repartition("row"), total, "row bigint, sums binary").collect()
     out = np.zeros((FEATURES, width))
     for r in rows:
@@ -182,21 +236,22 @@ def _gram_product(docs: DataFrame, text: str, idf: np.ndarray, basis: np.ndarray
     return out
 
 
-def latent_table(docs: DataFrame, idf: np.ndarray, *, text: str = "text", rank: int = RANK) -> np.ndarray:
-    """The whitened latent vector of each feature, times its IDF."""
-    basis = np.random.default_rng(11).standard_normal((FEATURES, rank + EXTRA))
-    # One power iteration finds the range; the second product gives the small symmetric core on it.
-    basis, _ = np.linalg.qr(_gram_product(docs, text, idf, basis))
-    core = basis.T @ _gram_product(docs, text, idf, basis)
+def latent_table(rows: DataFrame, idf: np.ndarray, *, rank: int = RANK) -> np.ndarray:
+    """The whitened latent vector of each place, times its IDF, of written places (counted_places)."""
+    basis, _ = np.linalg.qr(np.random.default_rng(11).standard_normal((FEATURES, rank + EXTRA)))
+    product = _gram_product(rows, idf, basis)
+    # A'A is close to product @ inverse(core) @ product.T; with core = l @ l.T its root is product @ inverse(l.T).
+    core = basis.T @ product
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    order = np.argsort(values)[::-1][:rank]
-    good = order[values[order] > 1e-9 * max(values.max(), 1e-300)]
-    return ((basis @ vectors[:, good]) / np.sqrt(values[good]) * idf[:, None]).astype(np.float32)
+    good = values > 1e-7 * max(values.max(), 1e-300)
+    left, singular, _ = np.linalg.svd(product @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    good = singular[:rank] > 1e-4 * max(singular.max(initial=0.0), 1e-150)
+    return (left[:, :rank][:, good] / singular[:rank][good] * idf[:, None]).astype(np.float32)
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
+def lcs_length(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for i, w in enumerate(a):
         masks[w] = masks.get(w, 0) | 1 << i
     full = row = (1 << len(a)) - 1
@@ -208,15 +263,24 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 
 class Item:
-    def __init__(self, key: int, text: str):
+    """An item, its words and passages (as hashes of words) and the words of its answer."""
+
+    def __init__(self, key, text: str):
         self.key = key
-        self.words = [plain(w) for w in text.lower().split()]
-        sentences = [s for s in re.split(r"(?<=[.?!:])\s+", text.lower().strip()) if s]
-        self.answer = Counter(plain(w) for w in sentences[-1].split()) if sentences else Counter()
+        self.words = words_of(text)
+        sentences = [s for s in re.split(r"(?<=[.?!:])\s+", text.strip()) if s]
+        self.answer = Counter(words_of(sentences[-1]).tolist()) if sentences else Counter()
         starts = list(range(0, max(1, len(self.words) - PASSAGE + 1), PASSAGE // 2))
         if len(self.words) > PASSAGE and starts[-1] + PASSAGE < len(self.words):
             starts.append(len(self.words) - PASSAGE)
-        self.passages = [self.words[s : s + PASSAGE] for s in starts] if self.words else []
+        self.passages = [self.words[s : s + PASSAGE] for s in starts] if len(self.words) else []
+
+
+def presence(words: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """BITS bits for each of n rows: those of its words."""
+    out = np.zeros((n, BITS), bool)
+    out[rows, (words % np.uint64(BITS)).astype(np.intp)] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
 
 class Searcher:
@@ -224,26 +288,27 @@ class Searcher:
 
     def __init__(self, table: np.ndarray, items: list[Item], idf: np.ndarray):
         self.table, self.items = np.vstack([table, np.zeros((1, table.shape[1]), np.float32)]), items
-        self.by_width: dict[int, tuple[np.ndarray, list[tuple[Item, list[str]]]]] = {}
+        self.by_width: dict[int, tuple[np.ndarray, list[tuple[int, list[int]]]]] = {}
         self.bits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        owners: dict[int, list[tuple[Item, list[str]]]] = {w: [] for w in WIDTHS}
-        for item in items:
+        self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        owners: dict[int, list[tuple[int, np.ndarray]]] = {w: [] for w in WIDTHS}
+        for k, item in enumerate(items):
             for passage in item.passages:
-                owners[next((w for w in WIDTHS if w - STRIDE + 1 >= len(passage)), WIDTHS[-1])].append((item, passage))
+                owners[next((w for w in WIDTHS if w - STRIDE + 1 >= len(passage)), WIDTHS[-1])].append((k, passage))
         for width, held in owners.items():
             if held:
-                vectors = np.stack([table[features(" ".join(p))].sum(0) for _, p in held])
-                # Short passages are filled up with a place that every window is given, which is counted off again.
-                rows = [[p % BITS for p in features(" ".join(passage))] for _, passage in held]
-                longest = max(map(len, rows))
-                self.bits[width] = np.array([r + [FILL] * (longest - len(r)) for r in rows]), np.array([len(r) for r in rows])
-                self.index[width] = self._index([features(" ".join(p)) for _, p in held], idf)
-                self.by_width[width] = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T.copy(), held
+                vectors = np.stack([table[places(p)].sum(0) for _, p in held])
+                # A passage has at most so many words in common as bits, and those that share a bit with an earlier one.
+                lengths = np.array([len(p) for _, p in held])
+                bits = presence(np.concatenate([p for _, p in held]), np.repeat(np.arange(len(held)), lengths), len(held))
+                least = np.ceil(LCS * lengths - 1e-9) - (lengths - np.bitwise_count(bits).sum(1, dtype=np.int64))
+                self.bits[width] = bits, least
+                self.index[width] = self._index([p for _, p in held], idf)
+                self.by_width[width] = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T.copy(), [(k, p.tolist()) for k, p in held]
 
     @staticmethod
-    def _index(rows: list[list[int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Postings of each passage's rarest features: where a feature's begin, the passages, and how many must be met.
+    def _index(rows: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Postings of each passage's rarest words: the words, where a word's begin, the passages, and how many must be met.
 
         A subsequence that covers LCS of a passage leaves out at most `free` of its words, so it has two at least of
         any free + 2 of them.
@@ -252,20 +317,24 @@ class Searcher:
         for j, row in enumerate(rows):
             least = int(np.ceil(LCS * len(row) - 1e-9))
             need.append(min(2, least))
-            rarest = sorted(row, key=lambda f: (-idf[f], f))[: len(row) - least + need[-1]]
-            held += [(f, j) for f in set(rarest)]
-        features, passages = np.array(sorted(held)).T
-        return np.searchsorted(features, np.arange(FEATURES + 2)), passages, np.array(need)
+            rarest = sorted(zip((-idf[places(row)]).tolist(), row.tolist(), strict=True))[: len(row) - least + need[-1]]
+            held += [(w, j) for w in {w for _, w in rarest}]
+        held.sort()
+        words, begin = np.unique(np.array([w for w, _ in held], np.uint64), return_index=True)
+        return words, np.append(begin, len(held)), np.array([j for _, j in held]), np.array(need)
 
-    def _met(self, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def _met(self, words: np.ndarray, blocks: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Every (block, passage) where the window that begins there and the blocks around it may hold LCS of the passage."""
-        begin, passages, need = self.index[width]
-        blocks, n = len(words), width // STRIDE
-        flat = words.ravel()
-        at = np.flatnonzero(begin[flat + 1] > begin[flat])
-        counts = begin[flat[at] + 1] - begin[flat[at]]
+        known, begin, passages, need = self.index[width]
+        n = width // STRIDE
+        slot = np.zeros(1 << 18, bool)
+        slot[known & np.uint64(0x3FFFF)] = True
+        at = np.flatnonzero(slot[words & np.uint64(0x3FFFF)])
+        found = np.minimum(np.searchsorted(known, words[at]), len(known) - 1)
+        at, found = at[same := known[found] == words[at]], found[same]
+        counts = begin[found + 1] - begin[found]
         of = np.repeat(np.arange(len(at)), counts)
-        j = passages[begin[flat[at]][of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)]
+        j = passages[begin[found][of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)]
         first = at[of] // STRIDE
         # A window is heard from a block before its first to a block after its last.
         spread = (first[:, None] + np.arange(-n, 2)).ravel()
@@ -275,52 +344,55 @@ class Searcher:
         pairs = pairs[hits >= need[pairs % len(need)]]
         return pairs // len(need), pairs % len(need)
 
-    def candidates(self, places: list[np.ndarray]) -> Iterator[tuple[int, int, int, Item, list[str], float]]:
-        """(text, first word, width, item, passage, cosine) of windows that are near a passage and hold enough of its words."""
-        sizes = np.array([-(-len(p) // STRIDE) for p in places])
+    def candidates(self, found: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int, list[int], float]]:
+        """(text, first word, width, item, passage, cosine) of windows that are near a passage and hold enough of its words.
+
+        `found` has the hashes of the words of all texts, `ends` the bounds of each text in it.
+        """
+        lengths = np.diff(ends)
+        sizes = -(-lengths // STRIDE)
         # Texts are filled up to whole blocks with a word whose vector is zero.
-        words = np.full(sizes.sum() * STRIDE, FEATURES, np.int32)
-        for p, o in zip(places, (np.cumsum(sizes) - sizes) * STRIDE, strict=True):
-            words[o : o + len(p)] = p
+        at = np.arange(len(found)) + np.repeat((np.cumsum(sizes) - sizes) * STRIDE - ends[:-1], lengths)
+        hashes = np.zeros(sizes.sum() * STRIDE, np.uint64)
+        hashes[at] = found
+        words = np.full(len(hashes), FEATURES, np.int32)
+        words[at] = places(found)
         words = words.reshape(-1, STRIDE)
         sums = self._sums(words)
-        owner = np.repeat(np.arange(len(places)), sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         index = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        present = np.zeros((len(words), BITS), bool)
-        present[np.arange(len(words))[:, None], words % BITS] = True
-        present[:, FILL] = True
-        present = np.packbits(present, axis=1, bitorder="little")
+        present = presence(found, at // STRIDE, len(words))
         for width, (vectors, held) in self.by_width.items():
             n = width // STRIDE
             window, around = sums.copy(), present.copy()
             for k in range(1, n):
                 same = owner[k:] == owner[:-k]
                 window[:-k] += sums[k:] * same[:, None]
-                around[:-k] |= present[k:] * same[:, None]
+                around[:-k] |= np.where(same[:, None], present[k:], np.uint64(0))
             # What is verified reaches a block further on either side.
             same = owner[1:] == owner[:-1]
-            around[1:] |= present[:-1] * same[:, None]
+            around[1:] |= np.where(same[:, None], present[:-1], np.uint64(0))
             if len(owner) > n:
-                around[:-n] |= present[n:] * (owner[n:] == owner[:-n])[:, None]
+                around[:-n] |= np.where((owner[n:] == owner[:-n])[:, None], present[n:], np.uint64(0))
             whole = (index == 0) | (index + n <= sizes[owner])
             begins = np.flatnonzero(whole)
             row_of = np.cumsum(whole) - 1
-            met, passage = self._met(words, width)
+            met, passage = self._met(hashes, len(words), width)
             met, passage = row_of[met[whole[met]]], passage[whole[met]]
             window = window[begins]
             window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-            bits, lengths = self.bits[width]
+            bits, least = self.bits[width]
+            around = around[begins]
             for start in range(0, len(window), 4096):
                 near = window[start : start + 4096] @ vectors
                 # Windows near in meaning, and all that hold enough of a passage's rare words.
-                i, j = np.nonzero(near >= COSINE)
+                hit = near >= COSINE
                 a, b = np.searchsorted(met, (start, start + len(near)))
-                both = np.unique(np.concatenate([i * near.shape[1] + j, (met[a:b] - start) * near.shape[1] + passage[a:b]]))
-                i, j = both // near.shape[1], both % near.shape[1]
+                hit[met[a:b] - start, passage[a:b]] = True
+                i, j = np.nonzero(hit)
                 # A subsequence has no more words than the passage has in common with the surroundings.
-                hit = around[begins[start + i][:, None], bits[j] >> 3] >> (bits[j] & 7).astype(np.uint8) & 1
-                common = hit.sum(1, dtype=np.int32) - (bits.shape[1] - lengths[j])
-                for i, j in zip(i[kept := common >= LCS * lengths[j] - 1e-9], j[kept], strict=True):
+                common = np.bitwise_count(around[start + i] & bits[j]).sum(1, dtype=np.int16)
+                for i, j in zip(i[kept := common >= least[j]].tolist(), j[kept].tolist(), strict=True):
                     at = begins[start + i]
                     yield int(owner[at]), int(index[at]) * STRIDE, width, *held[j], float(near[i, j])
 
@@ -335,85 +407,117 @@ class Searcher:
             out[start : start + 1024] = total
         return out
 
-    def matches(self, texts: list[str]) -> Iterator[tuple[int, int, float, float, float]]:
-        """(text, item, cosine, covered, answer) of each item found in each text."""
-        held = [(k, places_of(t)) for k, t in enumerate(texts)]
-        held = [(k, p) for k, p in held if len(p)]
-        if not held or not self.by_width:
+    def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
+        """(text, item, cosine, covered, answer) of each item found in each text; texts and items by their number."""
+        found, ends = hashed_words(texts)
+        if not len(found) or not self.by_width:
             return
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        split: dict[int, list[str]] = {}
-        for i, first, width, item, passage, cosine in self.candidates([p for _, p in held]):
-            row = held[i][0]
-            words = split.get(row) or split.setdefault(row, texts[row].lower().split())
-            around = [plain(w) for w in words[max(0, first - STRIDE) : first + width + STRIDE]]
+        for row, first, width, k, passage, cosine in self.candidates(found, ends):
+            words, item = found[ends[row] : ends[row + 1]], self.items[k]
+            around = words[max(0, first - STRIDE) : first + width + STRIDE].tolist()
+            different = set(passage)
+            if len(different.intersection(around)) + len(passage) - len(different) < LCS * len(passage) - 1e-9:
+                continue
             covered = lcs_length(passage, around) / len(passage)
             if covered < LCS - 1e-9:
                 continue
             reach = len(item.words)
-            near = Counter(plain(w) for w in words[max(0, first - reach) : first + width + reach])
+            near = Counter(words[max(0, first - reach) : first + width + reach].tolist())
             answer = sum((item.answer & near).values()) / max(1, sum(item.answer.values()))
             if covered < VERBATIM and answer < ANSWER:
                 continue
-            if (row, item.key) not in best or best[row, item.key][1] < covered:
-                best[row, item.key] = (cosine, covered, answer)
-        for (row, key), found in sorted(best.items()):
-            yield row, key, *found
+            if (row, k) not in best or best[row, k][1] < covered:
+                best[row, k] = (cosine, covered, answer)
+        for (row, k), values in sorted(best.items()):
+            yield row, k, *values
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[Item]]:
-    """The items in blocks of about ITEMS passages, read by hash parts so that the driver holds one block."""
-    items = items.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-    passages = items.agg(F.sum(F.length("t") / F.lit(4 * PASSAGE) + 1)).first()[0] or 0
-    n = max(1, round(float(passages) / ITEMS + 0.5))
-    for part in range(n):
-        rows = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == part) if n > 1 else items
-        yield [Item(r["k"], r["t"]) for r in rows.distinct().orderBy("k", "t").collect()]
+def item_blocks(items: DataFrame, key: str, text: str) -> list[list[tuple]]:
+    """The distinct items, as ids and texts, in blocks of about ITEMS passages."""
+    rows = items.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").distinct().orderBy("k", "t").collect()
+    out, size = [[]], 0
+    for r in rows:
+        passages = 1 + 2 * len(r["t"].split()) // PASSAGE
+        if out[-1] and size + passages > ITEMS:
+            out.append([])
+            size = 0
+        out[-1].append((r["k"], r["t"]))
+        size += passages
+    return out
 
 
-def _searchers(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str):
-    """A broadcast of the latent table (of fixed size) and of each block of items (about ITEMS passages)."""
-    counts, total = document_frequencies(docs, text)
+#: The searchers of the last table and items that this worker has met.
+_SEARCHERS: dict[int, list[Searcher]] = {}
+
+
+def _searchers(shared) -> list[Searcher]:
+    if shared.id not in _SEARCHERS:
+        _SEARCHERS.clear()
+        table, idf, found = shared.value
+        _SEARCHERS[shared.id] = [Searcher(table, [Item(*row) for row in block], idf) for block in found]
+    return _SEARCHERS[shared.id]
+
+
+class Shared:
+    """A broadcast and its number, by which a worker knows what it has made of it."""
+
+    def __init__(self, broadcast):
+        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
+
+    def __getstate__(self):
+        return self.broadcast, self.id
+
+    def __setstate__(self, state):
+        self.broadcast, self.id = state
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
+def _shared(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str) -> Shared:
+    """The latent table (of fixed size) and the items, for all tasks."""
+    written, counts, total = counted_places(docs, text)
     idf = np.log((1 + total) / (1 + counts))
-    table = latent_table(docs, idf, text=text)
-    for block in item_blocks(items, item_key, item_text):
-        yield docs.sparkSession.sparkContext.broadcast((table, block, idf))
+    found = item_blocks(items, item_key, item_text)
+    return Shared(docs.sparkSession.sparkContext.broadcast((latent_table(written, idf), idf, found)))
+
+
+def _found(shared: Shared, texts: pa.Array) -> Iterator[tuple[int, object, float, float, float]]:
+    """(row, item id, cosine, lcs, answer) of each item found in some texts."""
+    start = 0
+    for part in slices(texts):
+        for searcher in _searchers(shared):
+            for row, k, *values in searcher.matches(part):
+                yield start + row, searcher.items[k].key, *values
+        start += len(part)
 
 
 def matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """Columns `key`, item_id, cosine, lcs, answer: one row for each item found in a row of docs."""
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, item_id bigint, cosine double, lcs double, answer double"
+    kind, item_kind = docs.schema[key].dataType, items.schema[item_key].dataType
+    schema = f"`{key}` {kind.simpleString()}, item_id {item_kind.simpleString()}, cosine double, lcs double, answer double"
+    types = [to_arrow_type(item_kind), *[pa.float64()] * 3]
+    shared = _shared(docs, items, text, item_key, item_text)
 
-    def search(shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(*shared.value)
-            for batch in batches:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for a, b in blocks(texts, CHARACTERS):
-                    found = list(searcher.matches(texts[a:b]))
-                    if found:
-                        rows = pa.array([a + r[0] for r in found], pa.int64())
-                        columns = [pa.array([r[k] for r in found], pa.int64() if k == 1 else pa.float64()) for k in range(1, 5)]
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], [key, "item_id", "cosine", "lcs", "answer"])
-
-        return map_arrow(docs.select(key, docs[text].alias("__text")), run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if found := list(_found(shared, batch.column(1))):
+                columns = [pa.array([r[k + 1] for r in found], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in found], pa.int64())), *columns], [key, "item_id", "cosine", "lcs", "answer"])
 
-    return reduce(DataFrame.unionByName, map(search, _searchers(docs, items, text, item_key, item_text)))
+    return map_arrow(docs.select(key, docs[text].alias("__text")), run, schema)
 
 
 def without_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no item is found; no shuffle."""
     at = docs.columns.index(text)
+    shared = _shared(docs, items, text, item_key, item_text)
 
-    def clean(rows: DataFrame, shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(*shared.value)
-            for batch in batches:
-                texts = [t or "" for t in batch.column(at).to_pylist()]
-                found = {a + r[0] for a, b in blocks(texts, CHARACTERS) for r in searcher.matches(texts[a:b])}
-                yield batch.take(pa.array([k for k in range(len(texts)) if k not in found], pa.int64())) if found else batch
-
-        return map_arrow(rows, run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {r[0] for r in _found(shared, batch.column(at))}
+            yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in found], pa.int64())) if found else batch
 
-    return reduce(clean, _searchers(docs, items, text, item_key, item_text), docs)
+    return map_arrow(docs, run, docs.schema)
