@@ -105,8 +105,12 @@ def decoy_report(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
-    paths = [r["path"] for r in fasta.discover(spark, a.directory).collect()]  # names of files
-    lifecycle.rebuild(lifecycle.entries_of(_proteins(spark, paths)), a.registry)
+    found = fasta.discover(spark, a.directory)
+    entries = lambda paths: lifecycle.entries_of(_proteins(spark, paths))
+    if a.update:
+        print(lifecycle.update(spark, found, a.registry, entries, prune=not a.keep, force=a.force))
+    else:
+        lifecycle.rebuild(entries([r["path"] for r in found.collect()]), a.registry, found)  # names of files
 
 
 def compare(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -124,6 +128,28 @@ def export(spark: SparkSession, a: argparse.Namespace) -> None:
     tables.write_export(registry.long_export(registry.similarities(held["pair_stats"], held["kind_stats"])), a.output)
 
 
+def list_registry(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = lifecycle.read_registry(spark, a.registry)
+    if rows is not None:
+        rows.show(1000, truncate=False)
+
+
+def candidate(spark: SparkSession, a: argparse.Namespace) -> None:
+    staged = registry.combined_candidate(lifecycle.entries_of(_proteins(spark, a.fasta)))
+    held = lifecycle.open_registry(spark, a.registry)["entries"]
+    registry.comparison_frame(registry.compare_candidate(staged, held, a.threshold)).show(1000, truncate=False)
+
+
+def pairs(spark: SparkSession, a: argparse.Namespace) -> None:
+    held = lifecycle.open_registry(spark, a.registry)
+    similar = registry.similarities(held["pair_stats"], held["kind_stats"])
+    if a.matrix:
+        names = [r["database_id"] for r in held["kind_stats"].select("database_id").distinct().orderBy("database_id").collect()]  # names of databases
+        tables.write_export(registry.jaccard_matrix(similar, "target", names, a.metric), a.output)
+    else:
+        tables.write_export(registry.long_export(similar), a.output)
+
+
 def check(spark: SparkSession, a: argparse.Namespace) -> None:
     held = lifecycle.open_registry(spark, a.registry)
     lifecycle.problems(held["entries"], held["kind_stats"], held["pair_stats"]).show(truncate=False)
@@ -151,7 +177,10 @@ COMMANDS: dict[str, tuple[Callable[[SparkSession, argparse.Namespace], None], tu
     "build": (build_database, ("input", "output"), ()),
     "decoy": (decoy, ("inventory", "output"), (*_LENGTHS, *_SEED, ("--mode", dict(choices=("reverse", "shuffle", "decoypyrat"), default="reverse")))),
     "decoy-report": (decoy_report, ("inventory",), (*_LENGTHS, *_SEED)),
-    "index": (index, ("directory", "registry"), ()),
+    "index": (index, ("directory", "registry"), (("--update", dict(action="store_true")), ("--keep", dict(action="store_true")), ("--force", dict(action="store_true")))),
+    "registry": (list_registry, ("registry",), ()),
+    "candidate": (candidate, ("registry", "fasta"), (("--threshold", dict(type=float, default=0.99)),)),
+    "pairs": (pairs, ("registry", "output"), (("--metric", dict(default="id_jaccard")), ("--matrix", dict(action="store_true")))),
     "compare": (compare, ("registry", "database"), (("--threshold", dict(type=float, default=0.99)),)),
     "cluster": (cluster, ("registry",), ()),
     "export": (export, ("registry", "output"), ()),

@@ -1,20 +1,35 @@
 """Registry tables on disk: indexing, incremental updates, validation, snapshots and copies.
 
-A registry is a folder of Parquet tables: entries (partitioned by database_id), kind_stats, pair_stats and
-meta. Updates write the changed databases' partitions only.
+A registry is a folder of Parquet tables: entries (partitioned by database_id), kind_stats, pair_stats, sources
+(the indexed files) and meta. Updates write the changed databases' partitions and pairs only.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import description_hash, sequence_hash
 from ..functions.rules import NAMESPACES, REGISTRY_CLASSIFIERS, REGISTRY_NAMESPACES
+from ..sources import files
 from .classify import contaminant_blocks, kind, labels, marker_group, namespace, peel
-from .registry import duplicated_keys, kind_stats, orphans, pair_stats
+from .registry import database_records, duplicated_keys, kind_stats, listed, orphans, pair_stats, refreshed_pairs
+
+SCHEMA_VERSION = "2"
+
 
-SCHEMA_VERSION = "1"
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+ENTRIES = _schema(
+    ordinal=T.LongType(), sequence_id=T.StringType(), kind=T.StringType(), contaminant_group=T.StringType(), namespace=T.StringType(),
+    sequence_length=T.LongType(), sequence_hash=T.BinaryType(), description_hash=T.BinaryType(), database_id=T.StringType(),
+)
+SOURCES = _schema(path=T.StringType(), bytes=T.LongType(), modified=T.TimestampType())
 
 
 def entries_of(proteins: DataFrame, database: str = "source_path", *, override: str | None = None) -> DataFrame:
@@ -47,31 +62,122 @@ def write_entries(entries: DataFrame, root: str) -> None:
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        entries.repartition("database_id").write.mode("overwrite").partitionBy("database_id").parquet(f"{root}/entries")
+        entries.select(*ENTRIES.names).repartition("database_id").write.mode("overwrite").partitionBy("database_id").parquet(f"{root}/entries")
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
-def rebuild(entries: DataFrame, root: str) -> None:
-    """Write a whole registry; each table is checked when it is complete."""
-    write_entries(entries, root)
-    refresh(entries.sparkSession, root)
+def read_entries(spark: SparkSession, root: str) -> DataFrame:
+    """Entries with their types: a database's id is text, also where its folder looks like a number."""
+    return spark.read.schema(ENTRIES).parquet(f"{root}/entries")
+
+
+def _write_aside(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> None:
+    """Replace tables of a registry: all are written aside before the first is moved into place."""
+    stamp = uuid.uuid4().hex
+    for name, rows in tables.items():
+        rows.write.parquet(f"{root}/.{name}-{stamp}")
+    for name in tables:
+        files.delete(spark, f"{root}/{name}")
+        files.move(spark, f"{root}/.{name}-{stamp}", f"{root}/{name}")
+
+
+def _statistics(held: DataFrame) -> dict[str, DataFrame]:
+    return {"kind_stats": kind_stats(held), "pair_stats": pair_stats(held)}
+
+
+def _meta(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("schema_version", SCHEMA_VERSION)], "key string, value string")
+
+
+def _sources(spark: SparkSession, found: DataFrame | None) -> DataFrame:
+    return found.select(*[F.col(f.name).cast(f.dataType) for f in SOURCES]) if found is not None else spark.createDataFrame([], SOURCES)
+
+
+def rebuild(entries: DataFrame, root: str, found: DataFrame | None = None) -> None:
+    """Write a whole registry beside an older one, check it, and only then put it in its place.
+
+    `found` has the files that were indexed (path, bytes, modified), which later updates compare with.
+    """
+    spark = entries.sparkSession
+    aside = f"{root.rstrip('/')}.{uuid.uuid4().hex}.part"
+    write_entries(entries, aside)
+    held = read_entries(spark, aside)
+    for name, rows in (_statistics(held) | {"meta": _meta(spark), "sources": _sources(spark, found)}).items():
+        rows.write.parquet(f"{aside}/{name}")
+    made = open_registry(spark, aside)
+    if wrong := problems(made["entries"], made["kind_stats"], made["pair_stats"]).collect():  # a few rows, one a check
+        files.delete(spark, aside)
+        raise ValueError(f"{root}: not published: {', '.join(r['check'] for r in wrong)}")
+    files.delete(spark, root)
+    files.move(spark, aside, root)
 
 
 def refresh(spark: SparkSession, root: str) -> None:
     """Statistics of what entries hold now."""
-    held = spark.read.parquet(f"{root}/entries")
-    kind_stats(held).write.mode("overwrite").parquet(f"{root}/kind_stats")
-    pair_stats(held).write.mode("overwrite").parquet(f"{root}/pair_stats")
-    spark.createDataFrame([("schema_version", SCHEMA_VERSION)], "key string, value string").write.mode("overwrite").parquet(f"{root}/meta")
+    _write_aside(spark, _statistics(read_entries(spark, root)) | {"meta": _meta(spark)}, root)
+    if not files.exists(spark, f"{root}/sources"):
+        _sources(spark, None).write.parquet(f"{root}/sources")
+
+
+def update(spark: SparkSession, found: DataFrame, root: str, entries_of_files, *, prune: bool = True, force: bool = False) -> dict[str, int]:
+    """Index the files of `found` (path, bytes, modified) that are new or changed, and drop those that are gone.
+
+    `entries_of_files` makes entries of a list of paths; a file's path is its database. Only changed databases are
+    read and written, and of the pairs only theirs are counted again. Returns how many files were indexed and dropped.
+    """
+    held = open_registry(spark, root)
+    known = held["sources"]
+    fresh = found if force else changed_files(found, known)
+    paths = [r["path"] for r in fresh.select("path").collect()]  # names of files
+    gone = [r["path"] for r in gone_files(found, known).select("path").collect()] if prune else []
+    if not paths and not gone:
+        return {"indexed": 0, "dropped": 0}
+    if paths:
+        write_entries(entries_of_files(paths), root)
+    for path in gone:
+        delete_database(spark, root, path)
+    names = lambda ids: spark.createDataFrame([(i,) for i in ids], "database_id string")
+    now = read_entries(spark, root)
+    pairs = refreshed_pairs(held["pair_stats"], now, names(paths), names(gone))
+    stats = without_databases(held["kind_stats"], names([*paths, *gone]), "database_id").unionByName(kind_stats(now.join(names(paths), "database_id", "left_semi")))
+    sources = known.join(names([*paths, *gone]).withColumnRenamed("database_id", "path"), "path", "left_anti").unionByName(_sources(spark, fresh))
+    _write_aside(spark, {"kind_stats": stats, "pair_stats": pairs, "sources": sources}, root)
+    return {"indexed": len(paths), "dropped": len(gone)}
+
+
+def delete_database(spark: SparkSession, root: str, database: str) -> None:
+    """Delete the entries of a database."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(database)
+    files.delete(spark, f"{root}/entries/database_id={name}")
+
+
+def stats_only_copy(spark: SparkSession, root: str, target: str) -> None:
+    """A copy of a registry without its entries; an existing target raises."""
+    if files.exists(spark, target):
+        raise FileExistsError(target)
+    held = open_registry(spark, root)
+    for name in ("kind_stats", "pair_stats", "meta", "sources"):
+        held[name].write.parquet(f"{target}/{name}")
 
 
 def open_registry(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    tables = {t: spark.read.parquet(f"{root}/{t}") for t in ("entries", "kind_stats", "pair_stats", "meta")}
+    """The tables of a registry by name (a copy of statistics has no entries); one of another version raises."""
+    tables = {t: spark.read.parquet(f"{root}/{t}") for t in ("kind_stats", "pair_stats", "meta", "sources")}
     version = {r["key"]: r["value"] for r in tables["meta"].collect()}.get("schema_version")
     if version != SCHEMA_VERSION:
         raise ValueError(f"{root}: registry of version {version}, not {SCHEMA_VERSION}: index it anew")
-    return tables
+    return tables | ({"entries": read_entries(spark, root)} if files.exists(spark, f"{root}/entries") else {})
+
+
+def read_registry(spark: SparkSession, root: str) -> DataFrame | None:
+    """The databases of a registry in the order of their names; None where there is no registry."""
+    return listed(database_records(open_registry(spark, root)["entries"])) if files.exists(spark, root) else None
+
+
+def target_ids(entries: DataFrame) -> DataFrame:
+    """The distinct ids of target entries by database."""
+    return entries.where("kind = 'target'").select("database_id", "sequence_id").distinct()
 
 
 def changed_files(seen: DataFrame, known: DataFrame) -> DataFrame:

@@ -34,40 +34,110 @@ def kind_stats(entries: DataFrame) -> DataFrame:
     return rows.select(*GROUP, "entries", "distinct_ids", "distinct_sequences", F.coalesce("distinct_descriptions", F.lit(0)).cast("bigint").alias("distinct_descriptions"), "distinct_pairs", "duplicate_occurrences", "conflicting_ids", "repeated_sequences")
 
 
+def _pairs_of_sets(sets: DataFrame, *keep: str) -> DataFrame:
+    """Columns `keep`, low, high: every pair of databases of each sorted array d."""
+    lows = sets.select(*keep, "d", F.posexplode("d").alias("__at", "low"))
+    return lows.select(*keep, "low", F.explode(F.slice("d", F.col("__at") + 2, F.size("d"))).alias("high"))
+
+
 def shared_counts(entries: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Of each kind and pair of databases (low < high), how many distinct values of `columns` both hold.
 
-    A value's databases are gathered into one array first, which holds each database once: the pairs are
-    made of it without a second copy of the entries.
+    A value's databases are gathered into one array, which holds each database once; values with the same
+    databases are counted together before pairs are made of them, so a value that all databases hold, of
+    which there may be very many, adds its pairs once.
     """
     held = entries.dropna(subset=columns).select(*GROUP, *columns).distinct().groupBy("kind", *columns).agg(F.array_sort(F.collect_list("database_id")).alias("d")).where(F.size("d") > 1)
-    lows = held.select("kind", "d", F.posexplode("d").alias("at", "low"))
-    pairs = lows.select("kind", "low", F.explode(F.slice("d", F.col("at") + 2, F.size("d"))).alias("high"))
-    return pairs.groupBy("kind", "low", "high").agg(F.count(F.lit(1)).alias(name))
+    sets = held.groupBy("kind", "d").agg(F.count(F.lit(1)).alias("n"))
+    return _pairs_of_sets(sets, "kind", "n").groupBy("kind", "low", "high").agg(F.sum("n").alias(name))
 
 
 def matching_ids(entries: DataFrame) -> DataFrame:
     """Shared exact (id, hash) pairs, and the distinct ids among them, of each pair of databases."""
     rows = entries.select(*GROUP, "sequence_id", "sequence_hash").distinct()
     held = rows.groupBy("kind", "sequence_id", "sequence_hash").agg(F.array_sort(F.collect_list("database_id")).alias("d")).where(F.size("d") > 1)
-    lows = held.select("kind", "sequence_id", "d", F.posexplode("d").alias("at", "low"))
-    pairs = lows.select("kind", "sequence_id", "low", F.explode(F.slice("d", F.col("at") + 2, F.size("d"))).alias("high"))
-    ids = pairs.groupBy("kind", "low", "high", "sequence_id").agg(F.count(F.lit(1)).alias("n"))
-    return ids.groupBy("kind", "low", "high").agg(F.sum("n").alias("shared_exact_pairs"), F.count(F.lit(1)).alias("matching_shared_ids"))
+    # An id's sets, one for each hash; ids with the same sets are counted together.
+    ids = held.groupBy("kind", "sequence_id").agg(F.array_sort(F.collect_list("d")).alias("sets")).groupBy("kind", "sets").agg(F.count(F.lit(1)).alias("n"))
+    pairs = _pairs_of_sets(ids.select("kind", "sets", "n", F.explode("sets").alias("d")), "kind", "sets", "n")
+    own = pairs.groupBy("kind", "sets", "n", "low", "high").agg(F.count(F.lit(1)).alias("hashes"))
+    return own.groupBy("kind", "low", "high").agg(F.sum(F.col("n") * F.col("hashes")).alias("shared_exact_pairs"), F.sum("n").alias("matching_shared_ids"))
+
+
+_COUNTS = ("shared_ids", "shared_sequences", "shared_descriptions", "shared_exact_pairs", "matching_shared_ids")
+
+
+def pair_grid(databases: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Every pair of databases (low < high) and kind: the size of the result, not of the entries."""
+    # A join on inequality of ids; the smaller side's rows are sent, and each task pairs its part of the other.
+    pairs = databases.select(F.col("database_id").alias("low")).join(databases.select(F.col("database_id").alias("high")), F.col("low") < F.col("high"))
+    return pairs.select(F.explode(F.array(*map(F.lit, kinds))).alias("kind"), "low", "high")
 
 
 def pair_stats(entries: DataFrame, kinds: tuple[str, ...] = ("target", "contaminant")) -> DataFrame:
     """Every pair of databases (low < high) and kind with its shared counts, zeros included."""
     wanted = entries.where(F.col("kind").isin(*kinds))
-    databases = entries.select("database_id").distinct()
-    # The grid has a row for each pair of databases and kind: it is the result's size, not the entries'.
-    ids = databases.agg(F.array_sort(F.collect_list("database_id")).alias("d"))
-    lows = ids.select("d", F.posexplode("d").alias("at", "low"))
-    grid = lows.select("low", F.explode(F.slice("d", F.col("at") + 2, F.size("d"))).alias("high")).select(F.explode(F.array(*map(F.lit, kinds))).alias("kind"), "low", "high")
+    grid = pair_grid(entries.select("database_id").distinct(), kinds)
     for found in (shared_counts(wanted, ["sequence_id"], "shared_ids"), shared_counts(wanted, ["sequence_hash"], "shared_sequences"), shared_counts(wanted, ["description_hash"], "shared_descriptions"), matching_ids(wanted)):
         grid = grid.join(found, ["kind", "low", "high"], "left")
-    names = ("shared_ids", "shared_sequences", "shared_descriptions", "shared_exact_pairs", "matching_shared_ids")
-    return grid.select("kind", "low", "high", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+    return grid.select("kind", "low", "high", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in _COUNTS])
+
+
+def representatives(entries: DataFrame) -> DataFrame:
+    """kind, database_id, representative: the least of the databases whose ids, sequences, descriptions and counts are equal.
+
+    A database's content is two sums of digests over its distinct pairs, and one over its descriptions.
+    """
+    half = lambda seed, *c: F.sum(F.xxhash64(F.lit(seed), *c).cast("decimal(38,0)"))
+    pairs = entries.select(*GROUP, "sequence_id", "sequence_hash").distinct().groupBy(*GROUP).agg(half(1, "sequence_id", "sequence_hash").alias("h1"), half(2, "sequence_id", "sequence_hash").alias("h2"), F.count(F.lit(1)).alias("pairs"))
+    words = entries.where(F.col("description_hash").isNotNull()).select(*GROUP, "description_hash").distinct().groupBy(*GROUP).agg(half(3, "description_hash").alias("h3"), F.count(F.lit(1)).alias("descriptions"))
+    rows = pairs.join(words, GROUP, "left").na.fill(0)
+    same = ["kind", "h1", "h2", "pairs", "h3", "descriptions"]
+    return rows.join(rows.groupBy(*same).agg(F.min("database_id").alias("representative")), same).select("kind", "database_id", "representative")
+
+
+def expanded_pairs(entries: DataFrame, kinds: tuple[str, ...] = ("target", "contaminant")) -> DataFrame:
+    """pair_stats by way of representatives: databases of equal content are counted once and their pairs filled in."""
+    known = representatives(entries.where(F.col("kind").isin(*kinds)))
+    one = entries.join(known.where("database_id = representative").select(*GROUP), GROUP, "left_semi")
+    counted = pair_stats(one, kinds).select("kind", F.col("low").alias("rep_low"), F.col("high").alias("rep_high"), *_COUNTS)
+    own = kind_stats(one).select("kind", F.col("database_id").alias("own"), *[F.col(c).alias(f"own_{n}") for c, n in zip(("distinct_ids", "distinct_sequences", "distinct_descriptions", "distinct_pairs", "distinct_ids"), _COUNTS, strict=True)])
+    grid = pair_grid(entries.select("database_id").distinct(), kinds)
+    for side in ("low", "high"):
+        grid = grid.join(known.select("kind", F.col("database_id").alias(side), F.col("representative").alias(f"of_{side}")), ["kind", side], "left")
+    grid = grid.withColumns({"rep_low": F.least("of_low", "of_high"), "rep_high": F.greatest("of_low", "of_high"), "own": F.when(F.col("of_low") == F.col("of_high"), F.col("of_low"))})
+    # A database without entries of a kind has no representative and shares nothing.
+    absent = F.col("of_low").isNull() | F.col("of_high").isNull()
+    rows = grid.join(counted, ["kind", "rep_low", "rep_high"], "left").join(own, ["kind", "own"], "left")
+    return rows.select("kind", "low", "high", *[F.when(absent, 0).otherwise(F.coalesce(f"own_{n}", n, F.lit(0))).cast("bigint").alias(n) for n in _COUNTS])
+
+
+def pairs_touching(entries: DataFrame, changed: DataFrame, kinds: tuple[str, ...] = ("target", "contaminant")) -> DataFrame:
+    """The rows of pair_stats that have a database of `changed` (database_id): its values are looked up, no others are paired."""
+    wanted = entries.where(F.col("kind").isin(*kinds))
+    databases = entries.select("database_id").distinct()
+    grid = databases.join(changed.select("database_id").distinct().withColumnRenamed("database_id", "new"), F.col("database_id") != F.col("new"))
+    grid = grid.select(F.least("database_id", "new").alias("low"), F.greatest("database_id", "new").alias("high")).distinct().select(F.explode(F.array(*map(F.lit, kinds))).alias("kind"), "low", "high")
+
+    def met(*columns: str) -> DataFrame:
+        rows = wanted.dropna(subset=list(columns)).select(*GROUP, *columns).distinct()
+        mine = rows.join(changed.select("database_id").distinct(), "database_id", "left_semi").withColumnRenamed("database_id", "new")
+        both = mine.join(rows, ["kind", *columns]).where("new <> database_id")
+        return both.select("kind", *columns, F.least("database_id", "new").alias("low"), F.greatest("database_id", "new").alias("high")).distinct()
+
+    for column, name in (("sequence_id", "shared_ids"), ("sequence_hash", "shared_sequences"), ("description_hash", "shared_descriptions")):
+        grid = grid.join(met(column).groupBy("kind", "low", "high").agg(F.count(F.lit(1)).alias(name)), ["kind", "low", "high"], "left")
+    ids = met("sequence_id", "sequence_hash").groupBy("kind", "low", "high", "sequence_id").agg(F.count(F.lit(1)).alias("n"))
+    exact = ids.groupBy("kind", "low", "high").agg(F.sum("n").alias("shared_exact_pairs"), F.count(F.lit(1)).alias("matching_shared_ids"))
+    grid = grid.join(exact, ["kind", "low", "high"], "left")
+    return grid.select("kind", "low", "high", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in _COUNTS])
+
+
+def refreshed_pairs(pairs: DataFrame, entries: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
+    """pair_stats after the databases of `changed` were indexed again and those of `gone` deleted (both: database_id)."""
+    stale = changed.select("database_id").union(gone.select("database_id")).distinct()
+    for side in ("low", "high"):
+        pairs = pairs.join(stale.withColumnRenamed("database_id", side), side, "left_anti")
+    return pairs.select("kind", "low", "high", *_COUNTS).union(pairs_touching(entries, changed))
 
 
 def similarities(pairs: DataFrame, stats: DataFrame) -> DataFrame:
@@ -156,6 +226,99 @@ def candidate_counts(candidate: DataFrame, entries: DataFrame) -> DataFrame:
     return out.join(exact, ["database_id", "kind"], "full").na.fill(0)
 
 
+def staged_counts(candidate: DataFrame) -> DataFrame:
+    """One row a kind of a staged candidate: its distinct ids, sequences, descriptions and exact pairs."""
+    stats = kind_stats(candidate.withColumn("database_id", F.lit("0")))
+    return stats.select("kind", "entries", "distinct_ids", "distinct_sequences", "distinct_descriptions", "distinct_pairs")
+
+
+def compare_candidate(candidate: DataFrame, entries: DataFrame, threshold: float = 0.99, kinds: tuple[str, ...] = ("target", "contaminant"), among: DataFrame | None = None) -> DataFrame:
+    """Every registered database against a staged candidate, with relationship and rank by kind.
+
+    `among` (database_id) restricts the databases, such as to representatives.
+    """
+    if among is not None:
+        entries = entries.join(among.select("database_id"), "database_id", "left_semi")
+    own = ("distinct_ids", "distinct_sequences", "distinct_descriptions", "distinct_pairs")
+    mine = staged_counts(candidate).select("kind", *[F.col(c).alias(f"{c}_low") for c in own])
+    theirs = kind_stats(entries).select("kind", "database_id", *[F.col(c).alias(f"{c}_high") for c in own])
+    grid = entries.select("database_id").distinct().select("database_id", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    rows = grid.join(theirs, ["database_id", "kind"], "left").join(mine, "kind", "left").join(candidate_counts(candidate, entries), ["database_id", "kind"], "left").na.fill(0)
+    shared, a, b, exact = F.col("shared_ids"), F.col("distinct_ids_low"), F.col("distinct_ids_high"), F.col("shared_exact_pairs")
+    rows = rows.select(
+        "kind", "database_id", a.alias("selected_ids"), b.alias("other_ids"), *_COUNTS, jaccard(shared, a, b).alias("id_jaccard"), containment(shared, a, b).alias("id_containment"),
+        jaccard(F.col("shared_descriptions"), F.col("distinct_descriptions_low"), F.col("distinct_descriptions_high")).alias("description_jaccard"),
+        ((exact > 0) & (exact == F.col("distinct_pairs_low")) & (exact == F.col("distinct_pairs_high"))).alias("exact_content"), ((shared > 0) & (shared == a) & (shared == b)).alias("exact_id_set"),
+        (a - shared).alias("selected_only_ids"), (b - shared).alias("other_only_ids"),
+    )
+    label = relationship(F.col("exact_content"), F.col("exact_id_set"), shared, F.col("selected_ids"), F.col("other_ids"), F.col("id_containment"), threshold)
+    return ranked(rows.withColumn("relationship", label), threshold)
+
+
+def comparison_frame(compared: DataFrame) -> DataFrame:
+    """Comparisons in their canonical order: targets, then contaminants, each by rank."""
+    return compared.orderBy(F.when(F.col("kind") == "target", 0).otherwise(1), "kind", "rank")
+
+
+def candidate_neighbours(compared: DataFrame, limit: int = 50, metric: str = "id_jaccard", kind: str = "target") -> DataFrame:
+    """The databases nearest to a candidate: best first, ties by name."""
+    rows = compared.where(F.col("kind") == kind).select("database_id", F.col(metric).alias("score"))
+    return rows.orderBy(F.col("score").desc(), F.col("database_id").cast("string")).limit(limit)
+
+
+def combined_candidate(entries: DataFrame) -> DataFrame:
+    """All staged files of a candidate as one database 0, its entries numbered through the files in order."""
+    rows = combined_ordinals(entries)
+    return rows.withColumns({"ordinal": F.col("combined_ordinal").cast("bigint"), "database_id": F.lit("0")}).drop("combined_ordinal")
+
+
+def database_records(entries: DataFrame, most: int = 200_000) -> DataFrame:
+    """One row a database: entries by kind, target statistics, dominant namespace, detail level and whether it has decoys."""
+    stats = kind_stats(entries)
+    by_kind = stats.groupBy("database_id").agg(
+        F.sum("entries").alias("entries"), *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("entries"))), F.lit(0)).alias(f"{k}_entries") for k in KINDS],
+        *[F.coalesce(F.max(F.when(F.col("kind") == "target", F.col(c))), F.lit(0)).alias(f"target_{c}") for c in ("distinct_ids", "distinct_sequences", "distinct_descriptions")],
+    )
+    rows = by_kind.select("*", (F.col("decoy_entries") > 0).alias("is_decoy"), F.when(F.col("entries") <= most, "full").otherwise("metadata_only").alias("detail_level"))
+    if "namespace" not in entries.columns:
+        return rows
+    from .classify import dominant_namespace
+
+    return rows.join(dominant_namespace(entries.groupBy("database_id", "namespace").agg(F.count(F.lit(1)).alias("n")), "database_id"), "database_id", "left")
+
+
+def listed(records: DataFrame, name: str = "database_id") -> DataFrame:
+    """Databases by name, whatever its case, then by id."""
+    return records.orderBy(F.lower(F.col(name).cast("string")), "database_id")
+
+
+def kind_grid(stats: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The statistics of every kind of each database, zeros for kinds it has no entries of."""
+    grid = stats.select("database_id").distinct().select("database_id", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    return grid.join(stats, ["database_id", "kind"], "left").na.fill(0)
+
+
+def complete_kinds(stats: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Statistics by database as one array each; a database that lacks a kind raises."""
+    rows = stats.groupBy("database_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in stats.columns if c != "database_id"]))).alias("stats"))
+    whole = F.when(F.size("stats") != len(kinds), F.raise_error(F.concat(F.lit("incomplete statistics of "), F.col("database_id").cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(whole)
+
+
+def scan_facts(entries: DataFrame) -> DataFrame:
+    """What a scan learns of each database beside its entries: residues, the first sentinel's ordinal, and its contaminant groups in order of arrival."""
+    markers = entries.where(F.col("contaminant_group").isNotNull()).groupBy("database_id", "contaminant_group").agg(F.min("ordinal").alias("at"))
+    ordered = markers.groupBy("database_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "contaminant_group"))), lambda m: m["contaminant_group"]).alias("contaminant_groups"))
+    sums = entries.groupBy("database_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("sequence_length").alias("residues"), F.min(F.when(F.col("kind") == "sentinel", F.col("ordinal"))).alias("first_sentinel"))
+    return sums.join(ordered, "database_id", "left")
+
+
+def sampled(entries: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """At most `most` entries of each database, chosen by a seeded hash, so the sample does not depend on the order of the scan."""
+    turn = Window.partitionBy("database_id").orderBy(F.xxhash64(F.lit(seed), F.col("database_id").cast("string"), F.col("ordinal").cast("bigint")), "ordinal")
+    return entries.withColumn("__turn", F.row_number().over(turn)).where(F.col("__turn") <= most).drop("__turn")
+
+
 def content_groups(entries: DataFrame) -> DataFrame:
     """Databases of equal content (the set of id and hash pairs) by kind: representative and members.
 

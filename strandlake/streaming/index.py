@@ -7,7 +7,6 @@ partitions of its databases (so a batch that is run again changes nothing), and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lifecycle import entries_of, refresh, write_entries
@@ -16,8 +15,9 @@ from ..sources.fasta import PATTERNS, proteins, read_records
 
 def stream_index(spark: SparkSession, directory: str, root: str, checkpoint: str, *, files_a_batch: int = 1000) -> StreamingQuery:
     """Index what is in the directory and end; started again, it goes on with what came since."""
-    files = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", PATTERNS).option("maxFilesPerTrigger", str(files_a_batch)).load(directory)
-    paths = files.select(F.col("_metadata.file_path").alias("path"))
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", PATTERNS).option("maxFilesPerTrigger", str(files_a_batch)).load(directory)
+    # Only the path is asked for, so no content is read here.
+    paths = files.select("path")
 
     def index(batch: DataFrame, _: int) -> None:
         # One name a file of this batch, of which there are at most files_a_batch.
