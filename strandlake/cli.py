@@ -81,10 +81,7 @@ def derive_input(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def build_database(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = tables.read_table(spark, a.input, "protein_input").withColumnRenamed("role", "source_role")
-    groups = [(k, rows.where(F.col("source_role") == k).withColumn("contaminant_group", F.coalesce("block_name", F.lit("unlabelled")) if k == "contaminant" else F.lit(None).cast("string"))) for k in ("target", "contaminant")]
-    made = build.inventory(build.assembled([(k, build.legal(g, k)) for k, g in groups], ["source_order", "record_order"]))
-    tables.write_table(made, a.output, "protein_inventory")
+    tables.write_table(build.inventory_of(tables.read_table(spark, a.input, "protein_input")), a.output, "protein_inventory")
 
 
 def decoy(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -99,9 +96,9 @@ def decoy(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def decoy_report(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = tables.read_inventory(spark, a.inventory).where("kind <> 'decoy'").select("raw_header", "id", "sequence")
-    for mode, made in (("biological", rows), ("reverse", generate.reverse_decoys(rows)), ("shuffle", generate.shuffle_decoys(rows, a.seed))):
-        peptides.population(made, _digestion(a)).crossJoin(peptides.decoy_statistics(made, rows, _digestion(a))).select(F.lit(mode).alias("method"), "*").show(truncate=False)
+    rows = build.scientific(tables.read_inventory(spark, a.inventory)).select("raw_header", "id", "sequence")
+    methods = {"reverse": generate.reverse_decoys(rows), "shuffle": generate.shuffle_decoys(rows, a.seed), "decoypyrat": generate.decoypyrat(rows, _digestion(a), a.seed)}
+    tables.write_table(peptides.decoy_report(rows, methods, _digestion(a)), a.output, "decoy_report")
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -176,7 +173,7 @@ COMMANDS: dict[str, tuple[Callable[[SparkSession, argparse.Namespace], None], tu
     "derive-input": (derive_input, ("inventory", "output"), (*_SOURCE, ("--foreign", dict(action="store_true")))),
     "build": (build_database, ("input", "output"), ()),
     "decoy": (decoy, ("inventory", "output"), (*_LENGTHS, *_SEED, ("--mode", dict(choices=("reverse", "shuffle", "decoypyrat"), default="reverse")))),
-    "decoy-report": (decoy_report, ("inventory",), (*_LENGTHS, *_SEED)),
+    "decoy-report": (decoy_report, ("inventory", "output"), (*_LENGTHS, *_SEED)),
     "index": (index, ("directory", "registry"), (("--update", dict(action="store_true")), ("--keep", dict(action="store_true")), ("--force", dict(action="store_true")))),
     "registry": (list_registry, ("registry",), ()),
     "candidate": (candidate, ("registry", "fasta"), (("--threshold", dict(type=float, default=0.99)),)),

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sequence_hash
-from ..functions.sequences import header_description, header_id, illegal_residues, illegal_message, normalized, stop_stripped, upper_cased
+from ..functions.sequences import header_description, header_id, illegal_message, illegal_residues, leucine_for_isoleucine, normalized, stop_stripped, upper_cased
 from ..session import checkpointed
 from ..sources.tables import PROTEIN_INVENTORY, SEARCH_INVENTORY
 
+#: The sequence of sentinels and markers, which are no proteins.
+MARKER_SEQUENCE = "WWWWWWWWWW"
+
 
 def prepared(records: DataFrame, *, source_order: int, source_id: str, role: str = "target", block_name: str | None = None, block_description: str | None = None) -> DataFrame:
     """Canonical input rows of one source; an empty sequence raises."""
@@ -89,6 +94,61 @@ def search_inventory(biological: DataFrame, decoys: DataFrame, strategy: str) ->
     return both.select(*[(F.col(f.name) if f.name in both.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SEARCH_INVENTORY])
 
 
+def inventory_of(inputs: DataFrame) -> DataFrame:
+    """The inventory of canonical input rows: targets, then contaminants with their block as group; first ids win."""
+    rows = inputs.withColumnRenamed("role", "source_role")
+    groups = []
+    for kind in ("target", "contaminant"):
+        group = F.coalesce("block_name", F.lit("unlabelled")) if kind == "contaminant" else F.lit(None).cast("string")
+        groups.append((kind, legal(rows.where(F.col("source_role") == kind).withColumn("contaminant_group", group), kind)))
+    return inventory(assembled(groups, ["source_order", "record_order"]))
+
+
+def packaged(inventory: DataFrame, database: str, date: str, description: str = "") -> DataFrame:
+    """Records of a database in file order: a sentinel, targets, a marker before each block of contaminants, entrapment.
+
+    Columns order (section, block, place), raw_header, sequence. Sentinels and markers have a sequence of their own.
+    """
+    spark = inventory.sparkSession
+    section = F.when(F.col("kind") == "target", 1).when(F.col("kind") == "contaminant", 2).otherwise(3)
+    rows = scientific(inventory).select(section.alias("section"), F.when(F.col("kind") == "contaminant", F.coalesce("contaminant_group", F.lit("unlabelled"))).otherwise("").alias("block"), F.col("final_order").alias("place"), "raw_header", "sequence")
+    marker = lambda block: F.concat(F.lit("aa|Cont_"), block, F.lit(f"|{database}"))
+    markers = rows.where("section = 2").select("section", "block").distinct().select("section", "block", F.lit(-1).cast("bigint").alias("place"), marker(F.col("block")).alias("raw_header"), F.lit(MARKER_SEQUENCE).alias("sequence"))
+    sentinel = spark.createDataFrame([(0, "", -1, sentinel_header(database, date, description), MARKER_SEQUENCE)], "section int, block string, place bigint, raw_header string, sequence string")
+    return sentinel.union(markers).union(rows)
+
+
+def without_packaging(rows: DataFrame) -> DataFrame:
+    """Rows that are neither sentinels nor decoys."""
+    return rows.where(~F.col("kind").isin("sentinel", "decoy"))
+
+
+def scientific(rows: DataFrame) -> DataFrame:
+    """Targets, contaminants and entrapment."""
+    return rows.where(F.col("kind").isin("target", "contaminant", "entrapment"))
+
+
+def without_decoys(rows: DataFrame) -> DataFrame:
+    """The rows; a decoy among them raises."""
+    decoy = F.when(F.col("kind") == "decoy", F.raise_error(F.concat(F.lit("has decoys already: "), "id")).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(decoy)
+
+
+def derived_counts(inventory: DataFrame) -> DataFrame:
+    """kind, n, kept: what derived_input keeps and drops of an inventory."""
+    return inventory.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.col("kind").isin("target", "contaminant"))
+
+
+def leucine_targets(rows: DataFrame) -> DataFrame:
+    """Sequences with leucine for isoleucine, which weigh the same."""
+    return rows.withColumn("sequence", leucine_for_isoleucine(F.col("sequence")))
+
+
+def annotated(inventory: DataFrame, note: str) -> DataFrame:
+    """The inventory whose first row's header tells how its decoys were made."""
+    return inventory.withColumn("raw_header", F.when(F.col("final_order") == 0, F.concat("raw_header", F.lit(f"; {note}"))).otherwise(F.col("raw_header")))
+
+
 def derived_input(inventory: DataFrame, *, source_order: int, source_id: str, foreign: bool = False) -> DataFrame:
     """Input rows of an inventory: sentinels, entrapment and decoys go; contaminants keep their group as block."""
     role = F.when(F.lit(foreign), "foreign").otherwise(F.col("kind"))
@@ -116,7 +176,22 @@ def sentinel_metadata(raw_header: Column) -> Column:
     return F.when(ok, F.struct(F.get(fields, F.lit(1)).alias("database"), date.alias("date"), F.trim(F.regexp_replace(rest, "^[0-9]{8}", "")).alias("description")))
 
 
-def ordered_last(rows: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
-    """Of each partition the last row in order."""
-    window = Window.partitionBy(*partition).orderBy(*[F.col(c).desc() for c in order])
-    return rows.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
+def sentinel_column(database: Column, date: Column, description: Column) -> Column:
+    """The sentinel header of columns."""
+    return F.concat(F.lit("aa|"), database, F.lit("|"), F.rtrim(F.concat_ws(" ", date, description)))
+
+
+def decoy_annotation(note: Column) -> Column:
+    """A struct of mode and seed of an annotation such as `decoys (shuffle) seed (7)`; nulls where there is none."""
+    part = lambda k: F.nullif(F.regexp_extract(note, r"decoys \(([a-z_]+)\)(?: seed \(([0-9]+)\))?", k), F.lit(""))
+    return F.struct(part(1).alias("mode"), part(2).cast("bigint").alias("seed"))
+
+
+def rendered_name(template: str, **fields: Column) -> Column:
+    """A name of a template whose fields are in braces: a blank field goes together with the separator before it."""
+    out, rest = F.lit(""), template
+    for name in re.findall(r"\{(\w+)\}", template):
+        before, _, rest = rest.partition("{" + name + "}")
+        value = F.trim(fields[name])
+        out = F.concat(out, F.when(value == "", F.lit("")).otherwise(F.concat(F.lit(before), value)))
+    return F.concat(out, F.lit(rest))

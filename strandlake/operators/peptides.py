@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import peptide_id
 from ..functions.sequences import Digestion, composition, containment, digest, jaccard, ratio
+from ..sources.tables import DECOY_REPORT
 
 KINDS = ("target", "contaminant", "entrapment", "decoy")
 
@@ -106,6 +107,29 @@ def population(proteins: DataFrame, digestion: Digestion) -> DataFrame:
     return proteins.agg(F.count(F.lit(1)).alias("proteins")).crossJoin(sums).crossJoin(lengths)  # three tables of one row
 
 
+def required_normalized(sequence: Column) -> Column:
+    """The sequence; one that is not in upper case or has white space raises."""
+    bad = (sequence != F.upper(sequence)) | sequence.rlike(r"(?U)\s")
+    return F.when(bad, F.raise_error(F.lit("sequence must be normalised before digestion")).cast("string")).otherwise(sequence)
+
+
+def decoy_report(targets: DataFrame, methods: dict[str, DataFrame], digestion: Digestion) -> DataFrame:
+    """The canonical report: the targets as `biological`, then each method's decoys against them.
+
+    A method's frame may have initial_collisions and dropped_peptides of each decoy, which are summed.
+    """
+    rows = None
+    for name, made in {"biological": targets, **methods}.items():
+        sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) if c in made.columns else F.lit(0).cast("bigint").alias(c) for c in ("initial_collisions", "dropped_peptides")]
+        held = made.agg(*sums, F.count(F.lit(1)).alias("__made"))
+        omitted = targets.agg(F.count(F.lit(1)).alias("__of"))
+        one = population(made, digestion).crossJoin(decoy_statistics(made, targets, digestion)).crossJoin(held).crossJoin(omitted)  # tables of one row
+        one = one.withColumns({"method": F.lit(name), "unresolved_collisions": F.lit(0) if name == "biological" else F.col("shared_with_targets"), "omitted_decoys": F.col("__of") - F.col("__made")})
+        one = one.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DECOY_REPORT])
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
 def decoy_statistics(decoys: DataFrame, targets: DataFrame, digestion: Digestion) -> DataFrame:
     """One row: unique_ratio, shared_with_targets and composition_overlap of decoy peptides against target peptides."""
     d = digested(decoys.select("sequence"), digestion).select("peptide").distinct()

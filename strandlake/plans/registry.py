@@ -11,7 +11,7 @@ SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import sequence_queries  # noqa: F401
+    from . import file_queries, registry_queries, sequence_queries  # noqa: F401
 
     return QUERIES
 

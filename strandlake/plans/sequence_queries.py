@@ -26,7 +26,7 @@ SEQ = "upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))"
 PROTEINS = f"proteins AS (SELECT doc_id AS final_order, 'D' || doc_id AS id, {KIND} AS kind, source, {SEQ} AS sequence FROM documents)"
 SPLIT = "list_filter(string_split(replace(regexp_replace({}, '([KR])', '\\1|', 'g'), '|P', 'P'), '|'), lambda x: x <> '')"
 OCCURRENCES = f"{PROTEINS}, peps AS (SELECT id, final_order, kind, source, unnest({SPLIT.format('sequence')}) AS peptide FROM proteins), occ AS (SELECT * FROM peps WHERE length(peptide) BETWEEN 7 AND 50)"
-ENTRIES = f"entries AS (SELECT source AS database_id, doc_id AS ordinal, 'D' || (doc_id % 97) AS sequence_id, {KIND} AS kind, md5({SEQ}) AS sequence_hash, lang || ' ' || source AS description_hash FROM documents)"
+ENTRIES = f"entries AS (SELECT source AS database_id, doc_id AS ordinal, 'D' || (doc_id // 8) AS sequence_id, {KIND} AS kind, md5({SEQ}) AS sequence_hash, lang || ' ' || source AS description_hash FROM documents)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = proteins(spark, sf_dir)
     lang = F.when(F.col("kind") == "target", "en").when(F.col("kind") == "contaminant", "de").when(F.col("kind") == "decoy", "fr").otherwise("es")
     return rows.select(
-        F.col("source").alias("database_id"), F.col("final_order").alias("ordinal"), F.concat(F.lit("D"), F.col("final_order") % 97).alias("sequence_id"), "kind",
+        F.col("source").alias("database_id"), F.col("final_order").alias("ordinal"), F.concat(F.lit("D"), F.floor(F.col("final_order") / 8)).alias("sequence_id"), "kind",
         F.md5("sequence").alias("sequence_hash"), F.concat_ws(" ", lang, "source").alias("description_hash"),
     )
 
@@ -338,7 +338,11 @@ def peptide_compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(composition(F.col("peptide")).alias("composition")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("reverse_and_switch")
+#: Of the reversed peptide, a run of cleavage residues passes the residue before it (at the start, the rest of a run its first one).
+_SWITCHED = "regexp_replace(reverse(peptide), '(^[KR]|[^KR])([KR]+)', '\\2\\1', 'g')"
+
+
+@query("reverse_and_switch", f"WITH {OCCURRENCES} SELECT id, peptide, {_SWITCHED} AS decoy FROM occ")
 def reversed_and_switched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peptides.digested(proteins(spark, sf_dir), TRYPSIN, "id").select("id", "peptide", reverse_and_switch(F.col("peptide")).alias("decoy"))
 
@@ -474,7 +478,23 @@ def relationship_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.comparisons(_similar(spark, sf_dir), "src0").select("kind", "database_id", "shared_ids", "selected_only_ids", "other_only_ids", "relationship")
 
 
-@query("comparison_ranking")
+def _ranking_sql() -> str:
+    counts = {"ids": "sequence_id", "sequences": "sequence_hash", "descriptions": "description_hash"}
+    own = ", ".join(f"count(DISTINCT {c}) AS {n}" for n, c in counts.items())
+    shared = ", ".join(f"(SELECT count(DISTINCT a.{c}) FROM e a JOIN e b ON b.database_id = 'src0' AND a.kind = b.kind AND a.{c} = b.{c} WHERE a.kind = k.kind AND a.database_id = k.database_id) AS shared_{n}" for n, c in counts.items())
+    return f"""WITH {ENTRIES}, e AS (SELECT DISTINCT database_id, kind, sequence_id, sequence_hash, description_hash FROM entries), o AS (SELECT database_id, kind, {own}, count(DISTINCT (sequence_id, sequence_hash)) AS pairs FROM e GROUP BY ALL),
+ g AS (SELECT d.database_id, k.kind FROM (SELECT DISTINCT database_id FROM e WHERE database_id <> 'src0') d, (SELECT unnest(['target', 'contaminant']) AS kind) k),
+ x AS (SELECT k.kind, k.database_id, {shared}, (SELECT count(*) FROM (SELECT DISTINCT a.sequence_id, a.sequence_hash FROM e a JOIN e b ON b.database_id = 'src0' AND a.kind = b.kind AND a.sequence_id = b.sequence_id AND a.sequence_hash = b.sequence_hash WHERE a.kind = k.kind AND a.database_id = k.database_id)) AS exact FROM g k),
+ c AS (SELECT x.*, coalesce(s.ids, 0) AS si, coalesce(t.ids, 0) AS ti, coalesce(s.descriptions, 0) AS sd, coalesce(t.descriptions, 0) AS td, coalesce(s.pairs, 0) AS sp, coalesce(t.pairs, 0) AS tp FROM x LEFT JOIN o s ON s.database_id = 'src0' AND s.kind = x.kind LEFT JOIN o t ON t.database_id = x.database_id AND t.kind = x.kind),
+ r AS (SELECT *, coalesce(shared_ids / nullif(least(si, ti), 0), 0.0) AS near, coalesce(shared_ids / nullif(si + ti - shared_ids, 0), 0.0) AS jac, coalesce(shared_descriptions / nullif(sd + td - shared_descriptions, 0), 0.0) AS words,
+  exact > 0 AND exact = sp AND exact = tp AS same, shared_ids > 0 AND shared_ids = si AND shared_ids = ti AS same_ids FROM c)
+SELECT kind, database_id, CASE WHEN same THEN 'exact_content' WHEN same_ids THEN 'exact_id_set' WHEN shared_ids > 0 AND shared_ids = si AND si < ti THEN 'subset' WHEN shared_ids > 0 AND shared_ids = ti AND ti < si THEN 'superset'
+ WHEN shared_ids > 0 AND near >= 0.99 THEN 'near_match' WHEN shared_ids > 0 THEN 'partial_overlap' ELSE 'no_overlap' END AS relationship,
+ row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN same THEN 0 WHEN same_ids THEN 1 WHEN shared_ids > 0 AND near >= 0.99 THEN 2 WHEN shared_ids > 0 THEN 3 WHEN shared_sequences > 0 THEN 4 ELSE 5 END,
+  near DESC, jac DESC, shared_ids DESC, shared_sequences DESC, words DESC, shared_descriptions DESC, lower(database_id), database_id) AS rank FROM r"""
+
+
+@query("comparison_ranking", _ranking_sql())
 def comparison_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.comparisons(_similar(spark, sf_dir), "src0").select("kind", "database_id", "relationship", "rank")
 
@@ -493,8 +513,8 @@ def content_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("candidate_counts", f"""
-WITH {ENTRIES}, c AS (SELECT DISTINCT kind, sequence_id FROM entries WHERE ordinal % 10 = 0), h AS (SELECT DISTINCT kind, sequence_hash FROM entries WHERE ordinal % 10 = 0), d AS (SELECT DISTINCT kind, description_hash FROM entries WHERE ordinal % 10 = 0),
- x AS (SELECT DISTINCT kind, sequence_id, sequence_hash FROM entries WHERE ordinal % 10 = 0), e AS (SELECT DISTINCT database_id, kind, sequence_id, sequence_hash, description_hash FROM entries)
+WITH {ENTRIES}, c AS (SELECT DISTINCT kind, sequence_id FROM entries WHERE database_id = 'src0'), h AS (SELECT DISTINCT kind, sequence_hash FROM entries WHERE database_id = 'src0'), d AS (SELECT DISTINCT kind, description_hash FROM entries WHERE database_id = 'src0'),
+ x AS (SELECT DISTINCT kind, sequence_id, sequence_hash FROM entries WHERE database_id = 'src0'), e AS (SELECT DISTINCT database_id, kind, sequence_id, sequence_hash, description_hash FROM entries)
 SELECT * FROM (SELECT database_id, kind, (SELECT count(DISTINCT sequence_id) FROM e JOIN c USING (kind, sequence_id) WHERE e.database_id = k.database_id AND e.kind = k.kind) AS shared_ids,
  (SELECT count(DISTINCT sequence_hash) FROM e JOIN h USING (kind, sequence_hash) WHERE e.database_id = k.database_id AND e.kind = k.kind) AS shared_sequences,
  (SELECT count(DISTINCT description_hash) FROM e JOIN d USING (kind, description_hash) WHERE e.database_id = k.database_id AND e.kind = k.kind) AS shared_descriptions,
@@ -503,13 +523,13 @@ SELECT * FROM (SELECT database_id, kind, (SELECT count(DISTINCT sequence_id) FRO
  FROM (SELECT DISTINCT database_id, kind FROM entries) k) WHERE shared_ids + shared_sequences + shared_descriptions > 0""")
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entries(spark, sf_dir)
-    return registry.candidate_counts(rows.where(F.col("ordinal") % 10 == 0), rows)
+    return registry.candidate_counts(rows.where("database_id = 'src0'"), rows)
 
 
-@query("orphan_check", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+@query("orphan_check", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def orphan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("database_id"), "o_orderkey")
-    known = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == 0).select(F.col("c_custkey").alias("database_id"))
+    known = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("database_id"))
     return registry.orphans(rows, known).select("o_orderkey")
 
 

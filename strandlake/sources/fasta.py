@@ -68,11 +68,10 @@ def read_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def parse_text(spark: SparkSession, text: str) -> DataFrame:
-    """Records of a FASTA literal, in order."""
-    rows = spark.createDataFrame([(text,)], "value string").select(F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n>")).alias("pos", "value"))
-    lead = F.regexp_replace("value", r"^(?:[^\S\n]*\n)+(?=>)", "")
-    rows = rows.select(F.lit("<text>").alias("source_path"), F.col("pos").cast("bigint").alias("record_ordinal"), F.when(F.col("pos") == 0, lead).otherwise(F.col("value")).alias("value"))
-    made = _lines(rows)
+    """Records of a FASTA literal, in order; blank lines before the first header don't count."""
+    lead = F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"^(?:[^\S\n]*\n)+(?=>)", "")
+    rows = spark.createDataFrame([(text,)], "value string").select(F.posexplode(F.split(lead, "\n>", -1)).alias("pos", "value"))
+    made = _lines(rows.select(F.lit("<text>").alias("source_path"), F.col("pos").cast("bigint").alias("record_ordinal"), "value"))
     first = F.col("record_ordinal") == 0
     blank = first & (F.trim(F.regexp_replace("__text", r"\s+", "")) == "")
     wrong = F.when(first & ~F.col("__text").startswith(">") & ~blank, F.raise_error(F.lit("<text>: content before the first header")).cast("boolean"))

@@ -48,6 +48,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def move(spark: SparkSession, source: str, target: str) -> None:
     fs, at = _at(spark, source)
+    if not fs.exists(at):
+        raise FileNotFoundError(source)
     if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(target)):
         raise OSError(f"could not move {source} to {target}")
 

@@ -61,6 +61,15 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"{path}: not an inventory: {rows.schema.simpleString()}")
 
 
+def inventory_entries(rows: DataFrame) -> DataFrame:
+    """The rows of an inventory, checked: an unknown kind raises, and so does a decoy without its source or one elsewhere."""
+    wrong = ~F.col("kind").isin("target", "contaminant", "entrapment", "decoy", "sentinel")
+    if "decoy_strategy" in rows.columns:
+        has = F.col("decoy_strategy").isNotNull() & F.col("decoy_source_order").isNotNull()
+        wrong = wrong | (has != (F.col("kind") == "decoy"))
+    return rows.where(F.when(wrong, F.raise_error(F.concat(F.lit("not a valid inventory row: "), "id", F.lit(" "), "kind")).cast("boolean")).otherwise(F.lit(True)))
+
+
 def write_table(rows: DataFrame, path: str, name: str) -> None:
     """Write a canonical table where there is none yet."""
     if not same_schema(rows.schema, SCHEMAS[name]):
@@ -95,7 +104,7 @@ def write_export(rows: DataFrame, path: str, *, exclude_sequence: bool = False)
 
 
 def write_versioned(rows: DataFrame, path: str, config: dict) -> None:
-    """Parquet with its configuration beside it, which read_versioned compares."""
+    """Parquet with its configuration in the metadata of its first column, which read_versioned compares."""
     fields = [T.StructField(f.name, f.dataType, f.nullable, {"strandlake.config": json.dumps(config, sort_keys=True)} if k == 0 else f.metadata) for k, f in enumerate(rows.schema.fields)]
     first = fields[0]
     rows.withColumn(first.name, F.col(first.name).alias(first.name, metadata=first.metadata)).write.mode("errorifexists").parquet(path)

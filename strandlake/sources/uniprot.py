@@ -13,6 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
 from .tables import UNIPROT_CATALOG
 
 
@@ -68,16 +69,23 @@ def fasta_records(raw: DataFrame, json: str = "json") -> DataFrame:
 def fetched(spark: SparkSession, transport: Transport, endpoint: str, query: str, folder: str) -> DataFrame:
     """All pages of a query as one row an object, column json.
 
-    A page is written as it comes (a provider is one stream), so the driver holds one page.
+    A page is written as it comes, on the file system that Spark reads (a provider is one stream), so the driver holds one page.
     """
-    target = Path(folder)
-    target.mkdir(parents=True)
+    if files.exists(spark, folder):
+        raise FileExistsError(folder)
     for k, page in enumerate(transport.pages(endpoint, query)):
-        (target / f"page-{k:06d}.jsonl").write_text("".join(" ".join(text.splitlines()) + "\n" for text in page))
+        files.write_bytes(spark, f"{folder}/page-{k:06d}.jsonl", "".join(" ".join(text.splitlines()) + "\n" for text in page).encode())
     rows = spark.read.schema("value string").text(folder).where("value <> ''")
     return rows.withColumnRenamed("value", "json")
 
 
+def committed_catalogs(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogues of a folder, the latest first: those whose manifest (name.json, with the MD5 of the file) still holds."""
+    held = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.md5("content").alias("md5"), F.when(F.col("path").endswith(".json"), F.col("content").cast("string")).alias("text"))
+    manifests = held.where("text is not null").select(F.from_json("text", "name string, md5 string").alias("m")).select("m.name", F.col("m.md5").alias("stated"))
+    return held.where("text is null").join(manifests, "name").where("md5 = stated").select("name", "md5").orderBy(F.col("name").desc())
+
+
 def download_fasta(transport: Transport, query: str, path: str) -> int:
     """Stream FASTA lines to a new file; the number of records, of which there must be one."""
     target, n = Path(path), 0

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,19 +17,25 @@ def digested(spark, sequence, **lengths):
     return [(p["peptide"], p["missed_cleavages"]) for p in row["d"]]
 
 
-@pytest.mark.parametrize(
-    ("sequence", "lengths", "expected"),
-    [
-        ("AKRPQK", dict(shortest=1, longest=50), [("AK", 0), ("RPQK", 0)]),
-        ("AKBKCK", dict(shortest=1, longest=50, missed=2), [("AK", 0), ("AKBK", 1), ("AKBKCK", 2), ("BK", 0), ("BKCK", 1), ("CK", 0)]),
-        ("AKBKCK", dict(shortest=2, longest=4, missed=1), [("AK", 0), ("AKBK", 1), ("BK", 0), ("BKCK", 1), ("CK", 0)]),
-        ("AK*RPQK-XU", dict(shortest=1, longest=50), [("AK", 0), ("RPQK", 0), ("XU", 0)]),
-        ("AKAK", dict(shortest=1, longest=50), [("AK", 0), ("AK", 0)]),
-        ("", dict(shortest=1, longest=50), []),
-    ],
-)
-def test_digestion(spark, sequence, lengths, expected):
-    assert digested(spark, sequence, **lengths) == expected
+def cleaved(sequence, shortest, longest, missed):
+    """Brute force: every stretch between two places where trypsin may cut, or the ends of a run of letters."""
+    found = []
+    for run in re.finditer("[A-Z]+", sequence):
+        text = run.group()
+        cuts = [0, *(k + 1 for k in range(len(text) - 1) if text[k] in "KR" and text[k + 1] != "P"), len(text)]
+        for i, start in enumerate(cuts[:-1]):
+            for n, end in enumerate(cuts[i + 1 : i + 2 + missed]):
+                if shortest <= end - start <= longest:
+                    found.append((text[start:end], n))
+    return found
+
+
+@pytest.mark.parametrize("missed", [0, 1, 2])
+@pytest.mark.parametrize("span", [(1, 50), (3, 6)])
+def test_digestion_equals_brute_force(spark, missed, span):
+    rng = random.Random(10 * missed + span[0])
+    for sequence in ["", "KKK", "KP", "-R*", *("".join(rng.choice("GGKRPM*-") for _ in range(rng.randrange(30))) for _ in range(6))]:
+        assert digested(spark, sequence, shortest=span[0], longest=span[1], missed=missed) == cleaved(sequence, *span, missed)
 
 
 @pytest.mark.parametrize("bad", [dict(shortest=0), dict(shortest=9, longest=8), dict(missed=-1), dict(missed=3)])
@@ -37,19 +44,12 @@ def test_bad_digestions(bad):
         Digestion(**bad)
 
 
-def switched(sequence):
-    out = list(sequence[::-1])
-    for i, r in enumerate(out):
-        if i and r in "KR":
-            out[i - 1], out[i] = r, out[i - 1]
-    return "".join(out)
-
-
 def test_reverse_and_switch(spark):
+    # Of the reversed sequence, a run of cleavage residues passes the residue before it (at the start, the rest of a run its first one).
     rng = random.Random(3)
-    made = ["".join(rng.choice("AKRC") for _ in range(rng.randrange(12))) for _ in range(200)]
+    made = ["".join(rng.choice("GKRM") for _ in range(rng.randrange(12))) for _ in range(200)]
     rows = spark.createDataFrame([(s,) for s in made], "s string").select("s", reverse_and_switch(F.col("s")).alias("r")).collect()
-    assert all(r["r"] == switched(r["s"]) for r in rows)
+    assert all(r["r"] == re.sub("(^[KR]|[^KR])([KR]+)", r"\2\1", r["s"][::-1]) for r in rows)
 
 
 def test_property_values(spark):
@@ -67,9 +67,10 @@ def test_property_values(spark):
 def test_hashes_and_fingerprints(spark):
     [row] = spark.createDataFrame([("ACD",)], "s string").select(sequence_hash(F.col("s")).alias("h")).collect()
     assert bytes(row["h"]) == hashlib.blake2b(b"ACD", digest_size=16).digest()
-    ids = ["Z_last", "a_lower", "A_upper", "0_digit", "_leading", "zz", "ZZ", "Ab", "aB", "zz"]
+    rng = random.Random(6)
+    ids = ["".join(rng.choice("aZ9_.~é") for _ in range(rng.randrange(1, 4))) for _ in range(40)]
     [made] = ordered_fingerprint(spark.createDataFrame([("d", i) for i in ids], "db string, id string").repartition(3), ["db"], ["id"]).collect()
-    want = hashlib.blake2b(b"".join(i.encode() + b"\n" for i in sorted(set(ids))), digest_size=16).digest()
+    want = hashlib.blake2b(b"".join(i.encode() + b"\n" for i in sorted(set(ids), key=str.encode)), digest_size=16).digest()
     assert bytes(made["fingerprint"]) == want
 
 
@@ -105,11 +106,8 @@ def test_decoypyrat_keeps_what_a_hundred_tries_resolve(spark):
     rng, rows = random.Random(11), []
     while len(rows) < 120:  # decoys with one inner KP or RP that are targets too
         protein = "".join(rng.choice("ACDEFGHILMNPPPPQSTVWYKR") for _ in range(60))
-        decoy = list(protein[::-1])
-        for k in range(1, len(decoy)):
-            if decoy[k] in "KR":
-                decoy[k - 1], decoy[k] = decoy[k], decoy[k - 1]
-        for part in re.split("(?<=[KR])(?!P)", "".join(decoy))[1:-1]:
+        decoy = re.sub("(^[KR]|[^KR])([KR]+)", r"\2\1", protein[::-1])
+        for part in re.split("(?<=[KR])(?!P)", decoy)[1:-1]:
             if 11 <= len(part) <= 13 and len(re.findall("[KR]P", part)) == 1 and len(re.findall("[KR]", part)) == 2:
                 rows += [(f"P{len(rows)}", "d", protein), (f"Q{len(rows)}", "d", part)]
                 break
@@ -153,6 +151,36 @@ def test_average_linkage(spark):
     assert merges == [(0, 1, 0.1, 2), (3, 2, 0.7, 3)] or merges == [(0, 1, 0.1, 2), (2, 3, 0.7, 3)]
 
 
+def brute_linkage(names, near):
+    """Average linkage by definition: the mean distance of all members of two clusters, ties to the first by name."""
+    clusters, made = {k: (k,) for k in range(len(names))}, []
+    apart = lambda a, b: sum(1 - near[min(i, j), max(i, j)] for i in a for j in b) / (len(a) * len(b))
+    while len(clusters) > 1:
+        best = min((round(apart(clusters[i], clusters[j]), 12), min(clusters[i]), min(clusters[j]), i, j) for i in clusters for j in clusters if min(clusters[i]) < min(clusters[j]))
+        made.append((best[3], best[4], round(best[0], 6), len(clusters[best[3]]) + len(clusters[best[4]])))
+        clusters[len(names) + len(made) - 1] = clusters.pop(best[3]) + clusters.pop(best[4])
+    return made
+
+
+def test_average_linkage_equals_its_definition_and_orders_leaves(spark):
+    rng, names = random.Random(4), [f"db{k:02d}" for k in range(14)]
+    near = {(i, j): rng.randrange(8) / 8 for j in range(14) for i in range(j)}
+    rows = [("target", names[i], names[j], v, 5, 5) for (i, j), v in near.items()] + [("target", n, "empty", 0.0, 5, 0) for n in names]
+    frame = spark.createDataFrame(rows, "kind string, low string, high string, id_jaccard double, distinct_ids_low int, distinct_ids_high int")
+    merges = [(r["left_id"], r["right_id"], round(r["distance"], 6), r["leaf_count"]) for r in registry.average_linkage(frame).orderBy("step").collect()]
+    assert merges == brute_linkage(names, near)
+    leaves = {r["database_id"]: r["position"] for r in registry.leaf_order(frame).collect()}
+    assert leaves.pop("empty") is None and sorted(leaves.values()) == list(range(14))
+    with pytest.raises(ValueError, match="missing"):
+        registry.average_linkage(frame.where("low <> 'db00' or high <> 'db01'"))
+
+
+def test_orders_by_rank():
+    for letters in ("A", "AAB", "ABCD", "AABBC"):
+        n = generate.orders(letters)
+        assert [generate.ordered_by_rank(letters, k) for k in range(n)] == sorted({"".join(p) for p in permutations(letters)})
+
+
 def test_export_numbers(spark):
     frame = spark.createDataFrame([(0.0,), (1.0,), (0.5,), (1 / 3,)], "v double").select(registry.export_text(F.col("v"), "double").alias("t"))
     assert [r["t"] for r in frame.collect()] == ["0.0", "1.0", "0.5", "0.333333333333"]
