@@ -2,19 +2,24 @@
 
 A 64-bit fingerprint has eight positional bytes. Two fingerprints that differ in at most d bits share
 at least 8 - d of them: the guaranteed minimum of matches. The postings of single positional bytes
-hold a 256th of all fingerprints each, so tallying over them would grow with the square of the input;
-the index therefore posts every set of 8 - d positional bytes, and a pair that reaches the minimum
-meets in the posting of a set it shares. Inside a posting only d bytes are left open, so partners are
-looked up among the at most 1 + 8d + C(8d, 2) + ... values within d bits (or compared directly where
-the posting is smaller than that), the shared positional bytes of each pair are tallied against the
-minimum, and the differing bits are verified. Links leave a posting as stars, at most one a member,
-which keeps its components and never writes all its pairs.
+hold a 256th of all fingerprints each, so tallying over them would grow with the square of the input.
+But of any PREFIX positions a pair that reaches the minimum shares at least PREFIX - d, so the index posts
+every set of PREFIX - d of the first PREFIX positions. In a posting the shared positional bytes of each pair
+are tallied over all eight positions, pairs that don't reach 8 - d are dropped, and the differing bits of
+the others are verified. A posting with more members than there are values within d bits looks these
+values up instead of forming all its pairs. Links leave a posting as stars, at most one a member, which
+keeps its components and never writes all its pairs.
 
 Equal texts have equal fingerprints; the index holds each distinct fingerprint once, so copies cost
-nothing. Components are those of the link graph. Defined results: a null text counts as the empty
+nothing. A fingerprint of very many rows is dealt to SALT tasks where rows get their component.
+
+Texts that are similar without near fingerprints (the pipeline's five-word shingles, from a Jaccard similarity
+of 0.8 on) are found by near_copies(), which posts sets of positional bytes of a longer sketch.
+
+Components are those of the link graph. Defined results: a null text counts as the empty
 text; a text with no words has fingerprint zero, which links like any other; repeated rows give
-repeated results; null ids are kept, and are never a component's id unless it has no other; other
-columns are not read.
+repeated results; null ids are kept, and are never a component's id unless it has no other; very long
+texts are fingerprinted whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, map_arrow
+from .common import blocks, cut, map_arrow, partitions
 from .components import components
+from .linking import links_within
 
 #: The words of a text are cut at ASCII white space.
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SEED = 42
+#: Positions of a fingerprint whose bytes are posted; tasks that the rows of a frequent fingerprint are dealt to.
+PREFIX, SALT = 6, 32
+#: Rows of a fingerprint that is frequent, at least (and a thousandth of all rows, so that there are few such).
+FREQUENT = 10_000
 #: Sets of bytes of a sketch that are posted, bytes of each, and bytes of a sketch.
 POSTINGS, GROUP = 26, 5
 SKETCH = POSTINGS * GROUP
@@ -73,15 +83,19 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
 
 
 def _near(values: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
-    """Pairs (i, j) of distinct values that differ in at most `bits` bits, found without forming all pairs of a large posting."""
+    """Pairs (i, j) of distinct values that share 8 - bits bytes and differ in at most `bits` bits."""
     apart = values[0] ^ values
     open_bits = [k for k in range(64) if np.bitwise_or.reduce(apart) >> np.uint64(k) & np.uint64(1)]
     flips = [sum(1 << k for k in chosen) for n in range(1, bits + 1) for chosen in combinations(open_bits, n)]
     if len(values) <= len(flips):
         for i in range(len(values) - 1):
-            for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= bits):
-                yield i, i + 1 + int(j)
+            apart = values[i + 1 :] ^ values[i]
+            tally = np.count_nonzero(apart[:, None].view(np.uint8) == 0, axis=1)
+            for j in np.flatnonzero(tally >= 8 - bits):
+                if int(apart[j]).bit_count() <= bits:
+                    yield i, i + 1 + int(j)
         return
+    # So few bits can't differ in more than as many bytes, so all that is looked up reaches the minimum.
     order = np.argsort(values)
     for flip in flips:
         wanted = values ^ np.uint64(flip)
@@ -102,11 +116,9 @@ def posting_links(values: list[int], bits: int) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    least = 8 - bits
     for i, j in _near(v, bits):
-        same = np.count_nonzero((v[i : i + 1] ^ v[j : j + 1]).view(np.uint8) == 0)
-        if same >= least and int(v[i] ^ v[j]).bit_count() <= bits:
-            root[max(find(i), find(j))] = min(find(i), find(j))
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
     signed = v.view(np.int64)
     return [(int(signed[i]), int(signed[find(i)])) for i in range(len(v)) if find(i) != i]
 
@@ -114,29 +126,54 @@ def posting_links(values: list[int], bits: int) -> list[tuple[int, int]]:
 def links(distinct: DataFrame, *, bits: int = 2) -> DataFrame:
     """Columns a and b: links between distinct fingerprints (column fp) that join what is within `bits` bits."""
     masks = []
-    for kept in combinations(range(8), 8 - bits):
+    for kept in combinations(range(max(PREFIX, bits + 1)), max(PREFIX, bits + 1) - bits):
         mask = sum(0xFF << 8 * k for k in kept)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    posted = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("which", "part"))
-    # A posting holds distinct fingerprints that agree in 8 - bits bytes: at most 256 ** bits of them.
-    postings = posted.groupBy("which", "part").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    # Dealt to a set number of tasks, since each row becomes as many as there are sets.
+    posted = distinct.repartition(partitions(distinct.sparkSession), "fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("which", "part"))
+    # Most postings have one member and end here, as sums.
+    crowded = posted.groupBy("which", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("which", "part")
+    met = posted.join(crowded, ["which", "part"], "left_semi").repartition(partitions(distinct.sparkSession), "which", "part").sortWithinPartitions("which", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fps = None, []
         for batch in batches:
-            found = [x for fps in batch.column(0).to_pylist() for x in posting_links(fps, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            for fp, *posting in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if posting != held:
+                    yield _linked(fps, bits)
+                    held, fps = posting, []
+                fps.append(fp)
+        yield _linked(fps, bits)
+
+    return map_arrow(met.select("fp", "which", "part"), run, "a bigint, b bigint").distinct()
+
+
+def _linked(fps: list[int], bits: int) -> pa.RecordBatch:
+    found = posting_links(fps, bits) if len(fps) > 1 else []
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
 
-    return map_arrow(postings.select("fps"), run, "a bigint, b bigint").distinct()
+def _named(rows: DataFrame, names: DataFrame, on: str) -> DataFrame:
+    """Left join of rows with names (one row a value of `on`); the rows of a frequent value are dealt to SALT tasks.
+
+    The frequent values, each of a thousandth of all rows at least, are sent to all tasks: a thousand at most.
+    """
+    counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+    least = max(FREQUENT, rows.count() // 1000)
+    frequent = F.broadcast(counts.where(F.col("__n") >= least).select(on, F.lit(SALT).alias("__salts")))
+    salted = rows.join(frequent, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    spread = names.join(frequent, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return salted.join(spread, [on, "__salt"], "left").drop("__salt")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
     """Columns `key`, text_hash (XXH64), fp and component_id (the least id of the component) of every row."""
     made = cut(fingerprints(docs, key=key, text=text, width=width))
     distinct = made.groupBy("fp").agg(F.min(key).alias("least"))
-    rooted = distinct.join(components(links(distinct, bits=bits), "a", "b"), F.col("fp") == F.col("node"), "left")
+    rooted = distinct.join(components(links(distinct.select("fp"), bits=bits), "a", "b"), F.col("fp") == F.col("node"), "left")
     rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return made.join(named, "fp").select(key, "text_hash", "fp", "root", "component_id")
+    return _named(made, named, "fp").select(key, "text_hash", "fp", "root", "component_id")
 
 
 def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
@@ -174,51 +211,48 @@ def differing_bits(similarity: float) -> int:
     return int(4 * n * p + 4 * math.sqrt(16 * n * p * (1 - p) + 2 * n * p))
 
 
-def leaders(sketches: list[bytes], most: int) -> list[tuple[int, int]]:
-    """Links that join the members of a posting exactly as its pairs within `most` differing bits do.
+class Sketches:
+    """Near are sketches that differ in at most `most` bits."""
 
-    A member that is reached (a leader) is compared with all members not reached yet, and those near it are
-    reached through it, one link each. A large group of near copies is reached by its first members, so few
-    comparisons are left; no link between two groups is lost.
-    """
-    values = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    left, found = np.arange(len(values)), []
-    while len(left):
-        waiting, left = [int(left[0])], left[1:]
-        while waiting and len(left):
-            leader = waiting.pop()
-            near = np.bitwise_count(values[left] ^ values[leader]).sum(1, dtype=np.int32) <= most
-            found += [(leader, int(i)) for i in left[near]]
-            waiting += left[near].tolist()
-            left = left[~near]
-    return found
-
-
-def alike(sets: list[np.ndarray], sketches: list[bytes], similarity: float, most: int) -> list[int]:
-    """For each set the first one of its component, linked by a Jaccard similarity of at least `similarity`.
-
-    As in leaders(), a set that is reached is compared with those not reached yet: by sketch and size first, then exactly.
-    """
-    values = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    sizes = np.array([len(s) for s in sets])
-    root, left = list(range(len(sets))), np.arange(len(sets))
-    while len(left):
-        first, left = int(left[0]), left[1:]
-        waiting = [first]
-        while waiting and len(left):
-            i = waiting.pop()
-            close = np.bitwise_count(values[left] ^ values[i]).sum(1, dtype=np.int32) <= most
-            close &= np.minimum(sizes[left], sizes[i]) >= similarity * np.maximum(sizes[left], sizes[i]) - 1e-9
-            for at in np.flatnonzero(close):
-                other = sets[left[at]]
-                found = np.searchsorted(sets[i], other)
-                shared = int((sets[i][np.minimum(found, len(sets[i]) - 1)] == other).sum())
-                close[at] = shared >= similarity * (len(other) + len(sets[i]) - shared) - 1e-9
-            for j in left[close].tolist():
-                root[j] = first
-                waiting.append(j)
-            left = left[~close]
-    return root
+    def __init__(self, most: int):
+        self.most = most
+
+    def prepared(self, bodies: list[bytes]) -> np.ndarray:
+        whole = np.zeros((len(bodies), -(-SKETCH // 8) * 8), np.uint8)
+        whole[:, :SKETCH] = np.frombuffer(b"".join(bodies), np.uint8).reshape(len(bodies), SKETCH)
+        return whole.view(np.uint64)
+
+    def part(self, prepared: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return prepared[at]
+
+    def near(self, one: np.ndarray, k: int, many: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(many ^ one[k]).sum(1, dtype=np.int32) <= self.most
+
+
+class Shingles:
+    """Near are texts whose sets of word shingles have a Jaccard similarity of at least `similarity`: by sketch and size first, then exactly."""
+
+    def __init__(self, similarity: float, width: int):
+        self.similarity, self.width, self.sketches = similarity, width, Sketches(differing_bits(similarity))
+
+    def prepared(self, bodies: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        sets = [shingle_hashes(body, self.width) for body in bodies]
+        return sets, np.array([len(s) for s in sets]), self.sketches.prepared([sketch(s) for s in sets])
+
+    def part(self, prepared: tuple, at: np.ndarray) -> tuple:
+        sets, sizes, sketches = prepared
+        return [sets[i] for i in at], sizes[at], sketches[at]
+
+    def near(self, one: tuple, k: int, many: tuple) -> np.ndarray:
+        ours, sizes = one[0][k], many[1]
+        close = self.sketches.near(one[2], k, many[2])
+        close &= np.minimum(sizes, len(ours)) >= self.similarity * np.maximum(sizes, len(ours)) - 1e-9
+        for at in np.flatnonzero(close):
+            other = many[0][at]
+            found = np.searchsorted(ours, other)
+            shared = int((ours[np.minimum(found, len(ours) - 1)] == other).sum()) if len(ours) else 0
+            close[at] = shared >= self.similarity * (len(other) + len(ours) - shared) - 1e-9
+        return close
 
 
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -229,10 +263,11 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     with a chance of the Jaccard similarity. POSTINGS sets of GROUP bytes are posted, and a pair of similarity s
     meets with a chance of 1 - (1 - s ** GROUP) ** POSTINGS: over 0.9999 at 0.8. Members of a posting are
     compared by sketch, with a limit that 0.8 passes by four deviations; the groups that these links form
-    are sent to one task each with their texts, once a text, and linked by the exact similarity of their shingles.
+    get their texts, once a text, and are linked by the exact similarity of their shingles. Both comparisons
+    take groups of any size (links_within).
     """
     kind = docs.schema[key].dataType.simpleString()
-    most, names = differing_bits(similarity), np.arange(POSTINGS) << 40
+    session = docs.sparkSession
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,59 +277,29 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
                 nodes = pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), nodes, pa.array([m[1] for m in made], pa.binary())], [key, "text_hash", "node", "sketch"])
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, POSTINGS, GROUP).astype(np.int64)
-            parts = sum(values[:, :, k] << 8 * k for k in range(GROUP)) | names
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), POSTINGS)), pa.array(parts.ravel())], ["node", "posting"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = []
-            for members in batch.column(0).to_pylist():
-                links += [(members[i]["node"], members[j]["node"]) for i, j in leaders([m["sketch"] for m in members], most)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            root = alike(sets, list(map(sketch, sets)), similarity, most)
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[r] for r in root], pa.int64())], ["linked", "root"])
-
-        group, nodes, sets = None, [], []
-        for batch in batches:  # sorted by group and node
-            for g, node, body in zip(*batch.columns, strict=True):
-                if g.as_py() != group:
-                    if nodes:
-                        yield linked(nodes, sets)
-                    group, nodes, sets = g.as_py(), [], []
-                nodes.append(node.as_py())
-                sets.append(shingle_hashes(body.as_py(), width))
-        if nodes:
-            yield linked(nodes, sets)
-
     whole = F.coalesce(docs[text], F.lit(""))
     made = cut(map_arrow(docs.select(key, F.xxhash64(whole).alias("text_hash"), whole.alias("__text")), fingerprint, f"`{key}` {kind}, text_hash bigint, node bigint, sketch binary"))
     distinct = made.select("node", "sketch").dropDuplicates(["node"])
-    posted = map_arrow(distinct, post, "node bigint, posting bigint")
-    # Most postings have one member and end here, before any sketch is sent.
-    met = posted.groupBy("posting").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1).select("posting", F.explode("nodes").alias("node"))
-    groups = met.join(distinct, "node").groupBy("posting").agg(F.array_sort(F.collect_list(F.struct("node", "sketch"))).alias("members"))
-    links = map_arrow(groups.select("members"), meet, "a bigint, b bigint").distinct()
-    linked = components(links, "a", "b")
+    # Dealt to a set number of tasks, since each row becomes as many as there are postings.
+    dealt = distinct.repartition(partitions(session), "node")
+    posted = dealt.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(POSTINGS - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * GROUP + 1, F.lit(GROUP))))).alias("group"))
+    # Most postings have one member and end here, as sums, before any sketch is sent.
+    crowded = posted.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    met = posted.join(crowded, "group", "left_semi").join(distinct, "node").select("group", "node", F.col("sketch").alias("body"))
+    linked = components(links_within(met, Sketches(differing_bits(similarity))), "a", "b")
     candidates = linked.select("node", F.col("root").alias("group")).union(linked.select("root", "root").distinct())
     # One text of each node that is in a group is sent to the group.
-    wanted = made.join(candidates, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("group").alias("group"))
-    texts = docs.select(F.xxhash64(whole).alias("text_hash"), whole.alias("__text")).join(wanted, "text_hash")
-    texts = texts.groupBy("group", "node").agg(F.first("__text").alias("__text")).repartition("group").sortWithinPartitions("group", "node")
-    found = map_arrow(texts, verify, "linked bigint, root bigint")
-    return made.join(found, F.col("node") == F.col("linked"), "left").select(key, "text_hash", F.coalesce("root", "node").alias("root"))
+    wanted = made.join(candidates, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("group").alias("group"))
+    texts = docs.select(F.xxhash64(whole).alias("text_hash"), whole.alias("body")).join(wanted, "text_hash").dropDuplicates(["node"]).select("group", "node", "body")
+    found = components(links_within(texts, Shingles(similarity, width)), "a", "b")
+    return _named(made, found.select("node", "root"), "node").select(key, "text_hash", F.coalesce("root", "node").alias("root"))
 
 
 def without_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, one of each component: that of the least id (ties: the least hash of the text)."""
+    """The rows of docs, all columns, one of each component: that of the least id (ties: the least hash of the text, then of the row)."""
     found = near_copies(docs, key=key, text=text, width=width, similarity=similarity)
     keepers = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("id"), F.col("text_hash").alias("hash"))).alias("k"))
     keepers = keepers.select(F.xxhash64(F.coalesce(F.col("k.id").cast("string"), F.lit("")), "k.hash").alias("__row")).distinct()
     rows = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
-    first = Window.partitionBy("__row").orderBy("__row")
+    first = Window.partitionBy("__row").orderBy(F.xxhash64(*[F.to_json(F.struct(c)) for c in docs.columns if c != text]))
     return rows.join(keepers, "__row", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__row", "__nth")

@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
 
-from strandlake.llm import simhash
+from strandlake.llm import linking, simhash
 from strandlake.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -89,28 +91,63 @@ def test_near_copies_are_found_and_others_left(spark):
     assert len({made[k] for k in range(60)}) == 60
 
 
-def test_leaders_join_a_large_group_without_pairs():
+class Bits:
+    """Near are numbers that differ in at most 41 bits."""
+
+    def prepared(self, bodies):
+        return [int.from_bytes(b, "big") for b in bodies]
+
+    def part(self, prepared, at):
+        return [prepared[i] for i in at]
+
+    def near(self, one, k, many):
+        return np.array([(one[k] ^ v).bit_count() <= 41 for v in many], bool)
+
+
+def test_reached_joins_a_large_group_without_pairs():
     rng = random.Random(7)
     base = rng.getrandbits(256)
     group = [(base ^ sum(1 << b for b in rng.sample(range(256), 6))).to_bytes(32, "big") for _ in range(2000)]
-    links = simhash.leaders(group, 41)
+    links = linking.reached(np.arange(2000), group, Bits())
     assert len(links) == 1999 and {a for a, _ in links} == {0}
 
 
-def test_leaders_join_what_pairs_join():
-    a, far = 0, (1 << 60) - 1
-    middle = (1 << 30) - 1  # within 41 bits of both, which are 60 bits apart
-    made = simhash.leaders([v.to_bytes(32, "big") for v in (a, far, middle)], 41)
-    assert len(set(labels(made, range(3)).values())) == 1
+def test_reached_joins_what_pairs_join():
     rng = random.Random(8)
-    for size in (4, 40, 300):
-        # Members of different groups may be near each other though no member is near both first ones.
+    for size in (3, 4, 40, 300):
+        # Members may be near each other though no member is near both first ones.
         values = [sum(1 << b for b in rng.sample(range(256), rng.randrange(45))) for _ in range(size)]
         pairs = [(i, j) for j in range(size) for i in range(j) if (values[i] ^ values[j]).bit_count() <= 41]
-        made = simhash.leaders([v.to_bytes(32, "big") for v in values], 41)
+        made = linking.reached(np.arange(size), [v.to_bytes(32, "big") for v in values], Bits())
         assert len(made) < size and labels(made, range(size)) == labels(pairs, range(size))
 
 
+@pytest.mark.parametrize("limit", [1, 7, 60, 1000])
+def test_links_within_groups_of_any_size(spark, limit):
+    rng = random.Random(limit)
+    rows, pairs = [], []
+    for group in range(3):
+        size = (150, 40, 2)[group]
+        # Chains: a member is near the one before it, and few are near the first.
+        values = [rng.getrandbits(256)]
+        while len(values) < size:
+            values.append(rng.getrandbits(256) if rng.random() < 0.1 else rng.choice(values[-3:]) ^ sum(1 << b for b in rng.sample(range(256), 30)))
+        rows += [(group, 1000 * group + k, v.to_bytes(simhash.SKETCH, "big")) for k, v in enumerate(values)]
+        pairs += [(1000 * group + i, 1000 * group + j) for j in range(size) for i in range(j) if (values[i] ^ values[j]).bit_count() <= 41]
+    rng.shuffle(rows)
+    made = linking.links_within(spark.createDataFrame(rows, "group long, node long, body binary").repartition(3), simhash.Sketches(41), limit)
+    nodes = [r[1] for r in rows]
+    assert labels([tuple(r) for r in made.collect()], nodes) == labels(pairs, nodes)
+
+
+def test_the_tally_drops_pairs_of_a_posting():
+    # Five shared bytes of eight meet in a posting, but don't reach the minimum; six do, and then the bits decide.
+    base, five, six, bits = 0x1122334455667788, 0x6EDDCC4455667788, 0x6EDD334455667788, 0x1122334455667789
+    assert simhash.posting_links([base, five], 2) == [] == simhash.posting_links([base, six], 2)
+    assert simhash.posting_links([base, bits], 2) == [(bits, base)]
+    assert list(simhash._near(np.array([base, six], np.uint64), 2)) == []
+
+
 def test_near_copies_equal_brute_force_at_the_limit(spark, rows):
     def shingles(text, width=5):
         words = WORD.findall("".join(c.lower() if c < "\x7f" else c for c in text or ""))
