@@ -42,9 +42,16 @@ def ship(spark: SparkSession) -> None:
     context._strandlake_shipped = True
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder that spark.checkpoint.dir names; only a local session that names none (tests) gets one of its own."""
+    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-checkpoint-"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the folder that spark.checkpoint.dir names (one of its own only where none is) and go on from there."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-checkpoint-"))
+    """Write `df` to the checkpoint folder and go on from the written rows."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
