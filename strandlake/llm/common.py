@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpointed, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only a session that names none (tests) gets one of its own."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-checkpoint-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and go on from the written rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -65,3 +55,20 @@ def blocks(texts: list, limit: int = 8_000_000) -> Iterator[tuple[int, int]]:
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Rows of a value that is frequent, at least (and a thousandth of all rows, so that there are few such), and tasks they are dealt to.
+FREQUENT, SALT = 10_000, 32
+
+
+def spread_join(rows: DataFrame, names: DataFrame, on: str) -> DataFrame:
+    """Left join of rows with names (one row a value of `on`); the rows of a frequent value are dealt to SALT tasks.
+
+    The frequent values, each of a thousandth of all rows at least, are sent to all tasks: a thousand at most.
+    """
+    counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+    frequent = F.broadcast(counts.where(F.col("__n") >= max(FREQUENT, rows.count() // 1000)).select(on, F.lit(SALT).alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    salted = rows.join(frequent, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("__salts")
+    spread = names.join(frequent, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return salted.join(spread, [on, "__salt"], "left").drop("__salt")

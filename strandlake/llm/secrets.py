@@ -17,8 +17,8 @@ overlap a base span are not reported again; nor are weak spans that overlap an e
 weak, endpoint at the same start).
 
 Defined results: a null text counts as the empty text, without findings; repeated rows give repeated
-results; a null id is kept; rows that share an id but not a text are scanned apart; other columns are
-not read.
+results; a null id is kept; rows that share an id but not a text are scanned apart; tokens and texts of any
+length are scanned whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 LOGIN = r"""(?i:\b(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|access_?(?:key_?)?id)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9@._-]{3,})"""
-WEAK = r"""(?i:\b(?:pass|pwd|key|auth|credential|signature|private_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]{6,})|\b(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{32,}={0,2}"""
+WEAK = r"""(?i:\b(?:pass|pwd|key|auth|credential|signature|private_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]{6,})"""
+#: A run of token letters; one that lacks a digit, a capital or a small letter is none.
+TOKEN = r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}"""
 ENDPOINT = r"""(?i:\b(?:https?|jdbc|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)(?::[a-z0-9]+)?://[^\s"'<>]+|\b(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[a-z0-9.:-]{4,})"""
 STANZA = r"\n[\x20\t\r]*\n"
 
@@ -64,8 +66,11 @@ def _base(texts: DataFrame) -> DataFrame:
 def _weak(texts: DataFrame) -> DataFrame:
     body = F.col("sp_text")
     keyed_value, address = body.rlike("[:=]"), body.contains("://") | body.rlike(r"(?i)(?:host|server|endpoint)[\"']?\x20*[:=]")
-    both = texts.where(keyed_value | address | body.rlike("[A-Za-z0-9+/_-]{32}"))
-    return matches(both, {"login": (LOGIN, 0), "weak": (WEAK, 0), "endpoint": (ENDPOINT, 0), "stanza": (STANZA, 0)}, {"login": keyed_value, "endpoint": address}).select(*KEY, "kind", "start", "end")
+    token = body.rlike("[A-Za-z0-9+/_-]{32}")
+    both = texts.where(keyed_value | address | token)
+    found = matches(both, {"login": (LOGIN, 0), "weak": (WEAK, 0), "token": (TOKEN, 0), "endpoint": (ENDPOINT, 0), "stanza": (STANZA, 0)}, {"login": keyed_value, "weak": keyed_value, "token": token, "endpoint": address})
+    mixed = F.col("found").rlike("[0-9]") & F.col("found").rlike("[A-Z]") & F.col("found").rlike("[a-z]")
+    return found.where((F.col("kind") != "token") | mixed).select(*KEY, F.when(F.col("kind") == "token", "weak").otherwise(F.col("kind")).alias("kind"), "start", "end")
 
 
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:

@@ -11,7 +11,7 @@ values up instead of forming all its pairs. Links leave a posting as stars, at m
 keeps its components and never writes all its pairs.
 
 Equal texts have equal fingerprints; the index holds each distinct fingerprint once, so copies cost
-nothing. A fingerprint of very many rows is dealt to SALT tasks where rows get their component.
+nothing. A fingerprint of very many rows is dealt to several tasks where rows get their component.
 
 Texts that are similar without near fingerprints (the pipeline's five-word shingles, from a Jaccard similarity
 of 0.8 on) are found by near_copies(), which posts sets of positional bytes of a longer sketch.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, map_arrow, partitions
+from .common import blocks, cut, map_arrow, partitions, spread_join
 from .components import components
 from .linking import links_within
 
@@ -43,10 +43,8 @@ from .linking import links_within
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SEED = 42
-#: Positions of a fingerprint whose bytes are posted; tasks that the rows of a frequent fingerprint are dealt to.
-PREFIX, SALT = 6, 32
-#: Rows of a fingerprint that is frequent, at least (and a thousandth of all rows, so that there are few such).
-FREQUENT = 10_000
+#: Positions of a fingerprint whose bytes are posted.
+PREFIX = 6
 #: Sets of bytes of a sketch that are posted, bytes of each, and bytes of a sketch.
 POSTINGS, GROUP = 26, 5
 SKETCH = POSTINGS * GROUP
@@ -153,19 +151,6 @@ def _linked(fps: list[int], bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _named(rows: DataFrame, names: DataFrame, on: str) -> DataFrame:
-    """Left join of rows with names (one row a value of `on`); the rows of a frequent value are dealt to SALT tasks.
-
-    The frequent values, each of a thousandth of all rows at least, are sent to all tasks: a thousand at most.
-    """
-    counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
-    least = max(FREQUENT, rows.count() // 1000)
-    frequent = F.broadcast(counts.where(F.col("__n") >= least).select(on, F.lit(SALT).alias("__salts")))
-    salted = rows.join(frequent, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
-    spread = names.join(frequent, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    return salted.join(spread, [on, "__salt"], "left").drop("__salt")
-
-
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
     """Columns `key`, text_hash (XXH64), fp and component_id (the least id of the component) of every row."""
     made = cut(fingerprints(docs, key=key, text=text, width=width))
@@ -173,7 +158,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rooted = distinct.join(components(links(distinct.select("fp"), bits=bits), "a", "b"), F.col("fp") == F.col("node"), "left")
     rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return _named(made, named, "fp").select(key, "text_hash", "fp", "root", "component_id")
+    return spread_join(made, named, "fp").select(key, "text_hash", "fp", "root", "component_id")
 
 
 def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
@@ -292,7 +277,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     wanted = made.join(candidates, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("group").alias("group"))
     texts = docs.select(F.xxhash64(whole).alias("text_hash"), whole.alias("body")).join(wanted, "text_hash").dropDuplicates(["node"]).select("group", "node", "body")
     found = components(links_within(texts, Shingles(similarity, width)), "a", "b")
-    return _named(made, found.select("node", "root"), "node").select(key, "text_hash", F.coalesce("root", "node").alias("root"))
+    return spread_join(made, found.select("node", "root"), "node").select(key, "text_hash", F.coalesce("root", "node").alias("root"))
 
 
 def without_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -6,8 +6,11 @@ signatures. Two sets are compared by Jaccard similarity; likeness() can partitio
 sets of partitions that aren't neighbours can't reach FLOOR and are not compared. near_edited and near_next
 are exact at any length. A join of all documents within and across length partitions is not built.
 
-Defined results: a null text counts as the empty text; a text without a signature (no anchor followed by
-a content word) has one signature made of all its words, so equal texts are always alike; repeated rows
+Anchors are common words of four languages; a text without any that a content word follows (such as one in
+another script) has as anchors the words that a hash draws, one of DRAWN.
+
+Defined results: a null text counts as the empty text; a text without a signature of either kind has one that
+is made of all its words, so equal texts are always alike; very long texts are fingerprinted whole; repeated rows
 give repeated results; ties of the id are ordered by the text; a null id comes after all others; other
 columns are not read.
 """
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-#: Content words of a chain, and the least likeness that set lengths must allow.
-CHAIN, FLOOR = 3, 0.1
+#: Content words of a chain, the least likeness that set lengths must allow, and of how many words one is drawn as an anchor.
+CHAIN, FLOOR, DRAWN = 3, 0.1, 4
 
 #: Anchors, and common words that chains pass over (English, German, French, Spanish).
 ANCHORS = "a the is was der die das ist le la les une est el los las una es que".split()
@@ -39,20 +42,34 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The set of signatures of a text, as sorted 64-bit hashes."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     passed = ["", *sorted(set(COMMON) - set(ANCHORS))]
-    marked = F.transform(words, lambda w: F.when(w.isin(passed), "").when(w.isin(ANCHORS), F.concat(F.lit(_MARK), w)).otherwise(w))
-    # Each piece after the first is an anchor and what follows it up to the next.
-    pieces = F.split(F.concat(F.lit(" "), F.array_join(F.array_remove(marked, ""), " ")), f" {_MARK}", -1)
+
+    def pieces(marked: Column) -> Column:
+        # Each piece after the first is an anchor and what follows it up to the next.
+        return F.split(F.concat(F.lit(" "), F.array_join(F.array_remove(marked, ""), " ")), f" {_MARK}", -1)
 
     def chains(pieces: Column) -> Column:
         return F.filter(F.slice(pieces, 2, F.size(pieces)), lambda p: p.contains(" "))
 
+    def bound(value: Column, *steps) -> Column:
+        # A lambda's variable is evaluated once, however often it is used.
+        held = F.array(value)
+        for step in steps:
+            held = F.transform(held, step)
+        return F.get(held, F.lit(0))
+
     def hashed(found: Column) -> Column:
-        alone = F.array(F.xxhash64(F.array_join(F.array_remove(words, ""), " ")))
-        return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(F.transform(found, lambda p: F.xxhash64(F.substring_index(p, " ", chain + 1)))))).otherwise(alone)
+        return F.array_sort(F.array_distinct(F.transform(found, lambda p: F.xxhash64(F.substring_index(p, " ", chain + 1)))))
+
+    def marked(w: Column) -> Column:
+        return F.when(w.isin(passed), "").when(w.isin(ANCHORS), F.concat(F.lit(_MARK), w)).otherwise(w)
+
+    def drawn(w: Column) -> Column:
+        return F.when((w != "") & (F.pmod(F.xxhash64(w), F.lit(DRAWN)) == 0), F.concat(F.lit(_MARK), w)).otherwise(w)
 
-    # A lambda's variable is evaluated once, however often it is used.
-    bound = F.transform(F.transform(F.array(pieces), chains), hashed)
-    return F.get(bound, F.lit(0))
+    # Texts in other languages have no common words that are known: their anchors are drawn by a hash of the word.
+    alone = F.array(F.xxhash64(F.array_join(F.array_remove(words, ""), " ")))
+    other = bound(pieces(F.transform(words, drawn)), chains, lambda found: F.when(F.size(found) > 0, hashed(found)).otherwise(alone))
+    return bound(pieces(F.transform(words, marked)), chains, lambda found: F.when(F.size(found) > 0, hashed(found)).otherwise(other))
 
 
 def fingerprint(signs: Column) -> Column:

@@ -11,6 +11,9 @@ is one row an edge. A round joins the ranks (one row a host) with the edges and
 map-side sums; ranks are written to the checkpoint folder every round. Rounds end at ROUNDS or when no
 more than TOLERANCE of the mass moved; a graph with no edges between hosts takes none.
 
+The documents' own tables may have no links between hosts at all; then no round is taken and every host is
+judged by its own pages.
+
 Defined results: a url that is null or has no "://" has an empty host and path, fits no rule and is
 judged as the host ""; null html has no links; repeated rows give repeated results; other columns are not
 read.
@@ -23,12 +26,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, spread_join
 
 DAMPING, ROUNDS, TOLERANCE, BLOCK_SHARE = 0.85, 20, 1e-4, 0.5
-#: Tasks that the pages of one host are dealt to.
-SALT = 32
-
 #: Absolute and protocol-relative links; a relative link stays on its host.
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -86,6 +86,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, r
     ranks = seeds.select("host", F.col("mass").alias("rank"))
     for _ in range(rounds):
         given = shares.join(ranks, F.col("source") == F.col("host")).groupBy(F.col("target").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
+        given = cut(given)
         kept = 1.0 - (given.agg(F.sum("rank")).first()[0] or 0.0)
         moved = given.union(seeds.select("host", (F.col("mass") * kept).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
         moved = cut(moved)
@@ -122,9 +123,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, key: str = "page
     rows = pages.select(pages[key].alias("key"), host.alias("host"), path.alias("path"), pages[html].alias("html"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    # A host's row is sent to SALT tasks, and its pages, however many, are dealt to all of them.
-    hosts = judge_hosts(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows = rows.drop("html").withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALT)).cast("int"))
-    return rows.join(hosts, ["host", "salt"], "left").select(
+    # The pages of a frequent host, however many, are dealt to several tasks.
+    rows, hosts = rows.drop("html"), judge_hosts(rows)
+    return spread_join(rows, hosts, "host").select(
         F.col("key").alias(key), "host", "path", "rule", F.coalesce("verdict", "host_verdict").alias("verdict"), "trust", "distrust"
     )

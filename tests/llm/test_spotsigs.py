@@ -51,3 +51,10 @@ def test_likeness_of_a_short_text_to_a_long_one_is_exact(spark):
     long = " ".join(f"the cat{k} ran" for k in range(40))
     rows = spotsigs.edited_and_next(spark.createDataFrame([(2, long), (1, "the cat7 ran")], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["near_next"] for r in rows} == {1: 1 / 40, 2: 1 / 40}
+
+
+def test_texts_in_other_scripts_are_alike(spark):
+    words = [f"слово{k}" for k in range(60)]
+    one, other = " ".join(words), " ".join([*words[:30], "другое", *words[31:]])
+    rows = spark.createDataFrame([(one, other)], "a string, b string").select(spotsigs.signatures(F.col("a")).alias("a"), spotsigs.signatures(F.col("b")).alias("b"))
+    assert 0.7 < rows.select(spotsigs.likeness(F.col("a"), F.col("b"), None)).first()[0] < 1
