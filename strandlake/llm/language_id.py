@@ -6,9 +6,9 @@ sample of labelled rows; the Nystroem map of their kernel matrix turns one-versu
 regression into a small linear system, solved on the driver. Texts are scored in batches by matrix
 products; since the kernel is linear in the sets, landmarks and coefficients are multiplied once.
 
-The sample holds at most about SAMPLE rows (an equal share of each language, chosen by a hash of the
-id), as bits of their features: FEATURES / 8 bytes a row, so about 10 MB. Everything else covers all
-rows and whole texts.
+The sample holds about SAMPLE rows (an equal share of each language, chosen by a hash of the id), as bits of
+their features: FEATURES / 8 bytes a row, so about 10 MB. Where there are more than SAMPLE // LEAST values of
+the language, the most frequent ones are learnt. Everything else covers all rows and whole texts.
 
 Defined results: a null text and a text without a letter are "und" with score 0; so is every text if
 there is no labelled row to learn from; repeated rows give repeated results; ties go to the first
@@ -31,8 +31,8 @@ from .common import blocks, map_arrow
 
 #: Hashed n-gram places, the longest n-gram, rows of the sample, landmarks, ridge.
 FEATURES, LONGEST, SAMPLE, LANDMARKS, RIDGE = 32_768, 4, 2_400, 256, 1e-2
-#: Texts scored by one product.
-ROWS = 64
+#: Texts scored by one product; rows of the sample that are unpacked together; rows of a language in a sample, at least.
+ROWS, FITTED, LEAST = 64, 256, 8
 _SHIFT = np.uint32(32 - FEATURES.bit_length() + 1)
 
 
@@ -87,37 +87,38 @@ class KernelModel:
         return langs, scores
 
 
+def _marks(bits: list[bytes]) -> np.ndarray:
+    """Rows of normalised marks of some sample rows."""
+    marks = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+    return marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
+
+
 def fit(bits: list[bytes], labels: list[str]) -> KernelModel:
-    """Kernel ridge regression over Nystroem features of the sample."""
+    """Kernel ridge regression over Nystroem features of the sample, whose rows are unpacked FITTED at a time."""
     if not bits:
         return KernelModel((), np.zeros((FEATURES, 0), np.float32))
     languages = tuple(sorted(set(labels)))
-    marks = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
-    marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
     turns = np.random.default_rng(7).permutation(len(bits))
-    landmarks = marks[np.sort(turns[:LANDMARKS])]
+    landmarks = _marks([bits[k] for k in np.sort(turns[:LANDMARKS])])
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = (marks @ landmarks.T) @ root
+    mapped = np.concatenate([_marks(bits[k : k + FITTED]) @ landmarks.T for k in range(0, len(bits), FITTED)]) @ root
     target = (np.array(labels)[:, None] == np.array(languages)[None, :]).astype(np.float64)
     solved = np.linalg.solve(mapped.T @ mapped + RIDGE * len(bits) / 100 * np.eye(mapped.shape[1]), mapped.T @ target)
     return KernelModel(languages, (landmarks.T @ (root @ solved)).astype(np.float32))
 
 
 def learn(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> KernelModel:
-    """Fit on a bounded sample of rows whose language is known."""
+    """Fit on a bounded sample of rows whose language is known: an equal share of each of the sample // LEAST most frequent languages."""
     rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull())
-    # One row a language: as few as there are languages.
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "l").limit(sample // LEAST).collect()
     if not counts:
         return fit([], [])
-    share = max(8, sample // len(counts))
+    chances = rows.sparkSession.createDataFrame([(r["l"], sample / len(counts) / r["n"]) for r in counts], "l string, chance double")
     turn = (F.pmod(F.xxhash64(F.coalesce("k", F.lit("")), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("double")
-    chosen = F.lit(False)
-    for name, n in sorted(counts.items()):
-        chosen = chosen | ((F.col("l") == name) & (turn < share / n))
+    chosen = rows.join(F.broadcast(chances), "l").where(turn < F.col("chance"))  # a row a language: sample // LEAST at most
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +128,7 @@ def learn(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
                 out.append(np.packbits(row).tobytes() if mark(t, row) else None)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["bits", "l"])
 
-    made = map_arrow(rows.where(chosen).select("t", "l"), bits, "bits binary, l string").where("bits is not null").limit(4 * sample).collect()
+    made = map_arrow(chosen.select("t", "l"), bits, "bits binary, l string").where("bits is not null").collect()
     made = sorted((bytes(r["bits"]), r["l"]) for r in made)
     return fit([b for b, _ in made], [l for _, l in made])
 
