@@ -20,3 +20,44 @@ def test_stages_over_documents(spark):
 def test_rejected_and_odd_rows(spark, docs):
     kept = corpus_pipeline.identified(spark, docs, "").collect()
     assert not {5000, 5001, 5002, 5004} & {r["doc_id"] for r in kept}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_odd_rows_and_clashing_columns_through_all_stages(spark, docs, rows):
+    kept = {str(i) for i, _, _ in rows}
+    frame = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, SF)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns, name
+        frame = out.cache()
+        ids = {str(r["doc_id"]) for r in frame.select("doc_id").collect()}
+        assert ids <= kept, name
+        kept = ids
+    assert "None" in kept  # a null id and its text go through
+
+
+def test_empty_tables_through_all_stages(spark, empty):
+    frame = empty
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, SF)
+        assert frame.count() == 0
+
+
+def test_one_row_of_repeats_survives_whatever_else_differs(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, k) for k in (5, 3, 4)] + [(None, None, 1), (None, None, 2), (2, "", 1), (3, "  ", 1), (4, "one word", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    made = [sorted(map(str, corpus_pipeline.deduplicated(spark, frame.repartition(n), SF).collect())) for n in (1, 4)]
+    assert made[0] == made[1]
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.deduplicated(spark, frame, SF).collect()) == ["1", "2", "4"]
+
+
+def test_a_very_long_text_through_the_stages(spark):
+    words = " ".join(f"word{k % 900} und{k % 77}" for k in range(60_000))
+    frame = spark.createDataFrame([(1, words + " password=hunter22 end", "en", 1), (2, "the short text of another document", "en", 1)] * 1, "doc_id long, text string, lang string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        frame = stage(spark, frame, SF)
+    assert {r["doc_id"] for r in frame.collect()} == {1, 2}
