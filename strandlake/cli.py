@@ -68,7 +68,10 @@ def pepcompare(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def checksum(spark: SparkSession, a: argparse.Namespace) -> None:
-    fasta.file_checksums(spark, a.fasta).show(1000, truncate=False)
+    if a.rows:
+        tables.write_export(lifecycle.with_row_checksums(fasta.basic_frame(spark, a.fasta)), a.rows)
+    else:
+        fasta.file_checksums(spark, a.fasta).show(1000, truncate=False)
 
 
 def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -125,6 +128,10 @@ def export(spark: SparkSession, a: argparse.Namespace) -> None:
     tables.write_export(registry.long_export(registry.similarities(held["pair_stats"], held["kind_stats"])), a.output)
 
 
+def index_inventory(spark: SparkSession, a: argparse.Namespace) -> None:
+    lifecycle.index_inventory(tables.inventory_entries(tables.read_inventory(spark, a.inventory)), a.registry, a.database)
+
+
 def list_registry(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = lifecycle.read_registry(spark, a.registry)
     if rows is not None:
@@ -168,13 +175,14 @@ COMMANDS: dict[str, tuple[Callable[[SparkSession, argparse.Namespace], None], tu
     "digest": (digest, ("fasta", "output"), _LENGTHS),
     "peptides": (peptide_tables, ("inventory", "output"), _LENGTHS),
     "pepcompare": (pepcompare, ("first", "second", "output"), ()),
-    "checksum": (checksum, ("fasta",), ()),
+    "checksum": (checksum, ("fasta",), (("--rows", {}),)),
     "prepare": (prepare, ("fasta", "output"), (*_SOURCE, ("--role", dict(default="target")), ("--block", {}))),
     "derive-input": (derive_input, ("inventory", "output"), (*_SOURCE, ("--foreign", dict(action="store_true")))),
     "build": (build_database, ("input", "output"), ()),
     "decoy": (decoy, ("inventory", "output"), (*_LENGTHS, *_SEED, ("--mode", dict(choices=("reverse", "shuffle", "decoypyrat"), default="reverse")))),
     "decoy-report": (decoy_report, ("inventory", "output"), (*_LENGTHS, *_SEED)),
     "index": (index, ("directory", "registry"), (("--update", dict(action="store_true")), ("--keep", dict(action="store_true")), ("--force", dict(action="store_true")))),
+    "index-inventory": (index_inventory, ("inventory", "registry", "database"), ()),
     "registry": (list_registry, ("registry",), ()),
     "candidate": (candidate, ("registry", "fasta"), (("--threshold", dict(type=float, default=0.99)),)),
     "pairs": (pairs, ("registry", "output"), (("--metric", dict(default="id_jaccard")), ("--matrix", dict(action="store_true")))),

@@ -39,6 +39,16 @@ def description_hash(description: Column) -> Column:
     return blake2b_128(F.nullif(F.trim(F.regexp_replace(description, r"(?U)\s+", " ")), F.lit("")))
 
 
+def pair_fingerprint(identifier: Column, digest: Column) -> Column:
+    """The content fingerprint of one id and the digest of its sequence."""
+
+    @arrow_udf("binary")
+    def run(ids: pa.Array, digests: pa.Array) -> pa.Array:
+        return pa.array([_digest(i.encode() + b"\0" + d + b"\n") for i, d in zip(ids.to_pylist(), digests.to_pylist(), strict=True)], pa.binary())
+
+    return run(identifier, digest)
+
+
 def ordered_fingerprint(rows: DataFrame, group: list[str], columns: list[str], *, separator: bytes = b"\0", distinct: bool = True) -> DataFrame:
     """Per group, BLAKE2b-128 over its distinct rows in byte order, each row's values joined and ended by a line feed.
 

@@ -155,13 +155,13 @@ def decoypyrat(rows: DataFrame, digestion: Digestion, seed: int, prefix: str = "
     return built.where(F.col("sequence") != "").withColumn("raw_header", F.concat(F.lit(prefix), "raw_header"))
 
 
-def shuffled_entrapment(rows: DataFrame, digestion: Digestion, fold: int, seed: int, *, fix_first: bool = False, fix_last: bool = True, candidates: int | None = None) -> DataFrame:
+def shuffled_entrapment(rows: DataFrame, digestion: Digestion, fold: int, seed: int, *, fix_first: bool = False, fix_last: bool = True, candidates: int | None = None, pairs: bool = False) -> DataFrame:
     """Entrapment proteins: each selected peptide replaced by one of its own `fold` arrangements, all of them unique.
 
     `rows` has id, raw_header, sequence. Candidates that are targets go; of equal candidates of different
     peptides the first peptide by name keeps it. Peptides that lack some after a round draw again, up to
     `candidates` (TRIES for each copy), without what others have taken, until nothing is added. A protein has as many copies as its poorest peptide allows.
-    Columns source_id, fold_index, id, raw_header, sequence.
+    Columns source_id, fold_index, id, raw_header, sequence; with `pairs` peptide, fold_index, candidate of every peptide.
     """
     targets = digested(rows.select("sequence"), digestion).select("peptide").distinct()
     parts = rows.select("id", "raw_header", F.posexplode(F.flatten(segments(F.col("sequence"), digestion))).alias("pos", "peptide"))
@@ -183,6 +183,8 @@ def shuffled_entrapment(rows: DataFrame, digestion: Digestion, fold: int, seed:
         if lacking.isEmpty() or (count == most and rounds[-1].isEmpty()):
             break
         count = most
+    if pairs:
+        return taken.select("peptide", (F.col("place") - 1).cast("bigint").alias("fold_index"), "candidate")
     lists = taken.groupBy("peptide").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "candidate"))), lambda c: c["candidate"]).alias("found"))
     parts = parts.withColumn("selected", selected).join(lists, "peptide", "left")
     choices = F.when(F.col("selected"), F.coalesce("found", F.array().cast("array<string>"))).otherwise(F.array_repeat("peptide", F.lit(fold)))
@@ -194,6 +196,19 @@ def shuffled_entrapment(rows: DataFrame, digestion: Digestion, fold: int, seed:
     return copies.select(F.col("id").alias("source_id"), "fold_index", named.alias("id"), F.concat(named, F.lit(" entrapment of "), "raw_header").alias("raw_header"), sequence.alias("sequence"))
 
 
+def entrapment_pairs(rows: DataFrame, digestion: Digestion, fold: int, seed: int, **settings) -> DataFrame:
+    """Which peptide of which protein an entrapment peptide stands for: source_id, target_peptide, generated_peptide, fold_index.
+
+    Of each protein the copies that shuffled_entrapment makes of it: as many as its poorest peptide allows.
+    """
+    given = checkpointed(shuffled_entrapment(rows, digestion, fold, seed, pairs=True, **settings))
+    parts = rows.select(F.col("id").alias("source_id"), F.explode(F.flatten(segments(F.col("sequence"), digestion))).alias("peptide")).where(F.length("peptide").between(digestion.shortest, digestion.longest)).distinct()
+    held = parts.join(given.groupBy("peptide").agg(F.count(F.lit(1)).alias("n")), "peptide", "left")
+    copies = held.groupBy("source_id").agg(F.min(F.coalesce("n", F.lit(0))).alias("copies"))
+    met = parts.join(given, "peptide").join(copies, "source_id").where(F.col("fold_index") < F.col("copies"))
+    return met.select("source_id", F.col("peptide").alias("target_peptide"), F.col("candidate").alias("generated_peptide"), "fold_index")
+
+
 def foreign_entrapment(targets: DataFrame, foreign: DataFrame, digestion: Digestion, count: int, seed: int) -> DataFrame:
     """`count` foreign proteins that share no peptide with the targets, chosen by a seeded hash of their id."""
     known = digested(targets.select("sequence"), digestion).select("peptide").distinct()
@@ -209,4 +224,4 @@ def collisions(decoys: DataFrame, targets: DataFrame, digestion: Digestion) -> D
     return d.join(t, "peptide", "left_semi").agg(F.count(F.lit(1)).alias("collisions"))
 
 
-__all__ = ["arrangements", "collisions", "decoypyrat", "digest", "foreign_entrapment", "ordered_by_rank", "reverse_decoys", "shuffle_decoys", "shuffled_entrapment"]
+__all__ = ["arrangements", "collisions", "decoypyrat", "digest", "entrapment_pairs", "foreign_entrapment", "ordered_by_rank", "reverse_decoys", "shuffle_decoys", "shuffled_entrapment"]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import description_hash, sequence_hash
+from ..functions.hashing import description_hash, pair_fingerprint, sequence_hash
 from ..functions.rules import NAMESPACES, REGISTRY_CLASSIFIERS, REGISTRY_NAMESPACES
 from ..sources import files
 from .classify import contaminant_blocks, kind, labels, marker_group, namespace, peel
@@ -46,6 +46,35 @@ def entries_of(proteins: DataFrame, database: str = "source_path", *, override:
     )
 
 
+def entries_of_inventory(rows: DataFrame, database: str) -> DataFrame:
+    """Registry entries of an inventory, whose kinds and groups are given; nothing is parsed again."""
+    bare = peel(F.col("id"), REGISTRY_CLASSIFIERS)["bare"]
+    return rows.select(
+        F.lit(database).alias("database_id"), F.col("final_order").alias("ordinal"), F.col("id").alias("sequence_id"), "kind", "contaminant_group", namespace(bare, (*REGISTRY_NAMESPACES, *NAMESPACES)).alias("namespace"),
+        F.length("sequence").cast("bigint").alias("sequence_length"), sequence_hash(F.col("sequence")).alias("sequence_hash"), description_hash(F.col("description")).alias("description_hash"),
+    )
+
+
+def index_inventory(rows: DataFrame, root: str, database: str) -> None:
+    """Add an inventory to a registry, or replace it there; an empty one raises."""
+    if rows.isEmpty():
+        raise ValueError(f"{database}: no entries to index")
+    spark = rows.sparkSession
+    held = open_registry(spark, root)
+    write_entries(entries_of_inventory(rows, database), root)
+    name = spark.createDataFrame([(database,)], "database_id string")
+    now = read_entries(spark, root)
+    pairs = refreshed_pairs(held["pair_stats"], now, name, name.limit(0))
+    stats = without_databases(held["kind_stats"], name, "database_id").unionByName(kind_stats(now.join(name, "database_id", "left_semi")))
+    _write_aside(spark, {"kind_stats": stats, "pair_stats": pairs}, root)
+
+
+def with_row_checksums(rows: DataFrame) -> DataFrame:
+    """Add each row's sequence_hash and id_sequence_fingerprint (of its id and hash), both in hexadecimal digits."""
+    hashed = rows.withColumn("sequence_hash", F.lower(F.hex(sequence_hash(F.col("sequence")))))
+    return hashed.withColumn("id_sequence_fingerprint", F.lower(F.hex(pair_fingerprint(F.col("id"), F.unhex("sequence_hash")))))
+
+
 def detail_levels(entries: DataFrame, most: int = 200_000) -> DataFrame:
     """full or metadata_only, by the number of a database's entries."""
     return entries.groupBy("database_id").agg(F.count(F.lit(1)).alias("n")).select("database_id", "n", F.when(F.col("n") <= most, "full").otherwise("metadata_only").alias("detail_level"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import containment, jaccard, ratio
+from ..sources.tables import CANDIDATE_COMPARISON
 
 KINDS = ("target", "contaminant", "decoy", "entrapment", "sentinel")
 GROUP = ["database_id", "kind"]
@@ -266,6 +267,18 @@ def candidate_neighbours(compared: DataFrame, limit: int = 50, metric: str = "id
     return rows.orderBy(F.col("score").desc(), F.col("database_id").cast("string")).limit(limit)
 
 
+def best_of_candidate(compared: DataFrame, threshold: float = 0.0, kind: str = "target") -> DataFrame:
+    """The registered database that a candidate overlaps most, if its containment reaches the threshold."""
+    rows = compared.where((F.col("kind") == kind) & (F.col("id_containment") >= threshold) & (F.col("shared_ids") > 0))
+    return rows.orderBy(F.col("id_containment").desc(), F.col("id_jaccard").desc(), F.col("shared_ids").desc(), F.lower(F.col("database_id").cast("string")), "database_id").limit(1)
+
+
+def candidate_table(compared: DataFrame) -> DataFrame:
+    """Comparisons as the canonical table of candidates, in its order."""
+    rows = comparison_frame(compared).withColumns({"filename": F.regexp_extract(F.col("database_id").cast("string"), "([^/]*)$", 1), "changed_shared_ids": F.col("shared_ids") - F.col("matching_shared_ids")})
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CANDIDATE_COMPARISON])
+
+
 def combined_candidate(entries: DataFrame) -> DataFrame:
     """All staged files of a candidate as one database 0, its entries numbered through the files in order."""
     rows = combined_ordinals(entries)

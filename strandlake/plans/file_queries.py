@@ -293,6 +293,22 @@ def decoy_report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("method", "proteins", "peptides", "unique_peptides", "repeated_peptides", "shared_with_targets")
 
 
+@query("entrapment_pairs_table", f"WITH {OCCURRENCES} SELECT DISTINCT id AS source_id, peptide AS target_peptide, CAST(0 AS BIGINT) AS fold_index, true AS rearranged FROM occ")
+def entrapment_pairs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = proteins(spark, sf_dir).select("id", F.col("id").alias("raw_header"), "sequence")
+    read = tables.read_table(spark, _stored(generate.entrapment_pairs(rows, TRYPSIN, 1, 7), "entrapment_pairs"), "entrapment_pairs")
+    sorted_letters = lambda c: F.array_sort(F.split(c, ""))
+    same = (sorted_letters("target_peptide") == sorted_letters("generated_peptide")) & (F.col("target_peptide") != F.col("generated_peptide"))
+    return read.select("source_id", "target_peptide", "fold_index", same.alias("rearranged"))
+
+
+@query("entrapment_pairs_text", f"WITH {OCCURRENCES} SELECT DISTINCT id AS source_id, '0' AS fold_index, peptide AS target_peptide FROM occ")
+def entrapment_pairs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "pairs")
+    tables.write_pairs(generate.entrapment_pairs(proteins(spark, sf_dir).select("id", F.col("id").alias("raw_header"), "sequence"), TRYPSIN, 1, 7), path)
+    return spark.read.option("header", "true").option("sep", "\t").csv(path).select("source_id", "fold_index", "target_peptide")
+
+
 @query("uniprot_catalog_table", "SELECT 'UP' || c_custkey AS proteome_id, c_custkey AS taxid, c_name AS organism, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS swissprot, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 5 END AS swissprot_trembl FROM customer")
 def uniprot_catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import uniprot

@@ -148,6 +148,18 @@ def candidate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.candidate_neighbours(registry.compare_candidate(*_staged(spark, sf_dir)), 5).withColumn("score", F.round("score", 9))
 
 
+@query("candidate_table", f"WITH {_COMPARED} SELECT kind, database_id, database_id AS filename, a AS selected_ids, b AS other_ids, shared_ids, shared_exact_pairs FROM c")
+def candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "candidates")
+    tables.write_table(registry.candidate_table(registry.compare_candidate(*_staged(spark, sf_dir))), path, "candidate_comparison")
+    return tables.read_table(spark, path, "candidate_comparison").select("kind", "database_id", "filename", "selected_ids", "other_ids", "shared_ids", "shared_exact_pairs")
+
+
+@query("overlap_check", f"WITH {_COMPARED} SELECT database_id, shared_ids FROM c WHERE kind = 'target' AND shared_ids > 0 ORDER BY coalesce(shared_ids / nullif(least(a, b), 0), 0.0) DESC, coalesce(shared_ids / nullif(a + b - shared_ids, 0), 0.0) DESC, shared_ids DESC, lower(database_id), database_id LIMIT 1")
+def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.best_of_candidate(registry.compare_candidate(*_staged(spark, sf_dir))).select("database_id", "shared_ids")
+
+
 @query("combined_candidate", f"WITH {ENTRIES} SELECT '0' AS database_id, row_number() OVER (ORDER BY database_id, ordinal) - 1 AS ordinal, sequence_id, kind FROM entries")
 def combined_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.combined_candidate(entries(spark, sf_dir)).select("database_id", "ordinal", "sequence_id", "kind")
@@ -229,6 +241,23 @@ def registry_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(_named("low").alias("low"), _named("high").alias("high"), *_COUNTS)
 
 
+@query("inventory_index", f"""WITH {_pair_sql(_disk_sql("lang <> 'de'") + f", extra AS (SELECT 'inventory' AS database_id, 0 AS ordinal, 'D' || (doc_id % 50) AS sequence_id, 'target' AS kind, md5({SEQ}) AS sequence_hash, source AS description_hash FROM documents WHERE lang = 'de')").replace("entries AS (SELECT", "files AS (SELECT", 1).replace(", dbs AS", ", entries AS (SELECT * FROM files UNION ALL SELECT * FROM extra), dbs AS", 1)}
+SELECT low, high, shared_ids, shared_sequences FROM pairs WHERE kind = 'target'""")
+def inventory_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files, and an inventory of the fourth language that is added to their registry."""
+    folder, root = _fasta(spark, sf_dir, "lang <> 'de'", "in"), files.scratch(spark, "registry")
+    files.delete(spark, f"{folder}/de.fasta")
+    _indexed(spark, folder, root)
+    docs = table(spark, sf_dir, "documents").where("lang = 'de'")
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    rows = docs.select(F.col("doc_id").alias("final_order"), F.concat(F.lit("D"), F.col("doc_id") % 50).alias("id"), F.lit("target").alias("kind"), F.lit(None).cast("string").alias("contaminant_group"), letters.alias("sequence"), F.col("source").alias("description"))
+    lifecycle.index_inventory(rows, root, "inventory")
+    held = lifecycle.open_registry(spark, root)["pair_stats"].where("kind = 'target'")
+    name = lambda c: F.when(F.col(c) == "inventory", F.col(c)).otherwise(_named(c))
+    low, high = name("low"), name("high")
+    return held.select(F.least(low, high).alias("low"), F.greatest(low, high).alias("high"), "shared_ids", "shared_sequences")
+
+
 @query("registry_statistics_copy", f"WITH {_disk_sql('true')} SELECT database_id, count(*) AS entries, false AS has_entries FROM entries GROUP BY database_id")
 def registry_statistics_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, copy = files.scratch(spark, "registry"), files.scratch(spark, "copy")

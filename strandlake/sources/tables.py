@@ -11,21 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
 def _schema(text: str) -> T.StructType:
-    kinds = {"S": T.StringType(), "L": T.LongType(), "D": T.DoubleType(), "B": T.BooleanType()}
-    return T.StructType([T.StructField(name, kinds[kind[0]], kind.endswith("?")) for name, kind in (part.split(":") for part in text.split())])
+    """A schema of `name: type` lines; a type with ? may be null."""
+    columns = [part.strip().split(": ") for part in text.replace("\n", ",").split(",") if part.strip()]
+    return T.StructType([T.StructField(name, _KINDS[kind.rstrip("?")], kind.endswith("?")) for name, kind in columns])
 
 
 #: The columns of each table, in order; ? may be null.
-PROTEIN_INPUT = _schema("source_order:L record_order:L source_id:S role:S block_name:S? block_description:S? raw_header:S id:S description:S? sequence:S upper_cased:B terminal_stop_stripped:B")
-PROTEIN_INVENTORY = _schema("final_order:L source_order:L? record_order:L? source_id:S? source_role:S? raw_header:S id:S description:S? sequence:S kind:S contaminant_group:S? sequence_hash:S entrapment_strategy:S?")
-SEARCH_INVENTORY = T.StructType([*PROTEIN_INVENTORY.fields, *_schema("decoy_strategy:S? decoy_source_order:L? decoy_source_id:S? decoy_source_kind:S?").fields])
-ENTRAPMENT_PAIRS = _schema("source_id:S target_peptide:S generated_peptide:S fold_index:L")
-PEPTIDES = _schema("peptide_id:S sequence:S length:L missed_cleavages:L mapping_count:L protein_count:L target_count:L contaminant_count:L entrapment_count:L decoy_count:L")
-PROTEIN_PEPTIDE_MAP = _schema("peptide_id:S peptide_sequence:S protein_order:L protein_id:S protein_kind:S missed_cleavages:L")
-PEPTIDE_COMPARISON = _schema("population:S distinct_peptides_a:L distinct_peptides_b:L shared_peptides:L jaccard:D coverage_a_by_b:D coverage_b_by_a:D containment:D")
-DECOY_REPORT = _schema("method:S proteins:L peptides:L unique_peptides:L unique_ratio:D length_p10:D length_median:D length_p90:D shared_with_targets:L repeated_peptides:L composition_overlap:D initial_collisions:L unresolved_collisions:L dropped_peptides:L omitted_decoys:L")
-UNIPROT_CATALOG = _schema("proteome_id:S taxid:L organism:S proteome_type:S swissprot:L? swissprot_trembl:L? one_seq_per_gene:L?")
+PROTEIN_INPUT = _schema("source_order: long, record_order: long, source_id: string, role: string, block_name: string?, block_description: string?, raw_header: string, id: string, description: string?, sequence: string, upper_cased: boolean, terminal_stop_stripped: boolean")
+PROTEIN_INVENTORY = _schema("final_order: long, source_order: long?, record_order: long?, source_id: string?, source_role: string?, raw_header: string, id: string, description: string?, sequence: string, kind: string, contaminant_group: string?, sequence_hash: string, entrapment_strategy: string?")
+SEARCH_INVENTORY = T.StructType([*PROTEIN_INVENTORY.fields, *_schema("decoy_strategy: string?, decoy_source_order: long?, decoy_source_id: string?, decoy_source_kind: string?").fields])
+ENTRAPMENT_PAIRS = _schema("source_id: string, target_peptide: string, generated_peptide: string, fold_index: long")
+PEPTIDES = _schema("peptide_id: string, sequence: string, length: long, missed_cleavages: long, mapping_count: long, protein_count: long, target_count: long, contaminant_count: long, entrapment_count: long, decoy_count: long")
+PROTEIN_PEPTIDE_MAP = _schema("peptide_id: string, peptide_sequence: string, protein_order: long, protein_id: string, protein_kind: string, missed_cleavages: long")
+PEPTIDE_COMPARISON = _schema("population: string, distinct_peptides_a: long, distinct_peptides_b: long, shared_peptides: long, jaccard: double, coverage_a_by_b: double, coverage_b_by_a: double, containment: double")
+DECOY_REPORT = _schema("method: string, proteins: long, peptides: long, unique_peptides: long, unique_ratio: double, length_p10: double, length_median: double, length_p90: double, shared_with_targets: long, repeated_peptides: long, composition_overlap: double, initial_collisions: long, unresolved_collisions: long, dropped_peptides: long, omitted_decoys: long")
+UNIPROT_CATALOG = _schema("proteome_id: string, taxid: long, organism: string, proteome_type: string, swissprot: long?, swissprot_trembl: long?, one_seq_per_gene: long?")
+CANDIDATE_COMPARISON = _schema("database_id: string, filename: string, kind: string, relationship: string, selected_ids: long, other_ids: long, shared_ids: long, id_containment: double, id_jaccard: double, shared_sequences: long, shared_descriptions: long, description_jaccard: double, shared_exact_pairs: long, changed_shared_ids: long, selected_only_ids: long, other_only_ids: long, exact_id_set: boolean, exact_content: boolean")
 
 SCHEMAS = {
     "protein_input": PROTEIN_INPUT,
@@ -37,6 +42,7 @@ SCHEMAS = {
     "peptide_comparison": PEPTIDE_COMPARISON,
     "decoy_report": DECOY_REPORT,
     "uniprot_catalog": UNIPROT_CATALOG,
+    "candidate_comparison": CANDIDATE_COMPARISON,
 }
 
 
@@ -90,6 +96,12 @@ def write_fasta(rows: DataFrame, path: str, *, order: list[str], header: str = "
     rows.orderBy(*order).select(fasta_text(F.col(header), F.col(sequence), width).alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Entrapment pairs as tab-separated text with a header, in a stable order."""
+    rows = pairs.select("source_id", "fold_index", "target_peptide", "generated_peptide")
+    rows.orderBy(*rows.columns).write.mode("errorifexists").option("header", "true").option("sep", "\t").csv(path)
+
+
 def write_export(rows: DataFrame, path: str, *, exclude_sequence: bool = False) -> None:
     """A table by the suffix of its name: .csv, .tsv or .parquet; others raise (Spark writes no spreadsheets)."""
     rows = rows.drop("sequence") if exclude_sequence else rows

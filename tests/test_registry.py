@@ -96,3 +96,10 @@ def test_packaged_database(spark):
     rows = [(0, "P1 x", "AA", "target", None), (1, "C1", "CC", "contaminant", "keratin"), (2, "C2", "DD", "contaminant", "keratin"), (3, "E1", "EE", "entrapment", None), (4, "D1", "FF", "decoy", None)]
     made = build.packaged(spark.createDataFrame(rows, "final_order long, raw_header string, sequence string, kind string, contaminant_group string"), "db", "20240101", "all")
     assert [r["raw_header"] for r in made.orderBy("section", "block", "place").collect()] == ["aa|db|20240101 all", "P1 x", "aa|Cont_keratin|db", "C1", "C2", "E1"]
+
+
+def test_row_checksums(spark):
+    digest = lambda raw: hashlib.blake2b(raw, digest_size=16)
+    [row] = lifecycle.with_row_checksums(spark.createDataFrame([("P1", "ACD")], "id string, sequence string")).collect()
+    assert row["sequence_hash"] == digest(b"ACD").hexdigest()
+    assert row["id_sequence_fingerprint"] == digest(b"P1\0" + digest(b"ACD").digest() + b"\n").hexdigest()

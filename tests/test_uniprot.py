@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -40,3 +41,12 @@ def test_records_and_resolution(spark, tmp_path):
     assert uniprot.download_fasta(pages, "q", str(tmp_path / "a.fasta")) == 1
     with pytest.raises(LookupError):
         uniprot.resolve_taxonomy(pages, 8)
+
+
+def test_committed_catalogs(spark, tmp_path):
+    for name, content in (("20240101", b"one"), ("20240202", b"two"), ("20240303", b"three")):
+        (tmp_path / f"{name}.parquet").write_bytes(content)
+        stated = hashlib.md5(b"broken" if name == "20240202" else content).hexdigest()
+        (tmp_path / f"{name}.json").write_text(json.dumps({"name": f"{name}.parquet", "md5": stated}))
+    (tmp_path / "20240404.parquet").write_bytes(b"no manifest")
+    assert [r["name"] for r in uniprot.committed_catalogs(spark, str(tmp_path)).collect()] == ["20240303.parquet", "20240101.parquet"]
