@@ -32,7 +32,6 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -43,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, map_arrow
+from .words import hashes, slices, split_words
 
 PLACE_BITS = 14
 FEATURES, RANK, EXTRA = 1 << PLACE_BITS, 96, 16
@@ -60,54 +60,17 @@ GRAM_TASKS = 6
 ROWS = 256
 
 _EDGES = string.punctuation + "«»„“”‘’…"
-#: Bytes of words that are hashed at a time, and an odd number whose powers weigh them.
-HASHED, _BASE = 1 << 20, 0x9E3779B97F4A7C15
 
 
 def plain(word: str) -> str:
     return word.strip(_EDGES) or word
 
 
-@cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd number modulo 2 ** 64 and of its inverse."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(HASHED - 1, x, np.uint64)))) for x in (_BASE, inverse))
-
-
-def _hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words that lie one behind the other: polynomials of their bytes, mixed."""
-    out, sizes = np.empty(len(offsets) - 1, np.uint64), np.diff(offsets)
-    powers, inverses = _powers()
-    start = 0
-    while start < len(out):
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + HASHED, "right")) - 1)
-        begin = offsets[start:end] - offsets[start]
-        part = data[offsets[start] : offsets[end]].astype(np.uint64)
-        if len(part) > HASHED:  # one word longer than all powers: its pieces are hashed
-            cuts = np.append(np.arange(0, len(part), HASHED - 1), len(part))
-            part = _hashes(data[offsets[start] : offsets[end]], cuts)
-            part = part[: HASHED // 2] if len(part) > HASHED else part
-        sums = np.add.reduceat(part * powers[: len(part)], np.minimum(begin, max(0, len(part) - 1))) if len(part) else np.zeros(end - start, np.uint64)
-        out[start:end] = np.where(sizes[start:end] > 0, sums * inverses[begin], np.uint64(0))
-        start = end
-    out += sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    out = (out ^ out >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return (out ^ out >> np.uint64(29)) * np.uint64(0xA0761D6478BD642F)
-
-
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the plain words of some texts, and where each text's begin (and the end of the last)."""
-    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-    words, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
-    ends = ends - ends[0]
+    words, ends = split_words(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())), pc.utf8_split_whitespace)
     trimmed = pc.utf8_trim(words, _EDGES)
-    words = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), words, trimmed)
-    _, offsets, data = words.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
-    real = np.diff(offsets) > 0
-    found = _hashes(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets)[real]
-    return found, np.concatenate(([0], np.cumsum(real)))[ends]
+    return hashes(pc.if_else(pc.equal(pc.binary_length(trimmed), 0), words, trimmed)), ends
 
 
 def words_of(text: str) -> np.ndarray:
@@ -131,7 +94,7 @@ def counted_places(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(FEATURES + 1, np.int64), np.zeros(FEATURES + 1, bool)
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), CHARACTERS):
                 words, ends = hashed_words(part)
                 held = places(words).astype("<u2")
                 for start, end in pairwise(ends):
@@ -159,16 +122,6 @@ def counted_places(docs: DataFrame, text: str) -> tuple[DataFrame, np.ndarray, i
     return written.where("places is not null").select("places"), counts[:FEATURES], int(counts[FEATURES])
 
 
-def slices(texts: pa.Array, size: int = CHARACTERS) -> Iterator[pa.Array]:
-    """Stretches of about `size` bytes; a longer text is a stretch of its own."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    upto, start = np.cumsum(sizes), 0
-    while start < len(texts):
-        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + size, "right")))
-        yield texts.slice(start, end - start)
-        start = end
-
-
 def _passages(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and starts of the passages (rows of the TF-IDF matrix) of some texts, about WORDS words at a time."""
     held, starts, size = [], [], 0
@@ -487,7 +440,7 @@ def _shared(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_te
 def _found(shared: Shared, texts: pa.Array) -> Iterator[tuple[int, object, float, float, float]]:
     """(row, item id, cosine, lcs, answer) of each item found in some texts."""
     start = 0
-    for part in slices(texts):
+    for part in slices(texts, CHARACTERS):
         for searcher in _searchers(shared):
             for row, k, *values in searcher.matches(part):
                 yield start + row, searcher.items[k].key, *values
