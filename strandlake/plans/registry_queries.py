@@ -31,6 +31,28 @@ def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.pair_stats(entries(spark, sf_dir))
 
 
+def _long_sql() -> str:
+    """The long form of all pairs as text, with both sides' own counts and every ratio."""
+    own = {"entries": "count(*)", "distinct_ids": "count(DISTINCT sequence_id)", "distinct_sequences": "count(DISTINCT sequence_hash)", "distinct_descriptions": "count(DISTINCT description_hash)", "distinct_pairs": "count(DISTINCT (sequence_id, sequence_hash))"}
+    sides = ", ".join(f"coalesce({side}.{c}, 0) AS {c}_{name}" for side, name in (("x", "low"), ("y", "high")) for c in own)
+    number = lambda v: f"CASE WHEN {v} = 0 THEN '0.0' WHEN {v} = 1 THEN '1.0' ELSE printf('%.12g', {v}) END"
+    ratio = lambda a, b: number(f"coalesce({a} / nullif({b}, 0), 0.0)")
+    columns = ["kind", "low", "high", *[f"CAST({c} AS VARCHAR) AS {c}" for c in (*_COUNTS, *(f"{c}_{s}" for c in own for s in ("low", "high")))]]
+    for what in ("id", "sequence", "description"):
+        s, a, b = f"shared_{what}s", f"distinct_{what}s_low", f"distinct_{what}s_high"
+        columns += [f"{ratio(s, f'({a} + {b} - {s})')} AS {what}_jaccard", f"{ratio(s, a)} AS {what}_coverage_low_by_high", f"{ratio(s, b)} AS {what}_coverage_high_by_low", f"{ratio(s, f'least({a}, {b})')} AS {what}_containment"]
+        columns += [f"CAST({s} > 0 AND {s} = {a} AS VARCHAR) AS {what}_low_in_high", f"CAST({s} > 0 AND {s} = {b} AS VARCHAR) AS {what}_high_in_low", f"CAST({s} > 0 AND {s} = {a} AND {s} = {b} AS VARCHAR) AS exact_{what}_set"]
+    x = "shared_exact_pairs"
+    columns += ["CAST(shared_ids - matching_shared_ids AS VARCHAR) AS changed_shared_ids", f"CAST({x} > 0 AND {x} = distinct_pairs_low AND {x} = distinct_pairs_high AS VARCHAR) AS exact_content"]
+    return f"""WITH {_pair_sql(ENTRIES)}, own AS (SELECT database_id, kind, {", ".join(f"{e} AS {n}" for n, e in own.items())} FROM entries GROUP BY ALL),
+ wide AS (SELECT pairs.*, {sides} FROM pairs LEFT JOIN own x ON x.database_id = low AND x.kind = pairs.kind LEFT JOIN own y ON y.database_id = high AND y.kind = pairs.kind) SELECT {", ".join(columns)} FROM wide"""
+
+
+@query("long_export", _long_sql())
+def long_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.long_export(_similar(spark, sf_dir))
+
+
 #: Every source twice, under its own name and a copy's, and a third time without its contaminants.
 _COPIES = ENTRIES.replace("entries AS (", "single AS (") + ", entries AS (SELECT * FROM single UNION ALL SELECT * REPLACE ('copy_' || database_id AS database_id) FROM single UNION ALL SELECT * REPLACE ('part_' || database_id AS database_id) FROM single WHERE kind <> 'contaminant')"
 

@@ -552,9 +552,3 @@ SELECT r AS row, {", ".join(f"max(v) FILTER (c = '{d}') AS {d}" for d in _DATABA
 def jaccard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = registry.jaccard_matrix(_similar(spark, sf_dir), "target", _DATABASES)
     return rows.select("row", *[F.round(d, 9).alias(d) for d in _DATABASES])
-
-
-@query("long_export")
-def long_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.long_export(_similar(spark, sf_dir))
-
