@@ -1,67 +1,62 @@
 """Repeated passages by prefix-partitioned suffix trees.
 
-A suffix begins at a word; only its first WINDOW words matter, so a suffix is known by hashes of
-two of its prefixes. Suffixes that share a prefix are a subtree.
+A suffix begins at a word; only its first WINDOW words matter. It is known by hashes of its prefixes of
+PREFIXES and WINDOW words, which are the levels of the suffix tree that are kept.
 
 1. Sparing. A window's anchor is the least of its hashed GRAM-word grams. Equal windows have equal
    anchors, so a window whose anchor stands only once in all documents cannot repeat. Each text sends
    its distinct anchors (about 7 % of its words); anchors are counted with map-side sums. This is an
    exact filter: it only lets go what cannot repeat.
-2. Prefix partition. Suffixes are dealt to groups by their first PREFIX words. Where an anchor stands
-   more than GROUP times (a passage that very many texts share), the prefix is lengthened to the whole
-   window: such a group is one window, its size alone decides, and map-side sums count it however
-   often it repeats, so no group outgrows memory and no task gets all copies of a passage.
-3. Subtrees. Each group is sorted, which lays out its subtree in order, and streamed; neighbours that
-   agree over the whole window are leaves below an internal node at least WINDOW words deep, where a
-   maximal repeat starts.
+2. Prefix partition. A suffix goes to the group of its shortest prefix that stands no more than GROUP
+   times (or a HEAVY-th of all words, if that is more, so that a table of the others is bounded): the prefix
+   of very common words is lengthened until its group fits. The same pass counts prefixes, batch by batch those
+   that a batch holds COMMON times. Suffixes whose whole window stands that often are a group of one leaf
+   each; map-side sums count it however often it repeats, so no task gets all copies of a passage.
+3. Subtrees. Each group is sorted by its prefixes, which lays out the group's subtree: the depth of the node
+   that joins neighbours is the longest prefix that they share. Below a node at least WINDOW words deep a
+   maximal repeat starts; its leaves are the suffixes that repeat. Groups are streamed.
 4. Each text gets its repeated starts back and loses the words that they cover. Texts are dealt by
    their key once; both joins with them use that exchange.
 
-Prefixes are told apart by 96 bits (64 of the whole window and 32 of the shortest prefix).
+Windows are told apart by 96 bits at least (64 of the whole window and 32 of the prefix of a group).
 
 Defined results: a null text has no words; a text of fewer than WINDOW words loses none; repeated rows
-are repeats of each other and are all reported; a null id is kept; other columns are not read.
+are repeats of each other and are all reported; a null id is kept; a very long text is cut into words at
+once, as a batch of its own; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, partitions
+from .words import hashes, slices, split_words
 
 WINDOW, GRAM = 35, 8
-#: Words of the prefix that parts suffixes into groups, and places of an anchor beyond which it is lengthened.
-PREFIX, GROUP = 8, 50_000
-#: Known words of a worker.
-KNOWN = 1_000_000
+#: Words of the prefixes that part suffixes into groups, and suffixes of a group beyond which the prefix is lengthened.
+PREFIXES, GROUP = (8, 16), 50_000
+#: Prefixes of a batch are counted from so many places on; frequent prefixes of a length, at most.
+COMMON, HEAVY = 16, 100_000
+#: Bytes of texts that are cut into words together.
+BYTES = 4_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def split_words(text: str | None) -> list[bytes]:
-    """The words of a text in UTF-8: bytes.split() cuts at exactly the six ASCII white-space bytes."""
-    return text.encode().split() if text else []
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+def documents_words(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text, cut at the six ASCII white-space bytes."""
+    for part in slices(texts, BYTES):
+        words, ends = split_words(pc.fill_null(part, "").cast(pa.large_string()), pc.ascii_split_whitespace)
+        found = hashes(words)
+        for start, end in pairwise(ends):
+            yield found[start:end]
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -118,19 +113,48 @@ def _met(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return rows.join(found, (F.col("doc") == F.col("found_doc")) & (F.size(F.array_distinct(F.array("id", "found_id"))) == 1), how)
 
 
-def shared_anchors(docs: DataFrame, window: int, group: int) -> DataFrame:
-    """Columns id, doc, anchors, crowded: the anchors of each text that stand at least twice, or more than `group` times, in all texts."""
+def _prefixes(window: int) -> tuple[int, ...]:
+    return tuple(sorted({min(p, window) for p in PREFIXES}))
+
+
+def _common(words: list[np.ndarray], window: int, common: int) -> dict[int, dict[int, int]]:
+    """Of some texts, the prefixes of each length that stand `common` times, and how often; longer ones below common ones only."""
+    found: dict[int, dict[int, int]] = {}
+    places = [np.arange(max(0, len(w) - window + 1)) for w in words]
+    for length in _prefixes(window):
+        made = [prefix_hashes(w, length)[at] for w, at in zip(words, places, strict=True) if len(at)]
+        if not made:
+            return found
+        values, counts = np.unique(np.concatenate(made), return_counts=True)
+        values, counts = values[counts >= common], counts[counts >= common]
+        found[length] = dict(zip(values.view(np.int64).tolist(), counts.tolist(), strict=True))
+        places = [at[_among(prefix_hashes(w, length)[at], values)] for w, at in zip(words, places, strict=True)]
+        words, places = zip(*[(w, at) for w, at in zip(words, places, strict=True) if len(at)], strict=True) if any(map(len, places)) else ((), ())
+    return found
+
+
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are among some sorted ones."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
+def counted(docs: DataFrame, window: int, common: int) -> DataFrame:
+    """Columns id, doc, length, value, n: of each text its anchors (length 0) and how often they stand in it; of batches
+    their common prefixes (of `length` words, without id) and their words (length -1)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "doc", "length", "value", "n"]
         for batch in batches:
+            texts = list(documents_words(batch.column(2)))
             found, counts, sizes = [], [], []
-            for text in batch.column(2).to_pylist():
-                words = split_words(text)
+            for words in texts:
                 if len(words) < window:
                     sizes.append(0)
                     continue
-                grams, anchors = _anchors(word_hashes(words), window)
+                grams, anchors = _anchors(words, window)
                 anchors = np.unique(anchors)
                 grams = np.sort(grams)
                 found.append(anchors)
@@ -139,51 +163,77 @@ def shared_anchors(docs: DataFrame, window: int, group: int) -> DataFrame:
             if not found:
                 continue
             at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), _signed(np.concatenate(found)), pa.array(np.concatenate(counts).astype(np.int32))], ["id", "doc", "anchor", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.zeros(len(at), np.int32)), _signed(np.concatenate(found)), pa.array(np.concatenate(counts).astype(np.int64))], names)
+            rows = [(length, v, n) for length, held in _common([w for w in texts if len(w) >= window], window, common).items() for v, n in held.items()]
+            rows.append((-1, 0, sum(map(len, texts))))
+            nulls = [pa.nulls(len(rows), batch.column(k).type) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*nulls, *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64())))], names)
 
-    stands = map_arrow(docs, run, f"id {kind}, doc bigint, anchor bigint, n int")
+    return map_arrow(docs, run, f"id {kind}, doc bigint, length int, value bigint, n bigint")
+
+
+def shared_anchors(docs: DataFrame, window: int, group: int, common: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """Columns id, doc, anchors (those of each text that stand at least twice in all texts); and by length the prefixes
+    that stand too often for one group, at most HEAVY of each length."""
+    stands = counted(docs, window, common)
     # A text that has an anchor twice shares it by itself.
-    often = stands.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") > group).alias("many"))
-    kept = stands.select("id", "doc", "anchor").join(often, "anchor")
-    return kept.groupBy("id", "doc").agg(
-        F.collect_set(F.when(~F.col("many"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("crowded")
-    )
+    sums = cut(stands.groupBy("length", "value").agg(F.sum("n").alias("n")).where("length = -1 or n > 1"))
+    words = sums.where("length = -1").agg(F.sum("n")).first()[0] or 0
+    frequent = sums.where((F.col("length") > 0) & (F.col("n") > max(group, words // HEAVY))).select("length", "value").collect()
+    heavy = {p: np.sort(np.array([r["value"] for r in frequent if r["length"] == p], np.int64).view(np.uint64)) for p in _prefixes(window)}
+    kept = stands.where("length = 0").select("id", "doc", "value").join(sums.where("length = 0").select("value"), "value")
+    return kept.groupBy("id", "doc").agg(F.collect_set("value").alias("anchors")), heavy
 
 
-def suffixes(rows: DataFrame, anchors: DataFrame, column: str, window: int, prefix: int) -> DataFrame:
-    """Columns id, doc, pos, head, whole: suffixes whose window has an anchor of `column`."""
+def suffixes(rows: DataFrame, anchors: DataFrame, heavy, window: int, whole_windows: bool) -> DataFrame:
+    """Columns id, doc, pos, part, next, whole: suffixes whose window has a shared anchor.
+
+    `part` names the group: it is of the shortest prefix that is not among the heavy ones. `next` is of the next
+    longer prefix. With `whole_windows` the suffixes all of whose prefixes are heavy, else all others.
+    """
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = _prefixes(window)
         for batch in batches:
-            sizes, places, heads, wholes = [], [], [], []
+            sizes, made = [], [[], [], [], []]
             flat, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False), batch.column(3).offsets.to_numpy()
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                words = word_hashes(split_words(text))
+            for k, words in enumerate(documents_words(batch.column(2))):
                 shared = np.sort(flat[ends[k] - ends[0] : ends[k + 1] - ends[0]].astype(np.int64).view(np.uint64))
-                least = _anchors(words, window)[1]
-                at = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, least), len(shared) - 1)] == least)
-                sizes.append(len(at))
-                places.append(at.astype(np.int32))
-                heads.append((prefix_hashes(words, prefix)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                wholes.append(prefix_hashes(words, window)[at])
+                at = np.flatnonzero(_among(_anchors(words, window)[1], shared))
+                levels = [prefix_hashes(words, p)[at] for p in (*lengths, window)]
+                crowded = np.ones(len(at), bool)
+                part, following = levels[-1].copy(), levels[-1].copy()
+                depth = np.zeros(len(at), np.int64)
+                for p, level in zip(lengths, levels, strict=False):
+                    crowded &= _among(level, heavy.value[p])
+                    depth += crowded
+                for d in range(len(lengths)):
+                    part[depth == d], following[depth == d] = levels[d][depth == d], levels[d + 1][depth == d]
+                keep = np.flatnonzero(crowded == whole_windows)
+                sizes.append(len(keep))
+                for out, values in zip(made, (at.astype(np.int32), (part >> np.uint64(32)).astype(np.uint32).view(np.int32), (following >> np.uint64(32)).astype(np.uint32).view(np.int32), levels[-1].view(np.int64)), strict=True):
+                    out.append(values[keep])
             at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(places)), pa.array(np.concatenate(heads)), _signed(np.concatenate(wholes))], ["id", "doc", "pos", "head", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(m)) for m in made)], ["id", "doc", "pos", "part", "next", "whole"])
 
-    joined = _met(rows, anchors.where(F.size(column) > 0).select("id", "doc", column), "inner").select("id", "doc", "body", column)
-    return map_arrow(joined, run, f"id {kind}, doc bigint, pos int, head int, whole bigint")
+    joined = _met(rows, anchors, "inner").select("id", "doc", "body", "anchors")
+    return map_arrow(joined, run, f"id {kind}, doc bigint, pos int, part int, next int, whole bigint")
 
 
 def deep_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes (id, doc, pos, head, whole), those that agree with a neighbour over the whole window."""
+    """Of the sorted suffixes of subtrees (id, doc, pos, part, next, whole), the leaves below internal nodes as deep as a window.
+
+    Levels of the node that joins neighbours: 0 none (another group), 1 the group's prefix, 2 the next longer one, 3 the window.
+    """
     held, met = None, False
     for batch in batches:
         rows = pa.concat_batches([held, batch]) if held is not None else batch
         if not rows.num_rows:
             continue
-        head, whole = rows.column(3).to_numpy(), rows.column(4).to_numpy()
-        same = (head[1:] == head[:-1]) & (whole[1:] == whole[:-1])
-        deep = np.concatenate((same, [False])) | np.concatenate(([met], same))
+        same = [c[1:] == c[:-1] for c in (rows.column(k).to_numpy() for k in (3, 4, 5))]
+        level = same[0].astype(np.int8) * (1 + same[1].astype(np.int8) * (1 + same[2].astype(np.int8)))
+        deep = np.concatenate((level == 3, [False])) | np.concatenate(([met], level == 3))
         # The last suffix waits for its next neighbour.
         out = np.flatnonzero(deep[:-1])
         if len(out):
@@ -193,32 +243,34 @@ def deep_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held.select(["id", "doc", "pos"])
 
 
-def repeated_starts(docs: DataFrame, rows: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
+def repeated_starts(docs: DataFrame, rows: DataFrame, window: int, group: int, common: int) -> DataFrame:
     """Columns id, doc, pos: the suffixes whose window starts anywhere else too."""
+    anchors, heavy = shared_anchors(docs, window, group, common)
     # Numbers only, some percent of the words; what follows reads the written rows.
-    anchors = cut(shared_anchors(docs, window, group))
-    dealt = suffixes(rows, anchors, "anchors", window, prefix).repartition(partitions(docs.sparkSession), "head").sortWithinPartitions("head", "whole")
+    anchors = cut(anchors)
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY numbers a length
+    dealt = suffixes(rows, anchors, shared, window, False).repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "next", "whole")
     kind = rows.schema["id"].dataType.simpleString()
     found = map_arrow(dealt, deep_leaves, f"id {kind}, doc bigint, pos int")
-    if not anchors.where(F.size("crowded") > 0).isEmpty():
-        crowd = suffixes(rows, anchors, "crowded", window, prefix)
-        nodes = crowd.groupBy("head", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head", "whole")
-        found = found.union(crowd.join(nodes, ["head", "whole"]).select("id", "doc", "pos"))
+    if all(len(h) for h in heavy.values()):
+        crowd = suffixes(rows, anchors, shared, window, True)
+        nodes = crowd.groupBy("part", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "whole")
+        found = found.union(crowd.join(nodes, ["part", "whole"]).select("id", "doc", "pos"))
     return found
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, common: int = COMMON) -> DataFrame:
     """Columns `key`, n_words, n_removed, kept (the words left, joined by blanks) of every row."""
     rows = _rowed(docs, key, text)
     plain = docs.select(docs[key].alias("id"), F.xxhash64(F.coalesce(docs[key].cast("string"), F.lit("")), F.coalesce(docs[text], F.lit(""))).alias("doc"), docs[text].alias("body"))
-    starts = repeated_starts(plain, rows, window, prefix, group).groupBy("id", "doc").agg(F.collect_list("pos").alias("starts"))
+    starts = repeated_starts(plain, rows, window, group, common).groupBy("id", "doc").agg(F.collect_list("pos").alias("starts"))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             totals, removed, kept = [], [], []
             for text, starts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = split_words(text)
+                words = text.encode().split() if text else []
                 totals.append(len(words))
                 if not starts.is_valid:
                     removed.append(0)
