@@ -1,19 +1,20 @@
 """License scan by a positional index of rare words, in DataFrame functions only.
 
-Templates are short licence notices. Their words are the index's vocabulary, a word's postings are the
-templates and places it stands at, and a word's IDF is counted over all documents. For each file and
-template the highest-IDF licence words that the file holds (ANCHORS of them) are looked up with all
-their places; a place in the file minus the posting's place is a relative position, and words that agree
-on it are an alignment. Alignments with enough IDF are candidates; a candidate is reported if the
-template's mandatory key phrases all stand in the file at or after the aligned start, within the
-template's length and some slack. The score is the share of the template's anchor IDF that is aligned.
+Templates are short licence notices. A word's IDF is counted over all documents; the index holds, for each
+template, the places of its ANCHORS highest-IDF words, so it is a table of a few rows a template that is sent to
+all tasks, whatever the documents and however many templates. Of each file the index's words are exploded with
+their places, once, and looked up in it by word; a place in the file minus the posting's place is a relative
+position, and postings of a template that agree on it are an alignment. An alignment that holds LEAST_SHARE of
+the template's anchor IDF, in LEAST_WORDS different words, is a candidate; it is reported if the template's
+mandatory key phrases all stand in the file from the aligned start on, within the template's length and some
+slack. The score is the share of the template's anchor IDF that is aligned.
 
 The base labels are places where a fixed phrase stands word by word.
 
-Only files with enough licence words are exploded, and of them only the rare words; postings and IDF are
-bounded by the templates (some hundred rows), whatever the documents. Defined results: a null text
+Only files with LEAST_WORDS different words of the index are exploded, and only those words of them.
+Alignments are summed before the shuffle and dropped right after it. Defined results: a null text
 counts as the empty text, with no words and no labels; repeated rows give repeated results; a null id is
-kept; ties of IDF go by the word; other columns are not read.
+kept; ties of IDF go by the word; a very long text is scanned whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +25,10 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
-#: Highest-IDF words looked up for a file and template; IDF share of them that an alignment needs.
-ANCHORS, LEAST_SHARE = 8, 0.6
-#: Words of a template that a file must hold before it is looked up.
-LEAST_WORDS = 4
+#: Highest-IDF words of a template that are indexed; IDF share of them, and different ones, that an alignment needs.
+ANCHORS, LEAST_SHARE, LEAST_WORDS = 8, 0.6, 4
 #: Words of slack between an aligned template and the file.
 SLACK = 12
 
@@ -54,19 +53,27 @@ TEMPLATES = (
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("attribution sharealike",)),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial",)),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", ("dedicated the work to the public domain",)),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", ("eclipse public license",)),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license you may not use this file except in compliance with the license", ("common development and distribution license",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose", ("permission is granted to anyone to use this software",)),
+    ("boost", "distributed under the boost software license version 1 0 see accompanying file license 1 0 txt or copy at", ("boost software license",)),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed do what the fuck you want to public license", ("what the fuck you want",)),
+    ("artistic-2", "this program is free software you can redistribute it and or modify it under the terms of the artistic license version 2 0", ("artistic license",)),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1 this license is copied below and is also available with a faq at", ("open font license",)),
+    ("eupl", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl", ("licensed under the eupl",)),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", ("attribution noderivatives",)),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ("noncommercial sharealike",)),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", ("noncommercial noderivatives",)),
+    ("bsl-1-1", "use of this software is governed by the business source license included in the file license as of the change date specified in that file", ("business source license",)),
+    ("sspl", "this program is free software you can redistribute it and or modify it under the terms of the server side public license version 1 as published by mongodb inc", ("server side public license",)),
     ("proprietary", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means", ("all rights reserved", "may be reproduced")),
 )
 
 
-@cache
-def postings() -> tuple[tuple[str, int, int], ...]:
-    """(word, template, place) of every template."""
-    return tuple((w, k, i) for k, (_, notice, _) in enumerate(TEMPLATES) for i, w in enumerate(notice.split()))
-
-
 @cache
 def vocabulary() -> tuple[str, ...]:
-    return tuple(sorted({w for w, _, _ in postings()}))
+    return tuple(sorted({w for _, notice, _ in TEMPLATES for w in notice.split()}))
 
 
 def words_of(text: Column) -> Column:
@@ -83,34 +90,36 @@ def idf(texts: DataFrame) -> dict[str, float]:
     held = F.concat(F.array(F.lit("")), F.array_intersect(_array(vocabulary()), F.col("words")))
     counts = {r["w"]: r["n"] for r in texts.select(F.explode(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = counts.get("", 0)
-    return {w: math.log((1 + n) / (1 + counts.get(w, 0))) for w in vocabulary()}
+    return {w: max(1e-9, math.log((1 + n) / (1 + counts.get(w, 0)))) for w in vocabulary()}
 
 
-def _aligned(texts: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Columns id, hash, label, share: verified alignments."""
-    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    looked = []
-    for k, (_, notice, keys) in enumerate(TEMPLATES):
-        # A file without the key phrases can't pass the last step; the cheap test goes first.
-        possible = F.lit(True)
-        for phrase in keys:
-            possible = possible & F.col("line").contains(f" {phrase} ")
-        rare = sorted(set(notice.split()), key=lambda w: (-weights[w], w))
-        looked.append(F.when(possible, F.struct(F.lit(k).alias("template"), F.slice(F.array_intersect(_array(rare), F.col("words")), 1, ANCHORS).alias("held"))))
-    found = texts.withColumn("line", line).select("id", "hash", "words", F.explode(F.array_compact(F.array(*looked))).alias("l")).select("id", "hash", "words", "l.*")
-    found = found.where(F.size("held") >= LEAST_WORDS).dropDuplicates(["id", "hash", "template"])
-
-    rows = [(k, w, i, float(max(weights[w], 1e-9))) for w, k, i in postings()]
-    index = F.broadcast(found.sparkSession.createDataFrame(rows, "template int, word string, place int, weight double"))
-    places = found.select("id", "hash", "template", "held", F.posexplode("words").alias("at", "word")).where(F.array_contains("held", F.col("word")))
-    aligned = places.join(index, ["template", "word"]).groupBy("id", "hash", "template", (F.col("at") - F.col("place")).alias("start")).agg(F.sum("weight").alias("met"))
+def postings(weights: dict[str, float]) -> list[tuple[str, int, int, float]]:
+    """(word, template, place, share of the template's anchor IDF) of the anchors of every template."""
+    out = []
+    for k, (_, notice, _) in enumerate(TEMPLATES):
+        words = notice.split()
+        rare = sorted(set(words), key=lambda w: (-weights[w], w))[:ANCHORS]
+        whole = sum(weights[w] for w in words if w in rare)
+        out += [(w, k, place, weights[w] / whole) for place, w in enumerate(words) if w in rare]
+    return out
+
 
+def _aligned(texts: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Columns id, hash, found, share: the labels of verified alignments."""
+    index = postings(weights)
+    rare = sorted({w for w, *_ in index})
+    # Files that hold enough words of the index, with their words: few, and read again by the last step.
+    files = cut(texts.where(F.size(F.array_intersect(_array(rare), F.col("words"))) >= LEAST_WORDS).dropDuplicates(["id", "hash"]))
+    session = texts.sparkSession
+    index = F.broadcast(session.createDataFrame(index, "word string, template int, place int, weight double"))  # ANCHORS rows a template and repeats
     kinds = [(k, label, len(notice.split()), list(keys)) for k, (label, notice, keys) in enumerate(TEMPLATES)]
-    kinds = F.broadcast(found.sparkSession.createDataFrame(kinds, "template int, label string, size int, keys array<string>"))
-    whole = found.join(index, (found["template"] == index["template"]) & F.array_contains("held", index["word"])).groupBy(found["id"], found["hash"], found["template"]).agg(F.sum("weight").alias("most"))
-    near = aligned.alias("a").join(whole.alias("w"), F.col("a.id").eqNullSafe(F.col("w.id")) & (F.col("a.hash") == F.col("w.hash")) & (F.col("a.template") == F.col("w.template")))
-    near = near.select("a.*", F.least(F.lit(1.0), F.col("met") / F.col("most")).alias("share")).where(F.col("share") >= LEAST_SHARE)
-    near = near.join(kinds, "template").alias("n").join(found.alias("f"), F.col("n.id").eqNullSafe(F.col("f.id")) & (F.col("n.hash") == F.col("f.hash")) & (F.col("n.template") == F.col("f.template")))
+    kinds = F.broadcast(session.createDataFrame(kinds, "template int, label string, size int, keys array<string>"))  # a row a template
+    known = F.transform(F.col("words"), lambda w, at: F.when(w.isin(rare), F.struct(w.alias("word"), at.alias("at"))))
+    places = files.select("id", "hash", F.explode(F.array_compact(known)).alias("w")).select("id", "hash", "w.word", "w.at")
+    hits = places.join(index, "word").groupBy("id", "hash", "template", (F.col("at") - F.col("place")).alias("start"))
+    near = hits.agg(F.least(F.lit(1.0), F.sum("weight")).alias("share"), F.collect_set("word").alias("met"))
+    near = near.where((F.col("share") >= LEAST_SHARE) & (F.size("met") >= LEAST_WORDS)).drop("met").join(kinds, "template")
+    near = near.alias("n").join(files.alias("f"), F.col("n.id").eqNullSafe(F.col("f.id")) & (F.col("n.hash") == F.col("f.hash")))
     stretch = F.concat(F.lit(" "), F.array_join(F.slice("words", F.greatest(F.col("start") - SLACK, F.lit(0)) + 1, F.col("size") + 2 * SLACK), " "), F.lit(" "))
     near = near.where(F.forall("keys", lambda phrase: stretch.contains(F.concat(F.lit(" "), phrase, F.lit(" ")))))
     return near.groupBy("n.id", "n.hash").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))

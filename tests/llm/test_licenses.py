@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from strandlake.llm import licenses
@@ -36,5 +38,49 @@ def test_phrases_and_templates(spark):
     assert out[0]["n_base"] == 3 and out[0]["last_word"] == 6
 
 
+def brute(texts):
+    """Labels and scores by trying every place of every template in every text."""
+    words = [WORD.findall(lowered(t or "")) for t in texts]
+    idf = {w: max(1e-9, math.log((1 + len(texts)) / (1 + sum(w in set(ws) for ws in words)))) for w in licenses.vocabulary()}
+    for held in words:
+        labels, best = set(), 0.0
+        for label, notice, keys in licenses.TEMPLATES:
+            template = notice.split()
+            rare = set(sorted(set(template), key=lambda w: (-idf[w], w))[: licenses.ANCHORS])
+            whole = sum(idf[w] for w in template if w in rare)
+            for start in range(-len(template), len(held)):
+                met = [w for k, w in enumerate(template) if w in rare and 0 <= start + k < len(held) and held[start + k] == w]
+                share = min(1.0, sum(idf[w] for w in met) / whole)
+                stretch = " " + " ".join(held[max(0, start - licenses.SLACK) :][: len(template) + 2 * licenses.SLACK]) + " "
+                if share >= licenses.LEAST_SHARE and len(set(met)) >= licenses.LEAST_WORDS and all(f" {k} " in stretch for k in keys):
+                    labels.add(label)
+                    best = max(best, share)
+        yield labels, best
+
+
+def test_labels_and_scores_equal_brute_force(spark):
+    rng, texts = random.Random(5), [None, "", "the the the", "license " * 400]
+    notices = [t[1].split() for t in licenses.TEMPLATES]
+    for k in range(150):
+        body = [rng.choice(rng.choice(notices)) if rng.random() < 0.3 else f"w{rng.randrange(500)}" for _ in range(rng.randrange(5, 60))]
+        for _ in range(rng.randrange(3)):  # notices, whole or with words lost or changed
+            part = [w if rng.random() < (1, 0.9, 0.7)[k % 3] else f"w{rng.randrange(500)}" for w in rng.choice(notices)]
+            if k % 5 == 0:
+                del part[rng.randrange(len(part))]
+            at = rng.randrange(len(body))
+            body[at:at] = part
+        texts.append(" ".join(body))
+    texts += [texts[9], texts[9], " ".join(texts[4:40])]  # ties, repeated rows, a very long text
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made = {r["doc_id"]: (set(r["labels"]) - set(r["base_labels"]), r["base_labels"], r["score"]) for r in licenses.scan(frame).collect()}
+    found = 0
+    for k, (labels, best) in enumerate(brute(texts)):
+        extra, base, score = made[k]
+        assert extra == labels - set(base), k
+        assert abs(score - (1.0 if base else best)) < 1e-9, k
+        found += bool(labels)
+    assert found > 60
+
+
 def test_empty(empty):
     assert licenses.scan(empty).count() == 0
