@@ -18,7 +18,7 @@ PREFIXES and WINDOW words, which are the levels of the suffix tree that are kept
 4. Each text gets its repeated starts back and loses the words that they cover. Texts are dealt by
    their key once; both joins with them use that exchange.
 
-Windows are told apart by 96 bits at least (64 of the whole window and 32 of the prefix of a group).
+Windows are told apart by 96 bits: 32 of each of three prefixes, or 64 of the window and 32 of a prefix.
 
 Defined results: a null text has no words; a text of fewer than WINDOW words loses none; repeated rows
 are repeats of each other and are all reported; a null id is kept; a very long text is cut into words at
@@ -47,7 +47,7 @@ COMMON, HEAVY = 16, 100_000
 #: Bytes of texts that are cut into words together.
 BYTES = 4_000_000
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 
 
 def documents_words(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -186,43 +186,47 @@ def shared_anchors(docs: DataFrame, window: int, group: int, common: int) -> tup
 
 
 def suffixes(rows: DataFrame, anchors: DataFrame, heavy, window: int, whole_windows: bool) -> DataFrame:
-    """Columns id, doc, pos, part, next, whole: suffixes whose window has a shared anchor.
+    """Columns id, doc, pos, part, path: suffixes whose window has a shared anchor.
 
-    `part` names the group: it is of the shortest prefix that is not among the heavy ones. `next` is of the next
-    longer prefix. With `whole_windows` the suffixes all of whose prefixes are heavy, else all others.
+    `part` names the group: it is of the shortest prefix that is not among the heavy ones. `path` leads on through the
+    tree: its upper half is of the next longer prefix, its lower half of the window. With `whole_windows` the
+    suffixes all of whose prefixes are heavy, whose path is of the window alone, else all others.
     """
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _prefixes(window)
         for batch in batches:
-            sizes, made = [], [[], [], [], []]
+            sizes, made = [], [[], [], []]
             flat, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False), batch.column(3).offsets.to_numpy()
             for k, words in enumerate(documents_words(batch.column(2))):
                 shared = np.sort(flat[ends[k] - ends[0] : ends[k + 1] - ends[0]].astype(np.int64).view(np.uint64))
                 at = np.flatnonzero(_among(_anchors(words, window)[1], shared))
                 levels = [prefix_hashes(words, p)[at] for p in (*lengths, window)]
                 crowded = np.ones(len(at), bool)
-                part, following = levels[-1].copy(), levels[-1].copy()
+                part, path = levels[-2].copy(), levels[-1].copy()
                 depth = np.zeros(len(at), np.int64)
                 for p, level in zip(lengths, levels, strict=False):
                     crowded &= _among(level, heavy.value[p])
                     depth += crowded
                 for d in range(len(lengths)):
-                    part[depth == d], following[depth == d] = levels[d][depth == d], levels[d + 1][depth == d]
+                    here = depth == d
+                    part[here] = levels[d][here]
+                    if d + 1 < len(lengths):
+                        path[here] = levels[d + 1][here] >> _HALF << _HALF | levels[-1][here] >> _HALF
                 keep = np.flatnonzero(crowded == whole_windows)
                 sizes.append(len(keep))
-                for out, values in zip(made, (at.astype(np.int32), (part >> np.uint64(32)).astype(np.uint32).view(np.int32), (following >> np.uint64(32)).astype(np.uint32).view(np.int32), levels[-1].view(np.int64)), strict=True):
+                for out, values in zip(made, (at.astype(np.int32), (part >> _HALF).astype(np.uint32).view(np.int32), path.view(np.int64)), strict=True):
                     out.append(values[keep])
             at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(m)) for m in made)], ["id", "doc", "pos", "part", "next", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(m)) for m in made)], ["id", "doc", "pos", "part", "path"])
 
     joined = _met(rows, anchors, "inner").select("id", "doc", "body", "anchors")
-    return map_arrow(joined, run, f"id {kind}, doc bigint, pos int, part int, next int, whole bigint")
+    return map_arrow(joined, run, f"id {kind}, doc bigint, pos int, part int, path bigint")
 
 
 def deep_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the sorted suffixes of subtrees (id, doc, pos, part, next, whole), the leaves below internal nodes as deep as a window.
+    """Of the sorted suffixes of subtrees (id, doc, pos, part, path), the leaves below internal nodes as deep as a window.
 
     Levels of the node that joins neighbours: 0 none (another group), 1 the group's prefix, 2 the next longer one, 3 the window.
     """
@@ -231,7 +235,8 @@ def deep_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.concat_batches([held, batch]) if held is not None else batch
         if not rows.num_rows:
             continue
-        same = [c[1:] == c[:-1] for c in (rows.column(k).to_numpy() for k in (3, 4, 5))]
+        part, path = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+        same = [c[1:] == c[:-1] for c in (part, path >> 32, path)]
         level = same[0].astype(np.int8) * (1 + same[1].astype(np.int8) * (1 + same[2].astype(np.int8)))
         deep = np.concatenate((level == 3, [False])) | np.concatenate(([met], level == 3))
         # The last suffix waits for its next neighbour.
@@ -249,13 +254,13 @@ def repeated_starts(docs: DataFrame, rows: DataFrame, window: int, group: int, c
     # Numbers only, some percent of the words; what follows reads the written rows.
     anchors = cut(anchors)
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY numbers a length
-    dealt = suffixes(rows, anchors, shared, window, False).repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "next", "whole")
+    dealt = suffixes(rows, anchors, shared, window, False).repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "path")
     kind = rows.schema["id"].dataType.simpleString()
     found = map_arrow(dealt, deep_leaves, f"id {kind}, doc bigint, pos int")
     if all(len(h) for h in heavy.values()):
         crowd = suffixes(rows, anchors, shared, window, True)
-        nodes = crowd.groupBy("part", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "whole")
-        found = found.union(crowd.join(nodes, ["part", "whole"]).select("id", "doc", "pos"))
+        nodes = crowd.groupBy("part", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "path")
+        found = found.union(crowd.join(nodes, ["part", "path"]).select("id", "doc", "pos"))
     return found
 
 
