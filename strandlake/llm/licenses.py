@@ -35,7 +35,7 @@ SLACK = 12
 #: Fixed value: what separates words, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Base phrases and labels.
+#: Base phrases and labels, where a caller names no others.
 PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: Opening words of public licence notices, with the phrases that must stand in a file: label, notice, key phrases.
@@ -125,15 +125,18 @@ def _aligned(texts: DataFrame, weights: dict[str, float]) -> DataFrame:
     return near.groupBy("n.id", "n.hash").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of every row: `key`, n_words, n_base, first_word, last_word, base_labels and labels (sorted arrays), score."""
+def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """Of every row: `key`, n_words, n_base, first_word, last_word, base_labels and labels (sorted arrays), score.
+
+    `phrases` has the base phrases (words joined by one space) and their labels.
+    """
     whole = F.coalesce(docs[text], F.lit(""))
     texts = docs.select(docs[key].alias("id"), F.xxhash64(whole).alias("hash"), words_of(whole).alias("words"))
     aligned = _aligned(texts, idf(texts))
 
     # Base: a piece of the line between two places of a phrase holds as many blanks as words.
     places = []
-    for phrase, label in PHRASES.items():
+    for phrase, label in phrases.items():
         size = len(phrase.split())
         words = F.transform(F.split("line", f" {phrase}(?= )", -1), lambda g: F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit(""))))
         last = F.aggregate(F.slice(words, 1, F.size(words) - 1), F.lit(0), lambda a, b: a + b) + size * (F.size(words) - 2)

@@ -29,8 +29,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The base phrases of op3_license_scan and their labels.
+LICENSE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(table(spark, sf_dir, "documents"), phrases=LICENSE_PHRASES)
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 

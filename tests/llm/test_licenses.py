@@ -2,7 +2,7 @@ import math
 import random
 import re
 
-from strandlake.llm import licenses
+from strandlake.llm import licenses, queries
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -84,3 +84,20 @@ def test_labels_and_scores_equal_brute_force(spark):
 
 def test_empty(empty):
     assert licenses.scan(empty).count() == 0
+
+
+def test_query_counts_the_places_of_its_own_phrases(spark, docs, rows, tmp_path):
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    texts = ["the mit license", "Released under the MIT License", "under the MIT License under the mit-license", "cc by nc, the mit license: Apache License, Version 2.0", "under the mit licenses"]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame([(7000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, text in [*((i, t) for i, t, _ in rows), *((7000 + k, t) for k, t in enumerate(texts))]:
+        words = WORD.findall(lowered(text or ""))
+        found = [(k, label) for phrase, label in phrases.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        places = [k for k, _ in found]
+        want.append(str((i, len(words), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({label for _, label in found})))))
+    names = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    made = queries.op3_license_scan(spark, str(tmp_path)).collect()
+    assert sorted(str(tuple(r[n] for n in names)) for r in made) == sorted(want)
+    assert {r["doc_id"]: r["n_base"] for r in made if r["doc_id"] and r["doc_id"] >= 7000} == {7000: 0, 7001: 1, 7002: 2, 7003: 2, 7004: 0}
