@@ -181,6 +181,50 @@ def test_orders_by_rank():
         assert [generate.ordered_by_rank(letters, k) for k in range(n)] == sorted({"".join(p) for p in permutations(letters)})
 
 
+def test_ranks_of_orders():
+    for letters in ("", "A", "AAB", "CABBA", "KRPDDAAK"):
+        assert all(generate.rank_of(generate.ordered_by_rank(letters, k)) == k for k in range(generate.orders(letters)))
+
+
+def rounds(own, taken, n, fold, seed, most):
+    """Brute force: in each round every peptide that lacks some draws all its candidates, and of equal ones the first by name is kept."""
+    had, count = dict.fromkeys(own, 0), min(most, max(generate.FIRST, 2 * fold))
+    while lacking := [p for p in own if had[p] < fold]:
+        drawn = {p: [r for r in generate.drawn_ranks(p, count, seed, n) if r != own[p]][:count] for p in lacking}
+        first = {r: min(p for p in lacking if r in drawn[p]) for p in lacking for r in drawn[p] if r not in taken}
+        kept = [(p, r) for p in lacking for r in [r for r in drawn[p] if first.get(r) == p][: fold - had[p]]]
+        for p, r in kept:
+            taken.add(r)
+            had[p] += 1
+            yield p, had[p], r
+        if count == most and not kept:
+            return
+        count = most
+
+
+@pytest.mark.parametrize("fold", [1, 3, 40])
+def test_classes_choose_as_rounds_over_all_candidates(fold):
+    rng = random.Random(fold)
+    for letters, size in (("AAC", 2), ("AACD", 9), ("ACDEF", 60), ("ACDEFG", 80), ("ACDEFGHI", 30), ("ACDEFGHIKLMN", 1)):
+        n = generate.orders(letters)
+        own = {p: generate.rank_of(p) for p in sorted({generate.ordered_by_rank(letters, rng.randrange(n)) for _ in range(size)})}
+        taken = {*own.values(), *(rng.randrange(n) for _ in range(size))}
+        made = list(generate.chosen_ranks(own, set(taken), n, fold, 7, 100 * fold))
+        assert made == list(rounds(own, set(taken), n, fold, 7, 100 * fold))
+        assert len({r for *_, r in made}) == len(made) and not {r for *_, r in made} & taken
+
+
+def test_entrapment_makes_no_candidates_that_it_does_not_keep(spark):
+    rng = random.Random(8)
+    frame = spark.createDataFrame([(f"P{k}", "h", "".join(rng.choice("ACDEFGHIK") for _ in range(300))) for k in range(20)], "id string, raw_header string, sequence string")
+    made = generate.entrapment_pairs(frame, Digestion(shortest=7, longest=50), 1, 7)
+    # No table of candidates is joined with targets, and no round with another.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join") == 1
+    peptides_of = {(r["id"], r["peptide"]) for r in peptides.digested(frame, Digestion(shortest=7, longest=50), "id").collect()}
+    assert {(r["source_id"], r["target_peptide"]) for r in made.collect()} == peptides_of
+
+
 def test_export_numbers(spark):
     frame = spark.createDataFrame([(0.0,), (1.0,), (0.5,), (1 / 3,)], "v double").select(registry.export_text(F.col("v"), "double").alias("t"))
     assert [r["t"] for r in frame.collect()] == ["0.0", "1.0", "0.5", "0.333333333333"]
