@@ -36,13 +36,15 @@ def entries_of(proteins: DataFrame, database: str = "source_path", *, override:
     """Registry entries of proteins (source_path, record_ordinal, raw_header, id, description, sequence)."""
     rows = proteins.withColumn("__peeled", peel(F.col("id"), REGISTRY_CLASSIFIERS))
     rows = rows.withColumns({"kind": kind(labels(F.col("__peeled"), REGISTRY_CLASSIFIERS)), "namespace": namespace(F.col("__peeled.bare"), (*REGISTRY_NAMESPACES, *NAMESPACES)), "marker_group": marker_group(F.col("raw_header"))})
-    rows = contaminant_blocks(rows, [database], "record_ordinal")
+    # Only digests go on: a window orders a database's entries, not its sequences.
+    hashed = [F.length("sequence").cast("bigint").alias("sequence_length"), sequence_hash(F.col("sequence")).alias("sequence_hash"), description_hash(F.col("description")).alias("description_hash")]
+    rows = rows.select(F.col(database).alias("database_id"), "record_ordinal", "id", "kind", "namespace", "marker_group", *hashed)
+    rows = contaminant_blocks(rows, ["database_id"], "record_ordinal")
     resolved = F.col("resolved_kind")
     if override is not None:
         resolved = F.when(resolved.isin("target", "contaminant"), F.lit(override)).otherwise(resolved)
     return rows.select(
-        F.col(database).alias("database_id"), F.col("record_ordinal").alias("ordinal"), F.col("id").alias("sequence_id"), resolved.alias("kind"), "contaminant_group", "namespace",
-        F.length("sequence").cast("bigint").alias("sequence_length"), sequence_hash(F.col("sequence")).alias("sequence_hash"), description_hash(F.col("description")).alias("description_hash"),
+        "database_id", F.col("record_ordinal").alias("ordinal"), F.col("id").alias("sequence_id"), resolved.alias("kind"), "contaminant_group", "namespace", "sequence_length", "sequence_hash", "description_hash"
     )
 
 

@@ -202,11 +202,7 @@ def _fasta(spark: SparkSession, sf_dir: str, condition: str, name: str) -> str:
     letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
     for lang in ("de", "en", "es", "fr"):
         rows = docs.where(F.col("lang") == lang).select("doc_id", F.concat(F.lit("D"), F.col("doc_id") % 50, F.lit(" "), "source").alias("raw_header"), letters.alias("sequence"))
-        part = f"{path}/{lang}.part"
-        rows.coalesce(1).sortWithinPartitions("doc_id").select(tables.fasta_text(F.col("raw_header"), F.col("sequence")).alias("value")).write.text(part)
-        [made] = [n for n in files.names(spark, part) if n.startswith("part-")]
-        files.move(spark, f"{part}/{made}", f"{path}/{lang}.fasta")
-        files.delete(spark, part)
+        tables.write_fasta_file(rows, f"{path}/{lang}.fasta", order=["doc_id"])
     return path
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
 
 _KINDS = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
 
@@ -96,6 +98,15 @@ def write_fasta(rows: DataFrame, path: str, *, order: list[str], header: str = "
     rows.orderBy(*order).select(fasta_text(F.col(header), F.col(sequence), width).alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_fasta_file(rows: DataFrame, path: str, *, order: list[str], width: int = 60) -> None:
+    """Records in order as one file: its parts are sorted and written by many tasks beside it, then joined."""
+    aside = f"{path}.{uuid.uuid4().hex}.part"
+    write_fasta(rows, aside, order=order, width=width)
+    spark = rows.sparkSession
+    files.joined(spark, [f"{aside}/{n}" for n in files.names(spark, aside) if n.startswith("part-")], path)
+    files.delete(spark, aside)
+
+
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """Entrapment pairs as tab-separated text with a header, in a stable order."""
     rows = pairs.select("source_id", "fold_index", "target_peptide", "generated_peptide")

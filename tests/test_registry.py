@@ -53,6 +53,28 @@ def test_a_registry_with_faults_is_not_published(spark, tmp_path):
     assert not files.exists(spark, root) and not [n for n in files.names(spark, str(tmp_path)) if "part" in n]
 
 
+def test_a_database_is_ordered_without_its_sequences(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">a x\nAAK\n>b y\nCCK\n")
+    plan = indexed(spark, [str(tmp_path / "a.fasta")])._jdf.queryExecution().optimizedPlan()
+    lines = plan.toString().splitlines()
+    first = min(k for k, line in enumerate(lines) if "Window [" in line)
+    last = max(k for k, line in enumerate(lines) if "Window [" in line and "record_ordinal" in line)
+    held = next(line for line in lines[last + 1 :] if "Project [" in line)
+    assert first <= last and "sequence_hash#" in held and " sequence#" not in held
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(400, numPartitions=4).selectExpr("399 - id as n", "concat('r', 399 - id) as raw_header", "repeat('AC', cast((399 - id) % 70 as int)) as sequence")
+    tables.write_fasta_file(rows, f"{tmp_path}/one.fasta", order=["n"])
+    text = (tmp_path / "one.fasta").read_text()
+    assert [line[1:] for line in text.splitlines() if line.startswith(">")] == [f"r{k}" for k in range(400)]
+    made = {r["raw_header"]: (r["record_ordinal"], r["sequence"]) for r in read_records(spark, f"{tmp_path}/one.fasta").collect()}
+    assert made == {f"r{k}": (k, "AC" * (k % 70)) for k in range(400)}
+    assert not [n for n in files.names(spark, str(tmp_path)) if "part" in n]
+    tables.write_fasta_file(rows.limit(0), f"{tmp_path}/none.fasta", order=["n"])
+    assert (tmp_path / "none.fasta").read_bytes() == b""
+
+
 def test_files_snapshots_and_manifests(spark, tmp_path):
     p = lambda name: f"{tmp_path}/{name}"
     files.write_bytes(spark, p("one"), b"text")
