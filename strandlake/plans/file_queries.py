@@ -114,7 +114,7 @@ def fasta_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = []
     for k in range(4):
         paths.append(files.scratch(spark, f"part{k}"))
-        records(spark, sf_dir).where(F.col("doc_id") % 4 == k).coalesce(1).sortWithinPartitions("doc_id").select(fasta_lines(records(spark, sf_dir), 60).alias("value")).write.text(paths[-1])
+        tables.write_fasta_file(records(spark, sf_dir).where(F.col("doc_id") % 4 == k), f"{paths[-1]}/records.fasta", order=["doc_id"])
     rows = fasta.proteins(fasta.read_records(spark, paths))
     return rows.select(_number("raw_header").alias("doc_id"), "record_ordinal", F.regexp_extract("source_path", "(part[0-9])/[^/]*$", 1).alias("folder"))
 
