@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import header_description, header_id, illegal_residues, normalized, stop_stripped, upper_cased
+from ..functions.sequences import SPACE, header_description, header_id, illegal_residues, normalized, stop_stripped, upper_cased
 from ..operators.classify import labels, namespace, peel
 
 #: File names that a directory is searched for.
@@ -14,9 +14,10 @@ PATTERNS = "*.{fasta,fa,fas,fna,fasta.gz,fasta.bz2}"
 
 def _lines(raw: DataFrame) -> DataFrame:
     """Columns of raw, then raw_header and sequence, of records cut at a line feed before '>'."""
-    text = F.regexp_replace("value", r"\r\n?", "\n")
+    text = F.when(F.col("value").contains("\r"), F.regexp_replace("value", r"\r\n?", "\n")).otherwise(F.col("value"))
     header = F.regexp_extract(text, r"^>?([^\n]*)", 1)
-    body = F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"(?U)\s+", "")
+    body = F.when(text.contains("\n"), F.replace(F.substr(text, F.locate("\n", text) + 1), F.lit("\n"), F.lit(""))).otherwise("")
+    body = F.when(body.rlike(SPACE), F.regexp_replace(body, SPACE + "+", "")).otherwise(body)
     return raw.select(*[c for c in raw.columns if c != "value"], header.alias("raw_header"), body.alias("sequence"), text.alias("__text"))
 
 
@@ -28,7 +29,7 @@ def _numbered(pieces: DataFrame) -> DataFrame:
     so it is sent to all tasks. A blank piece before a file's first header is not a record and gets -1.
     """
     pieces = pieces.withColumn("__id", F.monotonically_increasing_id())
-    blank = F.trim(F.regexp_replace("value", r"\s+", "")) == ""
+    blank = ~F.col("value").rlike(r"\S")
     splits = pieces.groupBy("source_path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__from"), F.min_by(blank.cast("int"), "__id").alias("__blank"))
     order = Window.partitionBy("source_path").orderBy("block")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
