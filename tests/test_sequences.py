@@ -52,6 +52,41 @@ def test_reverse_and_switch(spark):
     assert all(r["r"] == re.sub("(^[KR]|[^KR])([KR]+)", r"\2\1", r["s"][::-1]) for r in rows)
 
 
+def test_reverse_and_switch_of_a_long_sequence_is_one_pass(spark):
+    rng = random.Random(4)
+    made = "".join(rng.choice("GGGKRM") for _ in range(400_000))
+    column = reverse_and_switch(F.col("s"))
+    assert "aggregate" not in str(column)  # no head that grows letter by letter
+    [row] = spark.createDataFrame([(made,)], "s string").select(column.alias("r")).collect()
+    assert row["r"] == re.sub("(^[KR]|[^KR])([KR]+)", r"\2\1", made[::-1])
+
+
+def scans(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + frame._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+
+def test_decoy_statistics_read_each_side_once(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("ACDK") for _ in range(60)),) for _ in range(30)]
+    spark.createDataFrame(rows, "sequence string").write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([(s[::-1],) for (s,) in rows], "sequence string").write.parquet(f"{tmp_path}/d")
+    targets, decoys, cut = spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/d"), Digestion(shortest=3, longest=9)
+    made = peptides.decoy_statistics(decoys, targets, cut)
+    assert scans(made) == 2 and scans(peptides.population(targets, cut)) == 2
+    of = lambda texts: {p for t in texts for p, _ in cleaved(t, 3, 9, 0)}
+    t, d = of(s for (s,) in rows), of(s[::-1] for (s,) in rows)
+    kinds = {"".join(sorted(p)) for p in t}
+    assert made.first().asDict() == pytest.approx({"unique_ratio": len(d) / len(t), "shared_with_targets": len(d & t), "composition_overlap": sum("".join(sorted(p)) in kinds for p in d) / len(d)})
+
+
+def test_tables_are_hashed_after_their_sort(spark):
+    frame = spark.createDataFrame([("P", 0, "target", "ACDK")], "id string, final_order long, kind string, sequence string")
+    mapped = peptides.protein_peptides(frame, Digestion(shortest=3, longest=9))
+    for made in (peptides.peptides_table(mapped), peptides.map_table(mapped)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("ArrowEvalPython") < plan.index("Sort [")  # the sort's sampling pass would run a hash below it once more
+
+
 def test_property_values(spark):
     # Reference results of public packages for two peptides.
     rows = {r["s"]: r["p"] for r in spark.createDataFrame([("SAMPLER",), ("RSGASILQAGCUG",), ("K",)], "s string").select("s", props.properties(F.col("s")).alias("p")).collect()}
