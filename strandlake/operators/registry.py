@@ -8,11 +8,13 @@ sums; the number of pairs is that of databases, never of entries.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import containment, jaccard, ratio
 from ..sources.tables import CANDIDATE_COMPARISON
+from .blocks import shared_pairs
 
 KINDS = ("target", "contaminant", "decoy", "entrapment", "sentinel")
 GROUP = ["database_id", "kind"]
@@ -41,15 +43,29 @@ def _pairs_of_sets(sets: DataFrame, *keep: str) -> DataFrame:
     return lows.select(*keep, "low", F.explode(F.slice("d", F.col("__at") + 2, F.size("d"))).alias("high"))
 
 
-def shared_counts(entries: DataFrame, columns: list[str], name: str) -> DataFrame:
+#: Databases up to which the counts of pairs are summed before they are shuffled: a task has a sum for each pair at most.
+FEW = 256
+
+
+def shared_counts(entries: DataFrame, columns: list[str], name: str, *, few: int = FEW) -> DataFrame:
     """Of each kind and pair of databases (low < high), how many distinct values of `columns` both hold.
 
     A value's databases are gathered into one array, which holds each database once; values with the same
     databases are counted together before pairs are made of them, so a value that all databases hold, of
-    which there may be very many, adds its pairs once.
+    which there may be very many, adds its pairs once. Of more than `few` databases no pairs of single values
+    are shuffled: their counts are added up by pairs of blocks of databases.
     """
-    held = entries.dropna(subset=columns).select(*GROUP, *columns).distinct().groupBy("kind", *columns).agg(F.array_sort(F.collect_list("database_id")).alias("d")).where(F.size("d") > 1)
+    rows = entries.dropna(subset=columns).select(*GROUP, *columns).distinct()
+    # An id a database; they are numbered in order.
+    ids = entries.where(F.col("database_id").isNotNull()).select("database_id").distinct().orderBy("database_id").toArrow().column(0).combine_chunks()
+    if len(ids) > few:
+        spark = entries.sparkSession
+        places = spark.createDataFrame(pa.table({"database_id": ids, "__place": pa.array(range(len(ids)), pa.int32())}))
+        rows = rows.join(F.broadcast(places), "database_id").select("kind", *columns, F.col("__place").alias("database_id"))
+    held = rows.groupBy("kind", *columns).agg(F.array_sort(F.collect_list("database_id")).alias("d")).where(F.size("d") > 1)
     sets = held.groupBy("kind", "d").agg(F.count(F.lit(1)).alias("n"))
+    if len(ids) > few:
+        return shared_pairs(sets, ids, name)
     return _pairs_of_sets(sets, "kind", "n").groupBy("kind", "low", "high").agg(F.sum("n").alias(name))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.cli import main
-from strandlake.operators import build, lifecycle, peptides
+from strandlake.operators import build, lifecycle, peptides, registry
 from strandlake.sources import files, tables
 from strandlake.sources.fasta import discover, proteins, read_records
 
@@ -125,3 +125,23 @@ def test_row_checksums(spark):
     [row] = lifecycle.with_row_checksums(spark.createDataFrame([("P1", "ACD")], "id string, sequence string")).collect()
     assert row["sequence_hash"] == digest(b"ACD").hexdigest()
     assert row["id_sequence_fingerprint"] == digest(b"P1\0" + digest(b"ACD").digest() + b"\n").hexdigest()
+
+
+def test_shared_counts_of_many_databases_are_those_of_few(spark):
+    """By pairs of blocks, with values of few, of many and of all databases, and repeated and null ones."""
+    rows = spark.range(40_000).select(
+        F.concat(F.lit("d"), (F.xxhash64("id", F.lit(1)) % 150 + 150)).alias("database_id"), F.when(F.col("id") % 7 == 0, "contaminant").otherwise("target").alias("kind"),
+        F.when(F.col("id") % 50 > 0, F.when(F.col("id") % 3 == 0, F.pmod(F.xxhash64("id", F.lit(2)), F.lit(9))).otherwise(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5_000)))).alias("v"),
+    )
+    plain = registry.shared_counts(rows, ["v"], "n", few=10_000)
+    found = registry.shared_counts(rows, ["v"], "n", few=0)
+    assert found.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    assert registry.shared_counts(rows.where("v is null"), ["v"], "n", few=0).count() == 0
+
+
+def test_pairs_of_single_values_of_many_databases_are_not_shuffled(spark):
+    rows = spark.range(300_000).select((F.col("id") % 600).alias("database_id"), F.lit("target").alias("kind"), F.floor(F.col("id") / 600).alias("v")).where("(database_id + v) % 5 <> 0")
+    found = registry.shared_counts(rows, ["v"], "n")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and found.count() == 600 * 599 // 2
