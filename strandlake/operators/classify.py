@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,29 +103,37 @@ def marker_group(raw_header: Column, decoy_prefix: str = "REV_") -> Column:
     return F.when(field.startswith("Cont_"), contaminant_group(F.substr(field, F.lit(6))))
 
 
+#: Ordinals of a database that are ordered together.
+CHUNK = 1 << 16
+
+
 def contaminant_blocks(rows: DataFrame, database: list[str], ordinal: str, configured: str = "kind", marker: str = "marker_group") -> DataFrame:
     """Resolve kinds in file order: a marker opens a contaminant block, any other sentinel closes it.
 
     Adds resolved_kind and contaminant_group. Decoys and entrapment neither join nor use up a block; a
-    block that got no entries makes the next marker's group unlabelled. A database is ordered in one
-    window, streamed with spilling; the state is a segment number and facts of the segment before.
+    block that got no entries makes the next marker's group unlabelled. A database is ordered by chunks of
+    CHUNK ordinals, so no task holds all of it: sentinels before a chunk are sums over chunks, and a segment's
+    facts one row each, of which only those of markers are joined with entries.
     """
-    order = Window.partitionBy(*database).orderBy(ordinal)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sentinel, ordinary = F.col(configured) == "sentinel", F.col(configured).isin("target", "contaminant")
-    rows = rows.withColumn("__segment", F.sum(sentinel.cast("bigint")).over(upto))
-    segment = Window.partitionBy(*database, "__segment")
-    opened = F.max(F.when(sentinel, F.col(marker))).over(segment)
-    used = F.max(ordinary.cast("int")).over(segment)
-    rows = rows.withColumn("__opened", opened).withColumn("__used", used)
-    # The first row of each later segment is its sentinel; the row before it belongs to the segment before.
-    stale = F.lag(F.col("__opened").isNotNull() & (F.col("__used") == 0)).over(order)
-    rows = rows.withColumn("__stale", F.when(sentinel, F.coalesce(stale, F.lit(False))))
-    group = F.when(F.max(F.col("__stale").cast("int")).over(segment) == 1, F.lit(UNLABELLED)).otherwise(F.col("__opened"))
-    rows = rows.withColumn("__group", F.when(F.col("__opened").isNotNull(), group))
+    same = lambda *on: reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*database, *on)])
+    names = rows.columns
+    rows = rows.withColumn("__chunk", F.floor(F.col(ordinal) / CHUNK))
+    chunks = rows.groupBy(*database, "__chunk").agg(F.count_if(sentinel).alias("__n"))
+    before = chunks.select(*database, "__chunk", (F.sum("__n").over(Window.partitionBy(*database).orderBy("__chunk")) - F.col("__n")).alias("__before"))
+    # A row for each CHUNK ordinals.
+    rows = rows.alias("l").join(F.broadcast(before).alias("r"), same("__chunk")).select("l.*", "__before")
+    upto = Window.partitionBy(*database, "__chunk").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__segment", F.col("__before") + F.count_if(sentinel).over(upto))
+    segments = rows.groupBy(*database, "__segment").agg(F.max(F.when(sentinel, F.col(marker))).alias("__opened"), F.max(ordinary.cast("int")).alias("__used"))
+    # The segment before ends where its successor's sentinel stands.
+    stale = segments.where(F.col("__opened").isNotNull() & (F.col("__used") == 0)).select(*database, (F.col("__segment") + 1).alias("__segment"), F.lit(True).alias("__stale"))
+    blocks = segments.where(F.col("__opened").isNotNull()).alias("l").join(stale.alias("r"), same("__segment"), "left")
+    blocks = blocks.select("l.*", F.when(F.col("__stale"), F.lit(UNLABELLED)).otherwise(F.col("__opened")).alias("__group"))
+    rows = rows.alias("l").join(blocks.alias("r"), same("__segment"), "left").select(*[f"l.{c}" for c in names], "__group")
     resolved = F.when(ordinary & F.col("__group").isNotNull(), "contaminant").otherwise(F.col(configured))
     given = F.when(resolved == "contaminant", F.coalesce("__group", F.lit(UNLABELLED)))
-    return rows.select("*", resolved.alias("resolved_kind"), given.alias("contaminant_group")).drop("__segment", "__opened", "__used", "__stale", "__group")
+    return rows.select("*", resolved.alias("resolved_kind"), given.alias("contaminant_group")).drop("__group")
 
 
 def capped_namespaces(rows: DataFrame, database: str, ordinal: str, namespace: str, most: int = 32) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import description_hash, pair_fingerprint, sequence_hash
 from ..functions.rules import NAMESPACES, REGISTRY_CLASSIFIERS, REGISTRY_NAMESPACES
+from ..session import checkpointed
 from ..sources import files
-from .classify import contaminant_blocks, kind, labels, marker_group, namespace, peel
+from .classify import CHUNK, contaminant_blocks, kind, labels, marker_group, namespace, peel
 from .registry import database_records, duplicated_keys, kind_stats, listed, orphans, pair_stats, refreshed_pairs
 
 SCHEMA_VERSION = "2"
@@ -36,10 +37,10 @@ def entries_of(proteins: DataFrame, database: str = "source_path", *, override:
     """Registry entries of proteins (source_path, record_ordinal, raw_header, id, description, sequence)."""
     rows = proteins.withColumn("__peeled", peel(F.col("id"), REGISTRY_CLASSIFIERS))
     rows = rows.withColumns({"kind": kind(labels(F.col("__peeled"), REGISTRY_CLASSIFIERS)), "namespace": namespace(F.col("__peeled.bare"), (*REGISTRY_NAMESPACES, *NAMESPACES)), "marker_group": marker_group(F.col("raw_header"))})
-    # Only digests go on: a window orders a database's entries, not its sequences.
+    # Only digests go on, which are written once: blocks are found by several passes over them.
     hashed = [F.length("sequence").cast("bigint").alias("sequence_length"), sequence_hash(F.col("sequence")).alias("sequence_hash"), description_hash(F.col("description")).alias("description_hash")]
     rows = rows.select(F.col(database).alias("database_id"), "record_ordinal", "id", "kind", "namespace", "marker_group", *hashed)
-    rows = contaminant_blocks(rows, ["database_id"], "record_ordinal")
+    rows = contaminant_blocks(checkpointed(rows), ["database_id"], "record_ordinal")
     resolved = F.col("resolved_kind")
     if override is not None:
         resolved = F.when(resolved.isin("target", "contaminant"), F.lit(override)).otherwise(resolved)
@@ -88,12 +89,12 @@ def detailed(entries: DataFrame, most: int = 200_000) -> DataFrame:
 
 
 def write_entries(entries: DataFrame, root: str) -> None:
-    """Write or replace the partitions of the databases in `entries`, and of no others."""
+    """Write or replace the partitions of the databases in `entries`, and of no others; a large database is written by many tasks."""
     spark = entries.sparkSession
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        entries.select(*ENTRIES.names).repartition("database_id").write.mode("overwrite").partitionBy("database_id").parquet(f"{root}/entries")
+        entries.select(*ENTRIES.names).repartition("database_id", F.floor(F.col("ordinal") / CHUNK)).write.mode("overwrite").partitionBy("database_id").parquet(f"{root}/entries")
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 

@@ -1,11 +1,12 @@
 import datetime
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandlake.cli import main
-from strandlake.operators import build, lifecycle, peptides, registry
+from strandlake.operators import build, classify, lifecycle, peptides, registry
 from strandlake.sources import files, tables
 from strandlake.sources.fasta import discover, proteins, read_records
 
@@ -145,3 +146,35 @@ def test_pairs_of_single_values_of_many_databases_are_not_shuffled(spark):
     found = registry.shared_counts(rows, ["v"], "n")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" not in plan and found.count() == 600 * 599 // 2
+
+
+def test_a_large_database_is_ordered_and_written_in_chunks(spark, tmp_path, monkeypatch):
+    """Blocks that run through chunks, end with them or have no entries are those of one pass in order."""
+    monkeypatch.setattr(classify, "CHUNK", 4)
+    monkeypatch.setattr(lifecycle, "CHUNK", 4)
+    draw = random.Random(5)
+    rows = [(d, k, *draw.choice([("target", None)] * 6 + [("contaminant", None), ("decoy", None), ("sentinel", None), ("sentinel", "g1"), ("sentinel", "g2")])) for d in ("a", "b", None) for k in range(120)]
+    expected = []
+    for d, k, kind, marker in rows:
+        if k == 0:
+            group, empty = None, False
+        if kind == "sentinel":
+            stale = group is not None and empty
+            group, empty = marker and ("unlabelled" if stale else marker), True
+        joins = kind in ("target", "contaminant")
+        empty = empty and not joins
+        got = "contaminant" if joins and group else kind
+        expected.append((d, k, got, (group or "unlabelled") if got == "contaminant" else None))
+    frame = spark.createDataFrame(rows, "database_id string, ordinal bigint, kind string, marker_group string")
+    found = classify.contaminant_blocks(frame, ["database_id"], "ordinal").select("database_id", "ordinal", "resolved_kind", "contaminant_group")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+    text = [F.lit("x").alias(c) for c in ("sequence_id", "namespace", "contaminant_group")]
+    entries = frame.where("database_id = 'a'").select("database_id", "ordinal", "kind", *text, F.lit(1).cast("bigint").alias("sequence_length"), F.lit(b"1").alias("sequence_hash"), F.lit(b"2").alias("description_hash"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lifecycle.write_entries(entries, str(tmp_path / "r"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(list((tmp_path / "r/entries/database_id=a").glob("*.parquet"))) > 1
+    assert lifecycle.read_entries(spark, str(tmp_path / "r")).count() == 120
