@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import containment, jaccard, ratio
+from ..session import checkpointed
 from ..sources.tables import CANDIDATE_COMPARISON
 from .blocks import shared_pairs
 
@@ -113,11 +114,15 @@ def representatives(entries: DataFrame) -> DataFrame:
 
 
 def expanded_pairs(entries: DataFrame, kinds: tuple[str, ...] = ("target", "contaminant")) -> DataFrame:
-    """pair_stats by way of representatives: databases of equal content are counted once and their pairs filled in."""
-    known = representatives(entries.where(F.col("kind").isin(*kinds)))
+    """pair_stats by way of representatives: databases of equal content are counted once and their pairs filled in.
+
+    Digests and representatives are written once; every count reads them, not what the digests are made from.
+    """
+    entries = checkpointed(entries.select(*GROUP, "sequence_id", "sequence_hash", "description_hash"))
+    known = checkpointed(representatives(entries.where(F.col("kind").isin(*kinds))))
     one = entries.join(known.where("database_id = representative").select(*GROUP), GROUP, "left_semi")
-    counted = pair_stats(one, kinds).select("kind", F.col("low").alias("rep_low"), F.col("high").alias("rep_high"), *_COUNTS)
-    own = kind_stats(one).select("kind", F.col("database_id").alias("own"), *[F.col(c).alias(f"own_{n}") for c, n in zip(("distinct_ids", "distinct_sequences", "distinct_descriptions", "distinct_pairs", "distinct_ids"), _COUNTS, strict=True)])
+    counted = checkpointed(pair_stats(one, kinds)).select("kind", F.col("low").alias("rep_low"), F.col("high").alias("rep_high"), *_COUNTS)
+    own = checkpointed(kind_stats(one)).select("kind", F.col("database_id").alias("own"), *[F.col(c).alias(f"own_{n}") for c, n in zip(("distinct_ids", "distinct_sequences", "distinct_descriptions", "distinct_pairs", "distinct_ids"), _COUNTS, strict=True)])
     grid = pair_grid(entries.select("database_id").distinct(), kinds)
     for side in ("low", "high"):
         grid = grid.join(known.select("kind", F.col("database_id").alias(side), F.col("representative").alias(f"of_{side}")), ["kind", side], "left")

@@ -178,3 +178,11 @@ def test_a_large_database_is_ordered_and_written_in_chunks(spark, tmp_path, monk
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert len(list((tmp_path / "r/entries/database_id=a").glob("*.parquet"))) > 1
     assert lifecycle.read_entries(spark, str(tmp_path / "r")).count() == 120
+
+
+def test_expanded_pairs_read_their_entries_once(spark):
+    rows = spark.range(400).select(F.concat(F.lit("d"), F.col("id") % 6).alias("database_id"), F.lit("target").alias("kind"), (F.col("id") % 90).cast("string").alias("sequence_id"), F.lit("s").alias("sequence_hash"), F.lit("w").alias("description_hash"))
+    found = registry.expanded_pairs(rows)
+    assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()
+    columns = ["kind", "low", "high", "shared_ids", "shared_descriptions", "matching_shared_ids"]
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, registry.pair_stats(rows).select(*columns).collect()))
