@@ -1,12 +1,15 @@
+import collections
 import datetime
 import hashlib
+import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandlake.cli import main
-from strandlake.operators import build, classify, lifecycle, peptides, registry
+from strandlake.operators import blocks, build, classify, lifecycle, peptides, registry
 from strandlake.sources import files, tables
 from strandlake.sources.fasta import discover, proteins, read_records
 
@@ -148,6 +151,27 @@ def test_pairs_of_single_values_of_many_databases_are_not_shuffled(spark):
     assert "Generate explode" not in plan and found.count() == 600 * 599 // 2
 
 
+def test_more_blocks_of_databases_shuffle_no_more(spark, monkeypatch):
+    """A value's databases are written once, however many blocks they are dealt to; chunks and kinds count as one block does."""
+    draw = random.Random(3)
+    sets = [(draw.choice(["target", "decoy", None]), n, sorted(draw.sample(range(600), 200))) for n in range(1, 151)]
+    wanted = collections.Counter()
+    for kind, n, d in sets:
+        wanted.update({(kind, *pair): n for pair in itertools.combinations(d, 2)})
+    frame = spark.createDataFrame(sets, "kind string, n bigint, d array<int>").coalesce(2)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    grown = []
+    for block, most in ((600, 1 << 21), (50, 1000)):
+        for name, value in (("BLOCK", block), ("BLOCKS", 1), ("CHUNK", most)):
+            monkeypatch.setattr(blocks, name, value, raising=False)
+        before = written()
+        found = blocks.shared_pairs(frame, pa.array(range(600), pa.int64()), "n").collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        grown.append(written() - before)
+        assert {(r["kind"], r["low"], r["high"]): r["n"] for r in found} == wanted and len(found) == len(wanted)
+    assert grown[1] < 4 * grown[0]
+
+
 def test_a_large_database_is_ordered_and_written_in_chunks(spark, tmp_path, monkeypatch):
     """Blocks that run through chunks, end with them or have no entries are those of one pass in order."""
     monkeypatch.setattr(classify, "CHUNK", 4)
