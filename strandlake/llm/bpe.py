@@ -31,12 +31,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, map_arrow
+from .common import KEPT, blocks, map_arrow, trim
 
 #: Unicode white space, as the tokenizer's pattern understands \s.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cached pre-tokens of a worker: when there are more, those not met since the last time are forgotten.
-WORDS_HELD = 250_000
+WORDS_HELD = 120_000
 #: Pre-tokens of one recursive query, and ids of one decoding query.
 ENCODE_WORDS = 40_000
 DECODE_ROWS = 1_000_000
@@ -211,10 +211,11 @@ class DuckBpe:
 
 
 _ENCODERS: dict[str, DuckBpe] = {}
+KEPT["bpe"] = _ENCODERS.clear
 
 
 def worker_bpe(file: bytes, pattern: str) -> DuckBpe:
-    """The encoder of this worker process; it outlives a task, with its caches."""
+    """The encoder of this worker process; it outlives a task, with its caches, until the worker is given to another operator."""
     key = hashlib.sha256(file + pattern.encode()).hexdigest()
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -260,5 +261,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], tex
             for a, b in blocks(texts, 2_000_000):
                 made = columns(*zip(*((b"".join([p[0] for p in row]), b"".join([p[1] for p in row])) for row in bpe.encode(texts[a:b])), strict=True))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), *made], names)
+                del made
+                trim()
 
-    return map_arrow(docs.select(*keep, docs[text].alias("__text")), run, schema)
+    return map_arrow(docs.select(*keep, docs[text].alias("__text")), run, schema, keeps="bpe")

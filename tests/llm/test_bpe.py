@@ -3,10 +3,13 @@ import random
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from strandlake.llm import bpe, queries
+from strandlake.llm.common import map_arrow
 
 PATH = public.path("byte_bpe_50k.tiktoken")
 HARD = ["a" * 300, "ab" * 200 + " \u2003\u3000 <|endoftext|>é\U0001f600", "\n\n x  y\t\tz \x85\xa0 q", "I'll don't 123 !!??", " " * 40 + "x", "\x1c\x1d a\x1e"]
@@ -62,3 +65,16 @@ def test_ids_and_empty(docs, empty):
     out = {str(r["doc_id"]): r for r in bpe.byte_bpe(docs, PATH, public.PATTERN).collect()}
     assert out["5000"]["ids"] == [] and bytes(out["5005"]["decoded"]).decode() == "é ü \U0001f600 ñ"
     assert bpe.byte_bpe(empty, PATH, public.PATTERN).count() == 0
+
+
+def test_a_worker_lets_go_of_the_encoder_for_another_operator(spark):
+    frame = spark.range(8).select("id", F.lit("some words").alias("text")).repartition(4)
+    bpe.byte_bpe(frame, PATH, public.PATTERN, keep=("id",)).collect()
+
+    def encoders(batches):
+        from strandlake.llm import bpe
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._ENCODERS)] * batch.num_rows)], ["n"])
+
+    assert {r["n"] for r in map_arrow(frame, encoders, "n bigint").collect()} == {0}
